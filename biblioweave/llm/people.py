@@ -50,7 +50,8 @@ _LETTERS = str.maketrans({"ł": "l", "Ł": "L", "ø": "o", "Ø": "O", "đ": "d",
 MOST_GIVEN = 100_000
 #: A given name is established from this share of the usual number of families on.
 ESTABLISHED = 0.2
-_ROUNDS = 8
+#: Most rounds of matching; they end when a round merges nothing.
+_ROUNDS = 20
 
 
 def fold(text: str) -> str:
@@ -146,7 +147,7 @@ def _keys(kind: str, given: str, inits: str, family: str, established: set[str]
     i, j, k  initials only (role i) with the same, the same-sounding, a slightly different family name: merge with the
        only full name (role f) that fits
     n, m  short form (role s) and full name (role f) with the same, a slightly different family name: merge if only one fits
-    d  same given name, long family names two slips apart: merge if an alignment confirms it
+    d  same given name, long family names two slips apart: merge if their edit distance confirms it
     """
     if kind == "x":
         return
@@ -197,24 +198,6 @@ def _keys(kind: str, given: str, inits: str, family: str, established: set[str]
         yield "a", "f", f"|{family}"
 
 
-def _near(a: str, b: str, most: int = 2) -> bool:
-    """Whether two words are at most ``most`` slips apart (a character changed, put in, left out, or two swapped)."""
-    if abs(len(a) - len(b)) > most:
-        return False
-    before, row = None, list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        new = [i]
-        for j, y in enumerate(b, 1):
-            d = min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y))
-            if before is not None and i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                d = min(d, before[j - 2] + 1)
-            new.append(d)
-        before, row = row, new
-        if min(row) > most:
-            return False
-    return row[-1] <= most
-
-
 def established_names(names: DataFrame, column: str) -> set[str]:
     """Given names borne by people of many families: at least ESTABLISHED of the usual number (and 3), MOST_GIVEN at most."""
 
@@ -234,71 +217,47 @@ def established_names(names: DataFrame, column: str) -> set[str]:
     return {r["g"] for r in kept.toLocalIterator()} | _FULL
 
 
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(cid, root): the smallest node reachable from each node that has an edge; edges (x, y) of node ids."""
-    e = cut(edges.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).where("x <> y").distinct())
-    both = e.union(e.select(F.col("y").alias("x"), F.col("x").alias("y")))
-    labels = cut(both.groupBy("x").agg(F.least(F.col("x"), F.min("y")).alias("root")))
-    while True:
-        seen = both.join(labels.select(F.col("x").alias("y"), F.col("root").alias("other")), "y").groupBy("x").agg(F.min("other").alias("other"))
-        new = labels.join(seen, "x").select("x", F.col("root").alias("old"), F.least("root", "other").alias("root"))
-        # a label's own label is as good: paths halve each time
-        hop = new.select(F.col("x").alias("root"), F.col("root").alias("further"))
-        new = cut(new.join(hop, "root", "left").select("x", "old", F.least("root", F.coalesce("further", "root")).alias("root")))
-        if new.where("root <> old").isEmpty():
-            return new.select(F.col("x").alias("cid"), "root")
-        labels = new.select("x", "root")
+#: Rules whose profiles of role f are the only ones that a profile of another role may join, with their rank.
+_PARTIAL = {"i": 0, "I": 0, "n": 0, "j": 1, "k": 2, "m": 2}
 
 
-def _edges(keyed: DataFrame, first: bool) -> DataFrame:
-    """Edges (x, y) between clusters from keyed profiles (rule, key, role, cid, mid_lo, mid_hi, name, solo, family).
+def _moves(keyed: DataFrame, first: bool) -> DataFrame:
+    """(cid, to): clusters that merge into another, from keyed profiles (rule, key, role, cid, family, mid_lo, mid_hi, name_lo, name_hi, solo).
 
-    mid_lo, mid_hi: least and largest middle initials of the cluster; name: its established given name, if any; solo: whether
-    all of the cluster are initials only.
+    mid_lo, mid_hi: least and largest middle initial of the cluster; name_lo, name_hi: of its established given names;
+    solo: whether all of the cluster are initials only. Every block is summed up once and the summary goes back to its
+    members; a cluster moves to the smallest one that it may join.
     """
-    marks = [F.min("mid_lo").alias("m0"), F.max("mid_hi").alias("m1")]
-    fits = F.col("m0").isNull() | (F.col("m0") == F.col("m1"))
-
-    def star(df: DataFrame, by: list[str], *extra, where=None) -> DataFrame:  # noqa: ANN001, ANN002
-        heads = df.groupBy(*by).agg(F.min("cid").alias("head"), F.max("cid").alias("tail"), *marks, *extra).where("head <> tail")
-        heads = heads.where(fits if where is None else fits & where)
-        return df.join(heads.select(*by, "head"), by).select(F.col("cid").alias("x"), F.col("head").alias("y"))
-
-    a = keyed.where("rule = 'a'")
-    found = star(a, ["key"])
-    # where middle initials differ under a key, each initial merges with its own
-    found = found.union(star(a.where("mid_lo is not null and mid_lo = mid_hi"), ["key", "mid_lo"]))
-    one_name = (F.col("g0").isNull() | (F.col("g0") == F.col("g1")))
-    found = found.union(star(keyed.where("rule = 'b'"), ["key"], F.min("name_lo").alias("g0"), F.max("name_hi").alias("g1"), where=one_name))
-
-    short = keyed.where("rule in ('i', 'n')" if first else "rule in ('i', 'j', 'k', 'n', 'm')")
+    # a middle initial makes a second, narrower block: A of rule a, I of rule i
+    own = (F.col("mid_lo") == F.col("mid_hi")) & F.col("rule").isin("a", "i")
+    wide = F.struct(F.col("rule").alias("rule"), F.col("key").alias("key"))
+    narrow = F.struct(F.upper("rule").alias("rule"), F.xxhash64("key", "mid_lo").alias("key"))
+    rows = keyed.where("rule not in ('j', 'k', 'm', 'd')") if first else keyed
+    rows = rows.withColumn("block", F.explode(F.when(own, F.array(wide, narrow)).otherwise(F.array(wide)))).drop("rule", "key").select("*", "block.rule", "block.key").drop("block")
     full = F.col("role") == "f"
-    heads = short.groupBy("rule", "key").agg(
-        F.min(F.when(full, F.col("cid"))).alias("f0"), F.max(F.when(full, F.col("cid"))).alias("f1"), F.min(F.when(full, F.col("mid_lo"))).alias("m0"), F.max(F.when(full, F.col("mid_hi"))).alias("m1"),
-        F.max(F.when(~full, 1)).alias("some"), F.min(F.when(~full, F.col("cid"))).alias("s0"),
-    ).where("some = 1")
-    waiting = short.where(~full & (F.col("solo") | F.col("rule").isin("n", "m"))).join(heads, ["rule", "key"])
-    agree = F.col("mid_lo").isNull() | F.col("m0").isNull() | ((F.col("mid_lo") == F.col("m0")) & (F.col("mid_hi") == F.col("m1")))
-    # all keys of a profile must point to one cluster, the narrowest rule first
-    rank = F.when(F.col("rule") == "i", 0).when(F.col("rule") == "n", 0).when(F.col("rule") == "j", 1).otherwise(2)
-    to = waiting.where("f0 is not null").groupBy("cid", rank.alias("rank")).agg(F.min("f0").alias("t0"), F.max("f1").alias("t1"), F.min(agree).alias("ok"))
-    to = to.groupBy("cid").agg(F.min_by(F.struct("t0", "t1", "ok"), "rank").alias("s")).where("s.t0 = s.t1 and s.ok and s.t0 <> cid")
-    found = found.union(to.select(F.col("cid").alias("x"), F.col("s.t0").alias("y")))
-    # a middle initial tells apart the full names that share initials
-    by_mid = keyed.where("rule = 'i' and mid_lo is not null and mid_lo = mid_hi")
-    mids = by_mid.groupBy("key", "mid_lo").agg(F.min(F.when(full, F.col("cid"))).alias("f0"), F.max(F.when(full, F.col("cid"))).alias("f1"), F.min("cid").alias("c0")).where("f0 is null or f0 = f1")
-    found = found.union(by_mid.where(~full & F.col("solo")).join(mids, ["key", "mid_lo"]).select(F.col("cid").alias("x"), F.coalesce("f0", "c0").alias("y")).where("x <> y"))
-    # initials only, with and without a middle one, and no full name at all
-    alone = short.where("rule = 'i' and role = 'i' and solo").join(heads.where("rule = 'i' and f0 is null").select("key", "s0"), "key")
-    one = alone.groupBy("key", "s0").agg(*marks).where(fits).select("key", "s0")
-    found = found.union(alone.select("key", "cid").join(one, "key").select(F.col("cid").alias("x"), F.col("s0").alias("y")))
-    if not first:
-        d = keyed.where("rule = 'd'")
-        heads = d.groupBy("key").agg(F.min(F.struct("cid", "family")).alias("h"), F.max("cid").alias("tail"), *marks).where("h.cid <> tail").where(fits)
-        near = F.pandas_udf(lambda x, y: pd.Series([_near(p, q) for p, q in zip(x, y, strict=True)]), "boolean")
-        pairs = d.join(heads.select("key", "h"), "key").where("cid <> h.cid").select(F.col("cid").alias("x"), F.col("h.cid").alias("y"), "family", F.col("h.family").alias("other")).distinct()
-        found = found.union(pairs.where(near("family", "other")).select("x", "y"))
-    return found.where("x <> y")
+    blocks = rows.groupBy("rule", "key").agg(
+        F.min(F.struct("cid", "family")).alias("head"), F.max("cid").alias("tail"), F.min("mid_lo").alias("m0"), F.max("mid_hi").alias("m1"), F.min("name_lo").alias("g0"), F.max("name_hi").alias("g1"),
+        F.min(F.when(full, F.col("cid"))).alias("f0"), F.max(F.when(full, F.col("cid"))).alias("f1"), F.min(F.when(full, F.col("mid_lo"))).alias("fm0"), F.max(F.when(full, F.col("mid_hi"))).alias("fm1"),
+    ).where("head.cid <> tail")
+    met = rows.join(blocks, ["rule", "key"])
+    one_middle = F.col("m0").isNull() | (F.col("m0") == F.col("m1"))
+    one_name = F.col("g0").isNull() | (F.col("g0") == F.col("g1"))
+    whole = (
+        F.col("rule").isin("a", "A") & one_middle
+        | (F.col("rule") == "b") & one_middle & one_name
+        | (F.col("rule") == "d") & one_middle & (F.levenshtein("family", "head.family") <= 3)
+        | F.col("rule").isin("i", "I") & F.col("f0").isNull() & F.col("solo") & one_middle
+    )
+    part = F.col("rule").isin(*_PARTIAL) & (~full) & F.col("f0").isNotNull() & (F.col("solo") | F.col("rule").isin("n", "m"))
+    fits = F.col("mid_lo").isNull() | F.col("fm0").isNull() | ((F.col("mid_lo") == F.col("fm0")) & (F.col("mid_hi") == F.col("fm1")))
+    ranks = F.create_map(*[F.lit(x) for kv in _PARTIAL.items() for x in kv])
+    found = met.where(whole | part).select("cid", F.when(whole, F.col("head.cid")).alias("star"), F.when(~whole, F.try_element_at(ranks, F.col("rule"))).alias("rank"), "f0", "f1", (fits | (F.col("rule") == "I")).alias("fits"), (F.col("rule") == "I").alias("mid"))
+    # what a partial profile may join: all blocks of its narrowest rule must name one cluster; a matching middle initial settles it
+    each = found.groupBy("cid", "star", "rank").agg(F.min("f0").alias("t0"), F.max("f1").alias("t1"), F.min("fits").alias("ok"), F.min(F.when(F.col("mid"), F.col("f0"))).alias("i0"), F.max(F.when(F.col("mid"), F.col("f1"))).alias("i1"))
+    best = each.groupBy("cid").agg(F.min("star").alias("star"), F.min_by(F.struct("t0", "t1", "ok", "i0", "i1"), "rank").alias("p"))
+    sole = F.when(F.col("p.i0") == F.col("p.i1"), F.col("p.i0")).when((F.col("p.t0") == F.col("p.t1")) & F.col("p.ok") & F.col("p.i0").isNull(), F.col("p.t0"))
+    both = best.select("cid", F.explode(F.array("star", sole)).alias("other")).where("other is not null and other <> cid")
+    return both.select(F.greatest("cid", "other").alias("cid"), F.least("cid", "other").alias("to")).groupBy("cid").agg(F.min("to").alias("to"))
 
 
 def resolve(names: DataFrame, key: str, column: str) -> DataFrame:
@@ -336,19 +295,18 @@ def resolve(names: DataFrame, key: str, column: str) -> DataFrame:
     # most keys are held by one profile and can never merge anything
     shared = keys.groupBy("rule", "key").agg(F.count("*").alias("n"), F.max(F.when(F.col("role") != "f", 1)).alias("s")).where("n > 1 and (rule not in ('i', 'j', 'k', 'n', 'm') or s = 1)")
     keys = cut(keys.join(shared.select("rule", "key"), ["rule", "key"]))
-    facts = cut(profiles.select("pid", F.nullif("middle", F.lit("")).alias("middle"), "name", ((F.col("given") == "") & (F.col("inits") != "")).alias("solo"), "family", F.col("pid").alias("cid")))
+    facts = cut(profiles.select("pid", F.nullif("middle", F.lit("")).alias("middle"), "name", ((F.col("given") == "") & (F.col("inits") != "")).alias("solo"), "family", F.col("pid").alias("cid"), F.lit(False).alias("moved")))
 
     for turn in range(_ROUNDS):
-        whole = facts.groupBy("cid").agg(F.min("middle").alias("mid_lo"), F.max("middle").alias("mid_hi"), F.min("name").alias("name_lo"), F.max("name").alias("name_hi"), F.min("solo").alias("solo"))
-        keyed = keys.join(facts.select("pid", "cid", "family"), "pid").join(whole, "cid")
-        roots = _edges(keyed, turn == 0)
-        roots = cut(roots)
-        if roots.isEmpty():
-            if turn:
-                break
-            continue
-        merged = components(facts, roots)
-        facts = cut(facts.join(merged, "cid", "left").withColumn("cid", F.coalesce("root", "cid")).drop("root"))
+        whole = facts.groupBy("cid").agg(F.min("middle").alias("mid_lo"), F.max("middle").alias("mid_hi"), F.min("name").alias("name_lo"), F.max("name").alias("name_hi"), F.min("solo").alias("solo_"))
+        rich = facts.join(whole, "cid").drop("solo").withColumnRenamed("solo_", "solo")
+        moves = _moves(keys.join(rich.drop("middle", "name", "moved"), "pid"), turn == 0)
+        # a move to a cluster that moves itself goes on to where that goes
+        onward = moves.select(F.col("cid").alias("to"), F.col("to").alias("further"))
+        moves = moves.join(onward, "to", "left").select("cid", F.coalesce("further", "to").alias("to"))
+        facts = cut(facts.drop("moved").join(moves, "cid", "left").withColumn("moved", F.col("to").isNotNull()).withColumn("cid", F.coalesce("to", "cid")).drop("to"))
+        if turn and facts.where("moved").isEmpty():
+            break
     return parsed.join(facts.select("pid", F.col("cid").alias("entity")), "pid").select(F.col("key_").alias(key), "entity")
 
 
