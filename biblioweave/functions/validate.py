@@ -27,7 +27,7 @@ def url_ok(c: Column, optional: bool = True) -> Column:
 
 def metadata_ok(c: Column) -> Column:
     """Whether a JSON text is an object of allowed size."""
-    return F.coalesce(F.ltrim(c).startswith("{") & F.try_parse_json(c).isNotNull() & (F.octet_length(c) <= BYTES["metadata"]), c.isNull())
+    return c.isNull() | F.coalesce(F.ltrim(c).startswith("{") & F.try_parse_json(c).isNotNull() & (F.octet_length(c) <= BYTES["metadata"]), F.lit(False))
 
 
 def orcid_ok(c: Column) -> Column:
