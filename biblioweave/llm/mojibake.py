@@ -172,7 +172,10 @@ def _encode(text: str, table: str) -> bytes | None:
             return None
 
 
-_RUN = re.compile(r"[^\x00-\x7f]+")
+#: A single character of a one-byte table can't be UTF-8 of several bytes, so runs have two or more.
+_RUN = re.compile(r"[^\x00-\x7f]{2,}")
+#: Sentences whose only other characters are typographic marks beside words and single small letters cost next to nothing.
+_USUAL_TEXT = re.compile(r"(?:[\x00-\x7f]|’|(?<![^\W\d_])[“”„‘–—…]|[“”„‘–—…](?![^\W\d_])|(?<![^\x00-\x7f])[ß-öø-ÿāăąćčďđēęěğīıłńňōőřśşšťūůűųźżž](?![^\x00-\x7f]))*")
 _SENTENCE = re.compile(r"\n|(?<=[.?!。！？])\s+|\s(?=[-•] )")
 
 
@@ -221,7 +224,7 @@ def _swap(text: str) -> str:
     spans = [*((m.start(), m.end()) for m in _SENTENCE.finditer(text)), (len(text), len(text))]
     for a, b in spans:
         s = text[at:a]
-        out.append(_best(s) if not s.isascii() else s)
+        out.append(s if s.isascii() or _USUAL_TEXT.fullmatch(s) else _best(s))
         out.append(text[a:b])
         at = b
     return "".join(out)
@@ -255,7 +258,7 @@ def restore(text: str) -> tuple[str, int, bool]:
         return text, 0, False
     layers = 0
     while layers < _MOST_LAYERS:
-        new = _swap(_unwrap(text))
+        new = _swap(_unwrap(text) if _RUN.search(text) else text)
         if new == text:
             break
         text, layers = new, layers + 1
@@ -271,7 +274,7 @@ def _lost(text: str) -> bool:
     """Whether a stretch is garbled beyond repair: controls that only a wrong table makes, or a sentence of very high cost."""
     if _C1.search(text):
         return True
-    return any(not s.isascii() and cost(s) >= max(3.0, 0.8 * math.sqrt(len(s))) for s in _SENTENCE.split(text) if s)
+    return any(not s.isascii() and not _USUAL_TEXT.fullmatch(s) and cost(s) >= max(3.0, 0.8 * math.sqrt(len(s))) for s in _SENTENCE.split(text) if s)
 
 
 def repair(df: DataFrame, key: str, column: str) -> DataFrame:

@@ -240,12 +240,14 @@ def _moves(keyed: DataFrame, first: bool) -> DataFrame:
         F.min(F.when(full, F.col("cid"))).alias("f0"), F.max(F.when(full, F.col("cid"))).alias("f1"), F.min(F.when(full, F.col("mid_lo"))).alias("fm0"), F.max(F.when(full, F.col("mid_hi"))).alias("fm1"),
     ).where("head.cid <> tail")
     met = rows.join(blocks, ["rule", "key"])
+    # swapped letters count twice in the edit distance
+    slips, letters = F.levenshtein("family", "head.family"), lambda c: F.array_sort(F.split(c, ""))
     one_middle = F.col("m0").isNull() | (F.col("m0") == F.col("m1"))
     one_name = F.col("g0").isNull() | (F.col("g0") == F.col("g1"))
     whole = (
         F.col("rule").isin("a", "A") & one_middle
         | (F.col("rule") == "b") & one_middle & one_name
-        | (F.col("rule") == "d") & one_middle & (F.levenshtein("family", "head.family") <= 3)
+        | (F.col("rule") == "d") & one_middle & ((slips <= 2) | (slips <= 4) & (letters("family") == letters("head.family")))
         | F.col("rule").isin("i", "I") & F.col("f0").isNull() & F.col("solo") & one_middle
     )
     part = F.col("rule").isin(*_PARTIAL) & (~full) & F.col("f0").isNotNull() & (F.col("solo") | F.col("rule").isin("n", "m"))
