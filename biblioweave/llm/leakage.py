@@ -25,6 +25,8 @@ LEAST_WORDS, ONE_IN = 20, 9
 BAND = 64
 #: Largest shift in words between two aligned words of one passage, for the banded alignment.
 SHIFT = 24
+#: Most words between two aligned words of one passage.
+GAP = 8
 #: Bytes of item text in one block of the query set; more items make more passes over the corpus.
 BLOCK_BYTES = 8 << 20
 _WORD = re.compile(r"\w+")
@@ -42,8 +44,8 @@ def words(text: str | None) -> list[str]:
 
 def _hashes(codes: np.ndarray) -> np.ndarray:
     """Rolling 64-bit hashes of the q-grams of a code point array."""
-    n = len(codes) - Q + 1
-    h = np.zeros(max(n, 0), np.uint64)
+    n = max(len(codes) - Q + 1, 0)
+    h = np.zeros(n, np.uint64)
     for k in range(Q):
         h = h * _BASE + codes[k : k + n].astype(np.uint64)
     return (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
@@ -71,10 +73,12 @@ class Index:
 
     def hits(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(position in h, item, position in the item) of every shared q-gram."""
+        if not len(self.keys):
+            return (np.zeros(0, np.int64),) * 3
         maybe = np.flatnonzero(self.seen[(h & np.uint64(_MASK)).astype(np.int64)])
         at = np.searchsorted(self.keys, h[maybe])
         at[at == len(self.keys)] = 0
-        good = self.keys[at] == h[maybe] if len(self.keys) else np.zeros(len(maybe), bool)
+        good = self.keys[at] == h[maybe]
         where, at = maybe[good], at[good]
         n = self.count[at]
         rows = np.repeat(np.arange(len(at)), n)
@@ -102,32 +106,49 @@ def passage(item: list[str], doc: list[str], lo: int, hi: int) -> tuple[int, int
     where: dict[str, list[int]] = {}
     for j, x in enumerate(doc):
         where.setdefault(x, []).append(j)
-    # chains of equal words: each state is the best chain that ends at (i, j) for the score 1 a word, ONE_IN an edit
-    ends: list[tuple[int, int, int, int, int]] = []  # i, j, score, first i, edits
-    best = (0, 0)
+    # chains of equal words in the band, two points a word and one off an edit: the words of a passage make one chain
+    cells: list[tuple[int, int]] = []  # positions of equal words, by item position
+    score: list[int] = []
+    back: list[int] = []
     for i, x in enumerate(item):
-        new = []
         for j in where.get(x, ()):
             if not lo <= j - i <= hi:
                 continue
-            score, start, edits = 1, i, 0
-            for pi, pj, ps, pf, pe in reversed(ends):
-                if i - pi > 6:
+            best, link = 2, -1
+            for k in range(len(cells) - 1, -1, -1):
+                pi, pj = cells[k]
+                if i - pi > GAP:
                     break
-                if pj >= j or j - pj > 6:
-                    continue
-                e = max(i - pi, j - pj) - 1
-                s = ps + (i - pi) - ONE_IN * e
-                if s > score or s == score and pf < start:
-                    score, start, edits = s, pf, pe + e
-            new.append((i, j, score, start, edits))
-            n = i - start + 1
-            # changed words at the ends belong to the passage as far as the budget goes
-            spare = max(0, LEAST_WORDS - n)
-            if (edits + spare) * ONE_IN <= n + spare + (ONE_IN - 1 if not spare else 0) and n > best[0]:
-                best = (n, edits)
-        ends += new
-    return best
+                if pi < i and pj < j <= pj + GAP and (s := score[k] + 3 - max(i - pi, j - pj)) > best:
+                    best, link = s, k
+            cells.append((i, j))
+            score.append(best)
+            back.append(link)
+    found, seen = (0, 0), set()
+    for end in sorted(range(len(cells)), key=score.__getitem__, reverse=True):
+        if end in seen or score[end] < LEAST_WORDS:
+            continue
+        chain, k = [], end
+        while k >= 0:
+            chain.append(k)
+            seen.add(k)
+            k = back[k]
+        chain.reverse()
+        edits, total = [], 0
+        for n, k in enumerate(chain):
+            if n:
+                (pi, pj), (i, j) = cells[chain[n - 1]], cells[k]
+                total += max(i - pi, j - pj) - 1
+            edits.append(total)
+        for b in range(len(chain)):
+            for a in range(b + 1):
+                n, e = cells[chain[b]][0] - cells[chain[a]][0] + 1, edits[b] - edits[a]
+                # changed words at the ends belong to the passage as far as the budget goes
+                spare = max(0, LEAST_WORDS - n)
+                if n > found[0] and (e + spare) * ONE_IN <= n + spare:
+                    found = (n, e)
+                    break
+    return found
 
 
 def _leaks(index: Index, texts: list[str | None]) -> list[tuple[int, int, int, int]]:

@@ -28,7 +28,7 @@ PAIRS = (
     ("cp1251", "cp866"), ("cp866", "cp1251"), ("cp1252", "cp866"), ("latin-1", "iso8859_5"), ("cp1251", "iso8859_5"), ("cp1251", "mac_cyrillic"), ("koi8_r", "cp866"), ("cp866", "koi8_r"),
     ("cp1252", "mac_roman"), ("mac_roman", "cp1252"), ("cp437", "cp1252"), ("cp850", "cp1252"), ("cp1252", "cp437"), ("cp1252", "cp850"), ("latin-1", "cp437"), ("latin-1", "cp850"), ("latin-1", "mac_roman"), ("mac_roman", "cp850"), ("mac_roman", "cp437"),
     ("cp1252", "cp1250"), ("cp1250", "cp1252"), ("latin-1", "iso8859_2"), ("cp1252", "iso8859_2"), ("iso8859_2", "cp1250"), ("cp1250", "iso8859_2"), ("cp1251", "cp1252"), ("cp1252", "cp852"), ("cp852", "cp1250"), ("cp1251", "cp1250"), ("cp1250", "cp1251"), ("cp1253", "cp1252"), ("cp866", "cp1252"), ("koi8_r", "cp1252"),
-    ("cp1252", "cp932"), ("latin-1", "cp932"), ("cp1252", "euc_jp"), ("latin-1", "euc_jp"), ("cp1252", "gb18030"), ("latin-1", "gb18030"), ("cp1252", "big5"), ("cp1252", "euc_kr"), ("mac_roman", "cp932"), ("mac_roman", "euc_jp"), ("cp437", "cp932"), ("cp1251", "cp932"), ("cp1251", "euc_jp"), ("gb18030", "euc_jp"), ("cp932", "euc_jp"), ("euc_jp", "cp932"), ("cp932", "gb18030"), ("gb18030", "cp932"),
+    ("cp1252", "cp932"), ("latin-1", "cp932"), ("cp1252", "euc_jp"), ("latin-1", "euc_jp"), ("mac_roman", "cp932"), ("mac_roman", "euc_jp"), ("cp437", "cp932"), ("cp1251", "cp932"), ("cp1251", "euc_jp"), ("gb18030", "euc_jp"), ("cp932", "euc_jp"), ("euc_jp", "cp932"), ("gb18030", "cp932"),
 )
 #: Russian letters by frequency in running text, most frequent first (fixed values).
 _RUSSIAN = "оеаинтсрвлкмдпуяыьгзбчйхжшюцщэфъё"
@@ -230,6 +230,15 @@ def _swap(text: str) -> str:
     return "".join(out)
 
 
+_JAPANESE = ("cp932", "euc_jp")
+
+
+def _japanese(text: str) -> bool:
+    """Whether a text reads as Japanese: hiragana make a good part of it, as these tables turn any bytes into some characters."""
+    wide = [ch for ch in text if not ch.isascii()]
+    return sum("ぁ" <= ch <= "ゟ" for ch in wide) >= 0.2 * len(wide)
+
+
 def _best(sentence: str) -> str:
     now = cost(sentence)
     odd = sum(1 for ch in sentence if not ch.isascii())
@@ -244,7 +253,7 @@ def _best(sentence: str) -> str:
             got = raw.decode(written)
         except UnicodeDecodeError:
             continue
-        if got == sentence:
+        if got == sentence or written in _JAPANESE and not _japanese(got):
             continue
         c = cost(got)
         if c < at - 1e-9:
