@@ -38,6 +38,8 @@ _USUAL = 0.36
 #: Typographic signs and symbols that proper text holds beside blanks or letters; their plain use costs nothing.
 _PROPER = set("“”„‘’‚«»–—…·•©®°§£€¥×÷±≤≥≈¿¡№′″ ªº²³½¼¾−‐‑…、。「」『』・〜：；！？（）｛｝［］／＋－＝　™")
 _BEFORE_WORD, _AFTER_WORD = set("“„‘«¿¡£€§°©№ª‚"), set("”’»…°²³ªº®™“")
+#: Letters that stand as words of their own in some language, or as symbols.
+_ALONE = set("àáâéèêóòôúùåæøðþÀÁÂÉÈÊÓÒÔÚÙÅÆØÐÞµ")
 _MOST_LAYERS = 8
 
 
@@ -86,6 +88,8 @@ def cost(text: str) -> float:
         if ch.isascii():
             if ch < " " and ch not in "\t\n\r\x0b\x0c":
                 total += 2
+            elif ch == "?" and 0 < i < end - 1 and text[i - 1].isalpha() and text[i + 1].isalpha():
+                total += 0.8  # a letter that some table lacked
             continue
         k = kinds[i]
         before, after = (text[i - 1] if i else " "), (text[i + 1] if i + 1 < end else " ")
@@ -98,10 +102,14 @@ def cost(text: str) -> float:
         elif k == "b":
             total += 1.0 if letter_b and letter_a and not before.isascii() else 0.2
         elif k == "s":
-            if ch not in _PROPER:
+            if unicodedata.category(ch) == "Sk":
+                total += 2.0 if letter_b or letter_a else 1.5
+            elif ch in "²³¹" and not before.isalnum():
+                total += 1.0  # a power of nothing
+            elif ch not in _PROPER:
                 total += 2.0 if letter_b or letter_a else 0.6
             elif letter_b and letter_a:
-                total += 0.9 if ch in "–—" else 0.0 if ch in "’·" or before.isascii() and after.isascii() and ch in "‑‐" or _script(before) in "J" or _script(after) in "J" else 1.5
+                total += 0.9 if ch in "–—" else 0.0 if ch == "’" or ch == "·" and before in "lL" and after in "lL" or before.isascii() and after.isascii() and ch in "‑‐" or _script(before) in "J" or _script(after) in "J" else 1.5
             elif letter_b:
                 total += 0.0 if ch in _AFTER_WORD or ch in "–—„" or _script(before) == "J" else 1.0
             elif letter_a:
@@ -120,8 +128,16 @@ def cost(text: str) -> float:
                 total += 1.5
             elif k == "l" and ka == "u" and not letter_b and i + 2 < end and kinds[i + 2] == "u":
                 total += 1.5
-            elif k == "u" and ka == "l" and letter_b and kb == "u":
-                total += 0.3
+            elif k == "u" and ka == "l" and kb == "u":
+                total += 0.8
+            elif s == "L" and not letter_b and not letter_a:
+                total += 0.0 if ch in _ALONE else 0.8
+            elif ch in "ìî" and (not letter_b and ch == "ì" or not letter_a and ch == "î"):
+                total += 0.8
+            elif ch == "í" and after == "s" and letter_b and not text[i + 2 : i + 3].isalpha():
+                total += 0.4
+            elif ch == "ı":
+                total += 0.4
             if s == "L":
                 if letter_b and not before.isascii() and _script(before) == "L":
                     total += 0.1 if k == "u" and kb == "u" else 0.5
@@ -175,7 +191,7 @@ def _encode(text: str, table: str) -> bytes | None:
 #: A single character of a one-byte table can't be UTF-8 of several bytes, so runs have two or more.
 _RUN = re.compile(r"[^\x00-\x7f]{2,}")
 #: Sentences whose only other characters are typographic marks beside words and single small letters cost next to nothing.
-_USUAL_TEXT = re.compile(r"(?:[\x00-\x7f]|’|(?<![^\W\d_])[“”„‘–—…]|[“”„‘–—…](?![^\W\d_])|(?<![^\x00-\x7f])[ß-öø-ÿāăąćčďđēęěğīıłńňōőřśşšťūůűųźżž](?![^\x00-\x7f]))*")
+_USUAL_TEXT = re.compile(r"(?:[\x00-\x3e\x40-\x7f]|\?(?!\w)|(?<!\w)\?|’|(?<=\w)ñ|ñ(?=\w)|í(?!s\b)|(?<![^\W\d_])[“”„‘–—…]|[“”„‘–—…](?![^\W\d_])|(?<![^\x00-\x7f])[ß-ëïðòóôõöø-ÿāăąćčďđēęěğīłńňōőřśşšťūůűųźżž](?![^\x00-\x7f]))*")
 _SENTENCE = re.compile(r"\n|(?<=[.?!。！？])\s+|\s(?=[-•] )")
 
 
