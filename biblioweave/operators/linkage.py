@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from biblioweave.functions import names as N
+from biblioweave.operators.ranks import numbered
 
 
 def assign_slugs(authors: DataFrame, key: str = "author_id") -> DataFrame:
@@ -15,15 +16,14 @@ def assign_slugs(authors: DataFrame, key: str = "author_id") -> DataFrame:
     author keeps it and the number goes on, so that slugs are unique. Rows need full_name, family_name, given_name, created_at.
     """
     based = authors.select(key, "created_at", N.base_slug(F.col("family_name"), F.col("given_name"), F.col("full_name")).alias("base"))
-    n = F.row_number().over(Window.partitionBy("base").orderBy("created_at", key))
-    first = based.withColumn("n", n)
+    first = numbered(based, ["base"], [F.col("created_at"), F.col(key)], "n")
     plain = first.where("n = 1").select("base").withColumnRenamed("base", "taken")
-    numbered = first.where("n > 1")
+    later = first.where("n > 1")
     # natural slugs that look like a numbered one of this base push its numbers on
-    clash = plain.withColumn("of", F.regexp_extract("taken", "^(.*)-(\\d+)$", 1)).withColumn("k", F.regexp_extract("taken", "-(\\d+)$", 1).try_cast("int")).where("k >= 2")
+    clash = plain.withColumn("of", F.regexp_extract("taken", "^(.*)-(\\d+)$", 1)).withColumn("k", F.regexp_extract("taken", "-(\\d+)$", 1).try_cast("long")).where("k >= 2")
     blocked = clash.groupBy("of").agg(F.array_sort(F.collect_set("k")).alias("ks"))
-    free = numbered.join(blocked, F.col("base") == F.col("of"), "left")
-    number = F.aggregate(F.coalesce("ks", F.array().cast("array<int>")), F.col("n"), lambda acc, k: F.when(k <= acc, acc + 1).otherwise(acc))
+    free = later.join(blocked, F.col("base") == F.col("of"), "left")
+    number = F.aggregate(F.coalesce("ks", F.array().cast("array<long>")), F.col("n"), lambda acc, k: F.when(k <= acc, acc + 1).otherwise(acc))
     return first.where("n = 1").select(key, F.col("base").alias("slug")).union(free.select(key, F.concat_ws("-", "base", number.cast("string"))))
 
 
@@ -35,9 +35,10 @@ def keep_first(df: DataFrame, keys: list[Column], order: list[Column]) -> DataFr
 
 def canonical_keys(rows: DataFrame, key: str, by_file: Column | None = None) -> DataFrame:
     """``rows`` with canonical_key ``VENUEYEAR-type-n``, n counted within (file,) venue, year and type in order of ``key``."""
-    parts = [F.col("venue"), F.col("year"), F.col("paper_type"), *([by_file] if by_file is not None else [])]
-    n = F.row_number().over(Window.partitionBy(*parts).orderBy(key))
-    return rows.withColumn("canonical_key", F.concat(F.col("venue"), F.col("year").cast("string"), F.lit("-"), F.col("paper_type"), F.lit("-"), n.cast("string")))
+    file = F.lit("") if by_file is None else by_file
+    counted = numbered(rows.withColumn("file_", file), ["venue", "year", "paper_type", "file_"], [F.col(key)], "n_")
+    name = F.concat(F.col("venue"), F.col("year").cast("string"), F.lit("-"), F.col("paper_type"), F.lit("-"), F.col("n_").cast("string"))
+    return counted.withColumn("canonical_key", name).drop("file_", "n_")
 
 
 def get_or_create(mentions: DataFrame, authors: DataFrame, variants: DataFrame | None = None) -> DataFrame:

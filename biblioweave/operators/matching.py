@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from biblioweave.functions import names as N
+from biblioweave.operators.ranks import carried
 
 #: Scores of a confident match and of one that counts at all, and what each of two matching authors adds (fixed values).
 CONFIDENT, WEAK, PER_AUTHOR = 0.62, 0.45, 0.15
@@ -94,7 +95,4 @@ def last_of(df: DataFrame, key: str, order: str) -> DataFrame:
 
 def carry_forward(df: DataFrame, by: list[str], order: str, column: str, into: str) -> DataFrame:
     """``df`` with the last non-empty value of ``column`` up to each row, as headings of a page govern the rows below."""
-    w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn(into, F.last(F.nullif(F.col(column), F.lit("")), ignorenulls=True).over(w))
-
-
+    return carried(df, by, [F.col(order)], F.nullif(F.col(column), F.lit("")), into)

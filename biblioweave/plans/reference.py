@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from biblioweave.functions import extract as X
 from biblioweave.functions import names as N
 from biblioweave.functions import validate as V
 from biblioweave.operators import linkage, matching, mutate, search, statistics
+from biblioweave.operators.ranks import numbered
 from biblioweave.plans import silver
 from biblioweave.plans.silver import SQL as SILVER
 from biblioweave.plans.silver import sql_collapse, sql_fold, sql_items, sql_norm
@@ -162,7 +163,7 @@ list_position(['regular','poster','invited','tutorial','keynote','plenary','plen
 def conference_program_sorted(spark: SparkSession, base: str) -> DataFrame:
     w = table(spark, base, "workshop", "venue", "year", "record_id", "scheduled_date", "scheduled_time", "paper_type", "title")
     order = [F.coalesce(F.nullif("scheduled_date", F.lit("")), F.lit("9999-12-31")), F.coalesce(F.nullif("scheduled_time", F.lit("")), F.lit("23:59:59")), V.ordinal(F.col("paper_type"), V.PAPER_TYPES).asc_nulls_last(), F.asc_nulls_last("title"), F.asc("record_id")]
-    return w.select("venue", "year", "record_id", F.row_number().over(Window.partitionBy("venue", "year").orderBy(*order)).alias("place"))
+    return numbered(w, ["venue", "year"], order, "place").select("venue", "year", "record_id", "place")
 
 
 @query("""SELECT publication_id, string_agg(full_name, '; ' ORDER BY author_position, authorship_id) authors FROM authorships s JOIN authors a ON a.author_id = s.author_id WHERE publication_id IS NOT NULL GROUP BY 1""")
@@ -188,8 +189,8 @@ def committee_sections_enum_order(spark: SparkSession, base: str) -> DataFrame:
 
 @query(SILVER + """SELECT author_id, row_number() OVER (PARTITION BY author_id ORDER BY year DESC, venue, list_position(['OC','PC','SC','Local'], committee) ASC NULLS LAST, role_id) place, venue, year::BIGINT AS year, committee, position, role_title FROM s_roles""")
 def committee_by_author(spark: SparkSession, base: str) -> DataFrame:
-    w = Window.partitionBy("author_id").orderBy(F.desc("year"), "venue", V.ordinal(F.col("committee"), V.COMMITTEE_TYPES).asc_nulls_last(), "role_id")
-    return silver.roles(spark, base).select("author_id", F.row_number().over(w).alias("place"), "venue", "year", "committee", "position", "role_title")
+    order = [F.desc("year"), F.asc("venue"), V.ordinal(F.col("committee"), V.COMMITTEE_TYPES).asc_nulls_last(), F.asc("role_id")]
+    return numbered(silver.roles(spark, base), ["author_id"], order, "place").select("author_id", "place", "venue", "year", "committee", "position", "role_title")
 
 
 @query(SILVER + f"""SELECT a.publication_id, a.author_id, coalesce({sql_norm('p.speakers')} = {sql_norm('a.name')}, false) is_speaker FROM s_authorships a JOIN s_pubs p ON p.publication_id = a.publication_id""")

@@ -161,3 +161,22 @@ def test_stream_counts(spark, tmp_path) -> None:  # noqa: ANN001
     q.processAllAvailable()
     q.stop()
     assert spark.sql("select sum(n) from w").first()[0] >= 1
+
+
+def test_numbers_and_carried_values(spark) -> None:  # noqa: ANN001
+    from biblioweave.operators.ranks import carried, numbered
+
+    rng = random.Random(4)
+    rows = [(rng.choice(["hot", "hot", "hot", "b", None]), k, rng.choice([None, "x", "y"])) for k in range(300)]
+    df = spark.createDataFrame(rows, "g string, k int, v string")
+    counts: dict = {}
+    want = {}
+    last: dict = {}
+    carry = {}
+    for g, k, v in rows:
+        counts[g] = counts.get(g, 0) + 1
+        want[k] = counts[g]
+        last[g] = v if v is not None else last.get(g)
+        carry[k] = last[g]
+    assert {r["k"]: r["n"] for r in numbered(df, ["g"], [F.col("k")], "n").collect()} == want
+    assert {r["k"]: r["c"] for r in carried(df, ["g"], [F.col("k")], F.col("v"), "c").collect()} == carry
