@@ -5,7 +5,8 @@ for a group its own word and the initials of the rest. Profiles meet under block
 agree but for a typing slip; a merge unions the spellings, given names and middle initials of both, and the richer
 profile is matched again, until a round merges nothing. Blocks are resolved by aggregation (smallest member, least
 and largest conflicting mark), never by forming pairs, so that a name shared by a third of all rows costs no more
-than its rows.
+than its rows. Every join is by merge: a profile has some thirty keys, which the planner doesn't see when it judges by
+the size of the files whether a side may be broadcast.
 """
 
 from __future__ import annotations
@@ -239,7 +240,7 @@ def _moves(keyed: DataFrame, first: bool) -> DataFrame:
         F.min(F.struct("cid", "family")).alias("head"), F.max("cid").alias("tail"), F.min("mid_lo").alias("m0"), F.max("mid_hi").alias("m1"), F.min("name_lo").alias("g0"), F.max("name_hi").alias("g1"),
         F.min(F.when(full, F.col("cid"))).alias("f0"), F.max(F.when(full, F.col("cid"))).alias("f1"), F.min(F.when(full, F.col("mid_lo"))).alias("fm0"), F.max(F.when(full, F.col("mid_hi"))).alias("fm1"),
     ).where("head.cid <> tail")
-    met = rows.join(blocks, ["rule", "key"])
+    met = rows.join(blocks.hint("merge"), ["rule", "key"])
     # swapped letters count twice in the edit distance
     slips, letters = F.levenshtein("family", "head.family"), lambda c: F.array_sort(F.split(c, ""))
     one_middle = F.col("m0").isNull() | (F.col("m0") == F.col("m1"))
@@ -296,23 +297,23 @@ def resolve(names: DataFrame, key: str, column: str) -> DataFrame:
     keys = keys.select("pid", "rule", "role", F.xxhash64("k").alias("key")).distinct()
     # most keys are held by one profile and can never merge anything
     shared = keys.groupBy("rule", "key").agg(F.count("*").alias("n"), F.max(F.when(F.col("role") != "f", 1)).alias("s")).where("n > 1 and (rule not in ('i', 'j', 'k', 'n', 'm') or s = 1)")
-    keys = cut(keys.join(shared.select("rule", "key"), ["rule", "key"]))
+    keys = cut(keys.join(shared.select("rule", "key").hint("merge"), ["rule", "key"]))
     facts = cut(profiles.select("pid", F.nullif("middle", F.lit("")).alias("middle"), "name", ((F.col("given") == "") & (F.col("inits") != "")).alias("solo"), "family", F.col("pid").alias("cid"), F.lit(False).alias("moved")))
 
     for turn in range(_ROUNDS):
         whole = facts.groupBy("cid").agg(F.min("middle").alias("mid_lo"), F.max("middle").alias("mid_hi"), F.min("name").alias("name_lo"), F.max("name").alias("name_hi"), F.min("solo").alias("solo_"))
-        rich = facts.join(whole, "cid").drop("solo").withColumnRenamed("solo_", "solo")
-        moves = _moves(keys.join(rich.drop("middle", "name", "moved"), "pid"), turn == 0)
+        rich = facts.join(whole.hint("merge"), "cid").drop("solo").withColumnRenamed("solo_", "solo")
+        moves = _moves(keys.join(rich.drop("middle", "name", "moved").hint("merge"), "pid"), turn == 0)
         # a move to a cluster that moves itself goes on to where that goes
         onward = moves.select(F.col("cid").alias("to"), F.col("to").alias("further"))
-        moves = moves.join(onward, "to", "left").select("cid", F.coalesce("further", "to").alias("to"))
-        facts = cut(facts.drop("moved").join(moves, "cid", "left").withColumn("moved", F.col("to").isNotNull()).withColumn("cid", F.coalesce("to", "cid")).drop("to"))
+        moves = moves.join(onward.hint("merge"), "to", "left").select("cid", F.coalesce("further", "to").alias("to"))
+        facts = cut(facts.drop("moved").join(moves.hint("merge"), "cid", "left").withColumn("moved", F.col("to").isNotNull()).withColumn("cid", F.coalesce("to", "cid")).drop("to"))
         if turn and facts.where("moved").isEmpty():
             break
-    return parsed.join(facts.select("pid", F.col("cid").alias("entity")), "pid").select(F.col("key_").alias(key), "entity")
+    return parsed.join(facts.select("pid", F.col("cid").alias("entity")).hint("merge"), "pid").select(F.col("key_").alias(key), "entity")
 
 
 def linked_pairs(entities: DataFrame, key: str) -> DataFrame:
     """(``key``_a, ``key``_b): each pair of spellings of one entity, smaller key first."""
     left, right = entities.select(F.col(key).alias(f"{key}_a"), "entity"), entities.select(F.col(key).alias(f"{key}_b"), "entity")
-    return left.join(right, "entity").where(F.col(f"{key}_a") < F.col(f"{key}_b")).select(f"{key}_a", f"{key}_b")
+    return left.join(right.hint("merge"), "entity").where(F.col(f"{key}_a") < F.col(f"{key}_b")).select(f"{key}_a", f"{key}_b")
