@@ -126,7 +126,7 @@ def mix(docs: DataFrame, targets: DataFrame, seed: int = 0, total: int | None =
     slots = slots.select("slot", "source", (F.col("rank_") % F.col("lap_")).alias("block_"), (F.floor(F.col("rank_") / F.col("lap_")) + 1).cast("int").alias("repeat"))
     slots = slots.where(F.col("repeat") <= F.try_element_at(table(lambda s: goal[s][1]), F.col("source")))
 
-    chosen = cut(slots.join(drawn, ["source", "block_"]).select("slot", "doc_id", "source", "repeat", "tokens"))
+    chosen = cut(slots.join(drawn.hint("merge"), ["source", "block_"]).select("slot", "doc_id", "source", "repeat", "tokens"))
     sums = chosen.groupBy("source").agg(F.sum("tokens").alias("t")).collect()  # one row a source
     reached = {r["source"]: r["t"] for r in sums}
     every = sum(reached.values()) or 1

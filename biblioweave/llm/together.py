@@ -73,6 +73,26 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of equal codes added up in a sorted stream of counted runs; the last code of a batch waits for the next."""
+    last_code = last_count = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        codes, counts = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        first = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
+        codes, counts = codes[first], np.add.reduceat(counts, first)
+        if last_code is not None:
+            if codes[0] == last_code:
+                counts[0] += last_count
+            else:
+                codes, counts = np.r_[last_code, codes], np.r_[last_count, counts]
+        last_code, last_count = codes[-1], counts[-1]
+        yield pa.RecordBatch.from_arrays([pa.array(codes[:-1]), pa.array(counts[:-1])], names=["pair_", "n_ab_"])
+    if last_code is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([int(last_code)], pa.int64()), pa.array([int(last_count)], pa.int64())], names=["pair_", "n_ab_"])
+
+
 def pair_counts(members: DataFrame, least: int = 1, most_share: float | None = None) -> tuple[DataFrame, DataFrame, int]:
     """(pairs, items, baskets): pairs (a_, b_, n_ab_) of codes with n_ab_ >= least, items (i_, n_, code_), number of baskets.
 
@@ -89,7 +109,7 @@ def pair_counts(members: DataFrame, least: int = 1, most_share: float | None = N
     coded = members.join(known, "i_").select("b_", "code_")
     # a basket is cut into tiles of bounded size (by its code order); each pair of tiles is a task's unit of work
     sized = coded.groupBy("b_").agg(F.count("*").alias("k_")).where("k_ > 1")
-    tiled = coded.join(sized, "b_").withColumn("tile_", F.when(F.col("k_") <= TILE, F.lit(0)).otherwise(F.pmod(F.xxhash64("code_"), F.ceil(F.col("k_") / TILE))).cast("int"))
+    tiled = coded.join(sized.hint("merge"), "b_").withColumn("tile_", F.when(F.col("k_") <= TILE, F.lit(0)).otherwise(F.pmod(F.xxhash64("code_"), F.ceil(F.col("k_") / TILE))).cast("int"))
     tiles = tiled.groupBy("b_", "tile_").agg(F.collect_list("code_").alias("codes_"), F.max("k_").alias("k_"))
     small = tiles.where(F.col("k_") <= TILE).select(F.col("codes_").alias("a_"), F.array().cast("array<long>").alias("b_"), F.lit(True).alias("same_"))
     # only tiles of long baskets pair up: the tile numbers of a basket are few, and each row is a tile, not a member
@@ -97,10 +117,12 @@ def pair_counts(members: DataFrame, least: int = 1, most_share: float | None = N
     inside = long.select(F.col("codes_").alias("a_"), F.array().cast("array<long>").alias("b_"), F.lit(True).alias("same_"))
     with_next = long.withColumn("other_", F.explode(F.sequence(F.lit(0), F.ceil(F.col("k_") / TILE).cast("int") - 1))).where("other_ > tile_")
     right = long.select(F.col("b_").alias("rb_"), F.col("tile_").alias("rt_"), F.col("codes_").alias("rc_"))
-    across = with_next.join(right, (F.col("b_") == F.col("rb_")) & (F.col("other_") == F.col("rt_"))).select(F.col("codes_").alias("a_"), F.col("rc_").alias("b_"), F.lit(False).alias("same_"))
+    across = with_next.join(right.hint("merge"), (F.col("b_") == F.col("rb_")) & (F.col("other_") == F.col("rt_"))).select(F.col("codes_").alias("a_"), F.col("rc_").alias("b_"), F.lit(False).alias("same_"))
     work = small.union(inside.union(across).repartition("a_"))
     runs = work.mapInArrow(_runs, "pair_ long, c_ long")
-    pairs = runs.groupBy("pair_").agg(F.sum("c_").alias("n_ab_")).where(F.col("n_ab_") >= least)
+    # the shuffle's external sorter merges the runs of a partition, spilling as it must; equal codes then stand together
+    sorted_runs = runs.repartition("pair_").sortWithinPartitions("pair_")
+    pairs = sorted_runs.mapInArrow(_merged, "pair_ long, n_ab_ long").where(F.col("n_ab_") >= least)
     half = F.lit((1 << 32) - 1)
     return pairs.select(F.shiftright("pair_", 32).alias("a_"), F.col("pair_").bitwiseAND(half).alias("b_"), "n_ab_"), items, baskets
 
