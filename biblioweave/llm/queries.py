@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from biblioweave.functions import names as N
 from biblioweave.llm import leakage, lookalike, mixing, mojibake, people, together
+from biblioweave.operators import packed
 from biblioweave.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +55,14 @@ def p6_associations(spark: SparkSession, base: str) -> DataFrame:
     return found.withColumns({"lift": F.round("lift", 6), "odds_ratio": F.round("odds_ratio", 4), "log_odds_z": F.round("log_odds_z", 6)})
 
 
+def p6_names(spark: SparkSession, base: str) -> DataFrame:
+    """Pairs of names that stand together in two workshop rows or more, each name in one form."""
+    names = packed.unpack(table(spark, base, "workshop", "record_id", "authors"), "record_id", {"authors": "person"})
+    keyed = names.select("record_id", N.normalize_name(F.col("item")).alias("name")).where("name <> ''")
+    found = together.associations(keyed, "record_id", "name", least=2)
+    return found.withColumns({"lift": F.round("lift", 6), "odds_ratio": F.round("odds_ratio", 4), "log_odds_z": F.round("log_odds_z", 6)})
+
+
 def p7_passages(spark: SparkSession, base: str) -> DataFrame:
     """The leaked items of every document, with the length of the longest passage and its edits."""
     return leakage.leaked(table(spark, base, "documents", "doc_id", "text"), table(spark, base, "eval_items", "item_id", "text"))
@@ -85,7 +95,7 @@ def p9_found(spark: SparkSession, base: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_entities, p5_found, p5_unified, p6_found, p6_associations, p7_found, p7_passages, p8_mix, p8_shares, p9_found, p9_restored)}
+    return {f.__name__: f for f in (p1_found, p1_entities, p5_found, p5_unified, p6_found, p6_associations, p6_names, p7_found, p7_passages, p8_mix, p8_shares, p9_found, p9_restored)}
 
 
 _PAIRS = """
