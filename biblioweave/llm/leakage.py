@@ -29,6 +29,8 @@ SHIFT = 24
 GAP = 8
 #: Bytes of item text in one block of the query set; more items make more passes over the corpus.
 BLOCK_BYTES = 8 << 20
+#: Characters of text hashed at a time.
+PART = 2 << 20
 _WORD = re.compile(r"\w+")
 _MASK = (1 << 22) - 1
 _BASE = np.uint64(1099511628211)
@@ -202,6 +204,18 @@ def _leaks(index: Index, texts: list[str | None]) -> list[tuple[int, int, int, i
     return out
 
 
+def _parts(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+    """Bounds of stretches of the batch of about PART characters, each text whole, so that memory doesn't follow the batch."""
+    a = size = 0
+    for z, t in enumerate(texts):
+        size += len(t or "")
+        if size >= PART:
+            yield a, z + 1
+            a, size = z + 1, 0
+    if a < len(texts):
+        yield a, len(texts)
+
+
 def leaked(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key: str = "item_id", text: str = "text") -> DataFrame:
     """(``doc_key``, ``item_key``, words, edits): the documents that hold a passage of an item, once for each of its items.
 
@@ -228,8 +242,9 @@ def leaked(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key:
         def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:  # noqa: ANN001
             index = Index(*shared.value)
             for b in batches:
-                keys = b[doc_key].to_numpy()
-                rows = [(keys[d], index.ids[k], n, e) for d, k, n, e in _leaks(index, b[text].tolist())]
+                keys, texts, rows = b[doc_key].to_numpy(), b[text].tolist(), []
+                for a, z in _parts(texts):
+                    rows += [(keys[a + d], index.ids[k], n, e) for d, k, n, e in _leaks(index, texts[a:z])]
                 yield pd.DataFrame(rows, columns=[doc_key, item_key, "words", "edits"])
 
         some = docs.select(F.col(f"`{doc_key}`").alias(doc_key), F.col(f"`{text}`").alias(text)).where(F.length(F.col(text)) > LEAST_WORDS).mapInPandas(run, schema)
