@@ -36,16 +36,30 @@ def title_candidates(left: DataFrame, right: DataFrame, block: list[str], least:
     return scored.where(F.col("score") >= least).select("left_id", "right_id", *block, "score")
 
 
+def with_author_bonus(scored: DataFrame, authors: DataFrame, texts: DataFrame) -> DataFrame:
+    """``scored`` with title_score (the score so far), overlap and score: title_score + PER_AUTHOR for each of two authors at most.
+
+    authors: (left_id, names array), texts: (right_id, text). An author overlaps if the last word of the importer's form of the
+    name is a word of the text. Missing authors or texts overlap with nothing.
+    """
+    last = authors.select("left_id", F.filter(F.transform("names", lambda a: F.substring_index(N.importer_name(a), " ", -1)), lambda x: x != "").alias("last_"))
+    said = texts.select("right_id", F.regexp_extract_all(N.importer_name(F.col("text")), F.lit("([a-z0-9]+)")).alias("said_"))
+    both = scored.join(last, "left_id", "left").join(said, "right_id", "left")
+    overlap = F.coalesce(F.size(F.filter("last_", lambda x: F.array_contains("said_", x))), F.lit(0))
+    out = both.withColumn("overlap", F.greatest(overlap, F.lit(0))).withColumnRenamed("score", "title_score")
+    return out.withColumn("score", F.col("title_score") + PER_AUTHOR * F.least("overlap", F.lit(2))).drop("last_", "said_")
+
+
 def greedy_assignment(scored: DataFrame, block: list[str], score: str = "score", confident: float = CONFIDENT) -> DataFrame:
     """(*block, left_id, right_id, score, confident): one-to-one pairs, best score first, within each block.
 
-    Ties go to the larger left id, then the larger right id. A block is a conference, whose candidates are few; the
+    Ties go to the larger title_score and overlap where the candidates have them, then to the larger left and right id. A block is a conference, whose candidates are few; the
     order of the choice is the rule here, so that each block is decided in one place.
     """
     schema = ", ".join(f"{n} {t}" for n, t in scored.select(*block, "left_id", "right_id").dtypes) + ", score double, confident boolean"
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([score, "left_id", "right_id"], ascending=False)
+        pdf = pdf.sort_values([score, *[c for c in ("title_score", "overlap") if c in pdf], "left_id", "right_id"], ascending=False)
         used_l, used_r, rows = set(), set(), []
         for row in pdf.itertuples(index=False):
             if row.left_id not in used_l and row.right_id not in used_r:

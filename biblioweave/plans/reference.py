@@ -413,9 +413,35 @@ def title_jaccard_candidates(spark: SparkSession, base: str) -> DataFrame:
     return _candidates(spark, base).withColumn("score", F.round("score", 6))
 
 
+def _scored(spark: SparkSession, base: str) -> DataFrame:
+    names = table(spark, base, "papers_compact", "paper_id", "authors").select(F.col("paper_id").alias("left_id"), X.list_items(F.col("authors")).alias("names"))
+    texts = table(spark, base, "workshop", "record_id", "title", "authors").select(F.col("record_id").alias("right_id"), F.concat_ws(" ", "title", "authors").alias("text"))
+    return matching.with_author_bonus(_candidates(spark, base), names, texts)
+
+
 @query(None)
 def greedy_assignment(spark: SparkSession, base: str) -> DataFrame:
-    return matching.greedy_assignment(_candidates(spark, base), ["venue", "year"])
+    return matching.greedy_assignment(_scored(spark, base), ["venue", "year"])
+
+
+@query(f"""WITH a AS (SELECT paper_id left_id, venue, year, {_tokens('title')} a, list_transform(list_filter(list_transform(string_split(authors, ';'), lambda x: trim(x)), lambda x: x <> ''), lambda x: string_split({_importer('x')}, ' ')[-1]) names FROM papers_compact WHERE title IS NOT NULL),
+b AS (SELECT record_id right_id, venue, year, {_tokens('title')} b, regexp_extract_all({_importer("concat_ws(' ', title, authors)")}, '[a-z0-9]+') said FROM workshop WHERE title IS NOT NULL),
+p AS (SELECT left_id, right_id, len(list_intersect(a, b))::DOUBLE / len(list_distinct(list_concat(a, b))) title_score, coalesce(len(list_filter(names, lambda x: x <> '' AND list_contains(said, x))), 0) overlap FROM a JOIN b ON a.venue = b.venue AND a.year = b.year WHERE len(a) > 0 AND len(b) > 0)
+SELECT left_id, right_id, round(title_score, 6) title_score, overlap, round(title_score + 0.15 * least(overlap, 2), 6) score FROM p WHERE title_score >= 0.45""")
+def title_scores_with_authors(spark: SparkSession, base: str) -> DataFrame:
+    return _scored(spark, base).select("left_id", "right_id", F.round("title_score", 6).alias("title_score"), "overlap", F.round("score", 6).alias("score"))
+
+
+@query(f"""WITH a AS (SELECT paper_id, venue, year, {_tokens('title')} a FROM papers_compact WHERE title IS NOT NULL), b AS (SELECT venue, year, {_tokens('title')} b FROM workshop WHERE title IS NOT NULL),
+p AS (SELECT paper_id, max(len(list_intersect(a, b))::DOUBLE / len(list_distinct(list_concat(a, b)))) s FROM a JOIN b ON a.venue = b.venue AND a.year = b.year WHERE len(a) > 0 AND len(b) > 0 GROUP BY 1),
+c AS (SELECT CASE WHEN s >= 0.62 THEN 'matched' WHEN s >= 0.45 THEN 'weak' ELSE 'unmatched' END category FROM papers_compact LEFT JOIN p USING (paper_id))
+SELECT category, count(*) n, floor(100 * count(*) / (SELECT count(*) FROM c))::BIGINT percent FROM c GROUP BY 1""")
+def match_report(spark: SparkSession, base: str) -> DataFrame:
+    best = _candidates(spark, base).groupBy(F.col("left_id").alias("paper_id")).agg(F.max("score").alias("s"))
+    kind = F.when(F.col("s") >= matching.CONFIDENT, "matched").when(F.col("s") >= matching.WEAK, "weak").otherwise("unmatched")
+    counts = table(spark, base, "papers_compact", "paper_id").join(best, "paper_id", "left").groupBy(kind.alias("category")).agg(F.count("*").alias("n"))
+    every = counts.agg(F.sum("n").alias("all_"))
+    return counts.join(every).select("category", "n", F.floor(100 * F.col("n") / F.col("all_")).alias("percent"))
 
 
 def _words(x: str) -> str:
@@ -438,6 +464,17 @@ def speaker_resolution(spark: SparkSession, base: str) -> DataFrame:
     return t.select("talk_id", linkage.match_person(F.col("speaker"), F.coalesce(X.list_items(F.col("authors")), F.array().cast("array<string>"))).alias("m")).select("talk_id", "m.matched", "m.confidence")
 
 
+@query(SILVER + f""", s AS (SELECT publication_id, {sql_items('speakers')} sp FROM s_rows), o AS (SELECT publication_id, {_importer('sp[1]')} k FROM s WHERE len(sp) = 1),
+m AS (SELECT publication_id, author_id, {_importer('name')} k FROM s_mentions_ids)
+SELECT r.publication_id, p.author_id presenter_author_id FROM s_rows r LEFT JOIN (SELECT o.publication_id, min(m.author_id) author_id FROM o JOIN m ON m.publication_id = o.publication_id AND m.k = o.k AND o.k <> '' GROUP BY 1 HAVING count(DISTINCT m.author_id) = 1) p ON p.publication_id = r.publication_id""".replace("FROM s_mentions_ids", "FROM (SELECT publication_id, name, md5(name_key) author_id FROM s_mentions WHERE name_key <> '')"))
+def presenter_set(spark: SparkSession, base: str) -> DataFrame:
+    rows = silver.rows(spark, base).select("publication_id", X.list_items(F.col("speakers")).alias("sp"))
+    one = rows.where(F.size("sp") == 1).select("publication_id", N.importer_name(F.col("sp")[0]).alias("k")).where("k <> ''")
+    listed = silver.mentions(spark, base).select("publication_id", "author_id", N.importer_name(F.col("name")).alias("k"))
+    hit = one.join(listed, ["publication_id", "k"]).groupBy("publication_id").agg(F.min("author_id").alias("lo"), F.max("author_id").alias("hi")).where("lo = hi")
+    return rows.select("publication_id").join(hit.select("publication_id", F.col("lo").alias("presenter_author_id")), "publication_id", "left")
+
+
 # search
 
 
@@ -458,6 +495,75 @@ def fts_ranked(spark: SparkSession, base: str) -> DataFrame:
     return search.ranked(table(spark, base, "workshop", "record_id", "title", "abstract"), "record_id", "title", "abstract", "efficient verification")
 
 
+# more of the pages
+
+
+@query("""WITH t AS (SELECT record_id, lower(trim(title)) x FROM workshop WHERE title IS NOT NULL)
+SELECT record_id FROM t WHERE len(x) >= 10 AND NOT (""" + " OR ".join(f"contains(x, '{w}')" for w in X.NO_TALK) + ")")
+def talk_items_only(spark: SparkSession, base: str) -> DataFrame:
+    w = table(spark, base, "workshop", "record_id", "title").where("title is not null")
+    return w.where(X.is_talk(F.col("title"), X.NO_TALK, 10)).select("record_id")
+
+
+@query("""SELECT venue, year::BIGINT AS year, coalesce(scheduled_date, '') AS day, coalesce(scheduled_time, '') AS clock, count(*) n, string_agg(record_id::VARCHAR, ',' ORDER BY record_id) records FROM workshop GROUP BY ALL HAVING count(*) > 1""")
+def merged_time_slots(spark: SparkSession, base: str) -> DataFrame:
+    w = table(spark, base, "workshop", "venue", "year", "record_id", "scheduled_date", "scheduled_time")
+    slots = w.groupBy("venue", "year", F.coalesce("scheduled_date", F.lit("")).alias("day"), F.coalesce("scheduled_time", F.lit("")).alias("clock")).agg(F.count("*").alias("n"), F.array_sort(F.collect_list("record_id")).alias("r"))
+    return slots.where("n > 1").select("venue", "year", "day", "clock", "n", F.array_join(F.transform("r", lambda x: x.cast("string")), ",").alias("records"))
+
+
+@query("""WITH c AS (SELECT venue, year, paper_type, count(*) n FROM workshop WHERE paper_type IS NOT NULL GROUP BY ALL) SELECT venue, year::BIGINT AS year, paper_type, n FROM c QUALIFY row_number() OVER (PARTITION BY venue, year ORDER BY n DESC, paper_type) = 1""")
+def most_common_type(spark: SparkSession, base: str) -> DataFrame:
+    c = table(spark, base, "workshop", "venue", "year", "paper_type").where("paper_type is not null").groupBy("venue", "year", "paper_type").agg(F.count("*").alias("n"))
+    return linkage.keep_first(c, [F.col("venue"), F.col("year")], [F.desc("n"), F.asc("paper_type")])
+
+
+@query(SILVER + """, d AS (SELECT s.author_id, s.publication_id, p.venue, p.year, p.paper_type, p.title FROM s_authorships s JOIN s_pubs p ON p.publication_id = s.publication_id WHERE p.paper_type IS DISTINCT FROM 'poster' AND p.conference_id IS NOT NULL)
+SELECT author_id, publication_id, year::BIGINT AS year, row_number() OVER (PARTITION BY author_id, year ORDER BY coalesce(list_position(['QIP','QCRYPT','TQC'], venue), 4), publication_id) - 1 stack,
+CASE venue WHEN 'QIP' THEN 'fill-qip' WHEN 'QCRYPT' THEN 'fill-qcrypt' WHEN 'TQC' THEN 'fill-tqc' ELSE 'fill-ink' END fill, venue || ' ' || year || ' — ' || coalesce(paper_type, '') || ': ' || CASE WHEN len(title) > 80 THEN title[1:80] || '…' ELSE title END tooltip FROM d""")
+def timeline_cells(spark: SparkSession, base: str) -> DataFrame:
+    p = silver.publications(spark, base).where("conference_id is not null and (paper_type is null or paper_type <> 'poster')").select("publication_id", "venue", "year", "paper_type", "title")
+    d = silver.authorships(spark, base).select("author_id", "publication_id").join(p, "publication_id")
+    order = [F.coalesce(V.ordinal(F.col("venue"), statistics.VENUE_ORDER), F.lit(3)), F.col("publication_id")]
+    fill = F.when(F.col("venue").isin(*statistics.VENUE_ORDER), F.concat(F.lit("fill-"), F.lower("venue"))).otherwise("fill-ink")
+    tip = F.concat(F.col("venue"), F.lit(" "), F.col("year").cast("string"), F.lit(" — "), F.coalesce("paper_type", F.lit("")), F.lit(": "), N.truncate(F.col("title")))
+    return numbered(d, ["author_id", "year"], order, "n_").select("author_id", "publication_id", "year", (F.col("n_") - 1).alias("stack"), fill.alias("fill"), tip.alias("tooltip"))
+
+
+@query("SELECT authorship_id, publication_id, author_id, author_position::BIGINT author_position FROM authorships ORDER BY created_at DESC NULLS LAST, authorship_id LIMIT 100")
+def authorship_list_capped(spark: SparkSession, base: str) -> DataFrame:
+    s = table(spark, base, "authorships", "authorship_id", "publication_id", "author_id", "author_position", "created_at")
+    return s.orderBy(F.desc_nulls_last("created_at"), "authorship_id").limit(100).drop("created_at")
+
+
+@query("""SELECT record_id, CASE WHEN regexp_matches(video_url, 'youtube\\.com|youtu\\.be|multimedia\\.ethz\\.ch') OR contains(lower(coalesce(title, '')), 'video') OR contains(lower(coalesce(title, '')), 'watch') THEN 'video' WHEN lower(video_url) LIKE '%.pdf' OR contains(lower(coalesce(title, '')), 'slides') THEN 'slides' END video_kind,
+CASE WHEN lower(presentation_url) LIKE '%.pdf' THEN 'slides' END deck_kind FROM workshop WHERE video_url IS NOT NULL OR presentation_url IS NOT NULL""")
+def link_kinds(spark: SparkSession, base: str) -> DataFrame:
+    w = table(spark, base, "workshop", "record_id", "title", "video_url", "presentation_url").where("video_url is not null or presentation_url is not null")
+    return w.select("record_id", X.link_kind(F.col("video_url"), F.col("title")).alias("video_kind"), X.link_kind(F.col("presentation_url"), F.lit(None).cast("string")).alias("deck_kind"))
+
+
+@query("SELECT member_id, CASE " + " ".join(f"WHEN contains(lower(concat_ws(' ', committee_type, role_title)), '{a}') THEN '{b}'" for a, b in X.ROLES) + """ END role, CASE WHEN regexp_matches(lower(concat_ws(' ', committee_type, role_title)), 'co[- ]chair') THEN 'co-chair' WHEN contains(lower(concat_ws(' ', committee_type, role_title)), 'chair') THEN 'chair' ELSE 'member' END said FROM committees""")
+def role_titles(spark: SparkSession, base: str) -> DataFrame:
+    c = table(spark, base, "committees", "member_id", "committee_type", "role_title")
+    return c.select("member_id", X.role_title(F.col("role_title"), F.col("committee_type")).alias("role"), X.position_in_words(F.concat_ws(" ", "committee_type", "role_title")).alias("said"))
+
+
+@query("""SELECT authorship_id, json_object('source_type', coalesce(json_extract_string(metadata, '$.source_type'), 'unknown'), 'file', 'authorships')::VARCHAR metadata FROM authorships""")
+def metadata_merge(spark: SparkSession, base: str) -> DataFrame:
+    kind = F.coalesce(F.get_json_object("metadata", "$.source_type"), F.lit("unknown"))
+    return table(spark, base, "authorships", "authorship_id", "metadata").select("authorship_id", F.to_json(F.struct(kind.alias("source_type"), F.lit("authorships").alias("file"))).alias("metadata"))
+
+
+@query("""WITH n AS (SELECT publication_id, author_id, min(author_position) author_position FROM authorships WHERE author_position <= 2 AND publication_id IS NOT NULL AND author_id IS NOT NULL GROUP BY 1, 2),
+k AS (SELECT publication_id, author_id, author_position FROM authorships WHERE publication_id IS NOT NULL AND publication_id NOT IN (SELECT publication_id FROM n))
+SELECT publication_id, author_id, author_position::BIGINT author_position FROM (SELECT * FROM k UNION ALL SELECT * FROM n)""")
+def replace_children(spark: SparkSession, base: str) -> DataFrame:
+    s = table(spark, base, "authorships", "publication_id", "author_id", "author_position").where("publication_id is not null")
+    new = s.where("author_position <= 2 and author_id is not null").groupBy("publication_id", "author_id").agg(F.min("author_position").alias("author_position"))
+    return mutate.replace_children(s, new, "publication_id")
+
+
 # constraints and changes
 
 
