@@ -53,7 +53,7 @@ _NOTATIONS = (
 
 def _groups(c: Column, pattern: str, order: tuple[int, ...]) -> Column:
     """The groups of a pattern that matches the whole cell, in this order, parted by a control character."""
-    return F.regexp_replace(c, pattern, _SEP.join(f"\\${k}" if k else "" for k in order).replace("\\", ""))
+    return F.regexp_replace(c, pattern, _SEP.join(f"${k}" if k else "" for k in order))
 
 
 def with_days(df: DataFrame, text: str, year: str, out: str) -> DataFrame:
@@ -63,7 +63,7 @@ def with_days(df: DataFrame, text: str, year: str, out: str) -> DataFrame:
     column ``year``; a year of two digits is taken in the century that puts it nearest to it.
     """
     c, near = F.col(text), F.coalesce(F.col(year), F.lit(2000))
-    found = F.when(c.rlike(_NOTATIONS[0][0]), F.array(_groups(c, *_NOTATIONS[0][:1], _NOTATIONS[0][1][0])))
+    found = F.when(c.rlike(_NOTATIONS[0][0]), F.array(_groups(c, _NOTATIONS[0][0], _NOTATIONS[0][1][0])))
     for pattern, readings in _NOTATIONS[1:]:
         found = found.when(c.rlike(pattern), F.array(*[_groups(c, pattern, r) for r in readings]))
     months = F.create_map(*[F.lit(x) for kv in MONTHS.items() for x in kv])
