@@ -51,6 +51,8 @@ _LETTERS = str.maketrans({"ł": "l", "Ł": "L", "ø": "o", "Ø": "O", "đ": "d",
 MOST_GIVEN = 100_000
 #: A given name is established from this share of the usual number of families on.
 ESTABLISHED = 0.2
+#: Letters at least that two family names two slips apart have in common, in order.
+SHARED = 5
 #: Most rounds of matching; they end when a round merges nothing.
 _ROUNDS = 20
 
@@ -148,7 +150,7 @@ def _keys(kind: str, given: str, inits: str, family: str, established: set[str]
     i, j, k  initials only (role i) with the same, the same-sounding, a slightly different family name: merge with the
        only full name (role f) that fits
     n, m  short form (role s) and full name (role f) with the same, a slightly different family name: merge if only one fits
-    d  same given name, long family names two slips apart: merge if their edit distance confirms it
+    Rule d isn't among them: it has a key for each pair of family names that it confirms (``_two_slips``).
     """
     if kind == "x":
         return
@@ -187,9 +189,6 @@ def _keys(kind: str, given: str, inits: str, family: str, established: set[str]
         if given in established:
             for k in range(3, min(7, len(given))):
                 yield "n", "f", f"{given[:k]}*|{s}"
-        if len(s) > 7:
-            for w in {x[:k] + x[k + 1 :] for x in _less(s)[1:] for k in range(len(x))}:
-                yield "d", "f", f"{given}|{w}"
     elif inits:
         yield "i", "i", f"{inits}|{family}"
         yield "j", "i", f"{inits}|{s}"
@@ -199,6 +198,30 @@ def _keys(kind: str, given: str, inits: str, family: str, established: set[str]
         yield "a", "f", f"|{family}"
 
 
+def _two_slips(profiles: DataFrame) -> DataFrame:
+    """(pid, rule, role, key) of rule d: same given name, family names two slips apart, confirmed by their edit distance.
+
+    Names meet under their forms with none, one and two letters left out, whatever the length of each, and are compared
+    pair by pair: the distinct family names of one given name around one form are few. The form that two share has at
+    least SHARED letters; of a shorter name two slips leave too little to tell it from another name.
+    """
+
+    def forms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = [(g, f, w) for g, f in zip(b["given"], b["family"], strict=True) for w in {y for x in _less(f) for y in _less(x)} if len(w) >= SHARED]
+            yield pd.DataFrame(out, columns=["given", "family", "w"])
+
+    words = profiles.where("kind = 'p' and given <> ''").select("given", "family").distinct()
+    formed = words.mapInPandas(forms, "given string, family string, w string").select(F.xxhash64("given", "w").alias("form"), F.xxhash64("given", "family").alias("word"), "family")
+    left, right = formed.toDF("form", "word", "family"), formed.toDF("form", "other", "family_b")
+    # swapped letters count twice in the edit distance; one slip is rule a's
+    slips, letters = F.levenshtein("family", "family_b"), lambda c: F.array_sort(F.split(c, ""))
+    near = left.join(right.hint("merge"), "form").where("word < other").where((slips == 2) | (slips > 2) & (slips <= 4) & (letters("family") == letters("family_b")))
+    met = near.select(F.explode(F.array("word", "other")).alias("word"), F.xxhash64("word", "other").alias("key")).distinct()
+    mine = profiles.where("kind = 'p' and given <> ''").select("pid", F.xxhash64("given", "family").alias("word"))
+    return mine.join(met.hint("merge"), "word").select("pid", F.lit("d").alias("rule"), F.lit("f").alias("role"), "key")
+
+
 def established_names(names: DataFrame, column: str) -> set[str]:
     """Given names borne by people of many families: at least ESTABLISHED of the usual number (and 3), MOST_GIVEN at most."""
 
@@ -223,7 +246,7 @@ _PARTIAL = {"i": 0, "I": 0, "n": 0, "j": 1, "k": 2, "m": 2}
 
 
 def _moves(keyed: DataFrame, first: bool) -> DataFrame:
-    """(cid, to): clusters that merge into another, from keyed profiles (rule, key, role, cid, family, mid_lo, mid_hi, name_lo, name_hi, solo).
+    """(cid, to): clusters that merge into another, from keyed profiles (rule, key, role, cid, mid_lo, mid_hi, name_lo, name_hi, solo).
 
     mid_lo, mid_hi: least and largest middle initial of the cluster; name_lo, name_hi: of its established given names;
     solo: whether all of the cluster are initials only. Every block is summed up once and the summary goes back to its
@@ -237,24 +260,21 @@ def _moves(keyed: DataFrame, first: bool) -> DataFrame:
     rows = rows.withColumn("block", F.explode(F.when(own, F.array(wide, narrow)).otherwise(F.array(wide)))).drop("rule", "key").select("*", "block.rule", "block.key").drop("block")
     full = F.col("role") == "f"
     blocks = rows.groupBy("rule", "key").agg(
-        F.min(F.struct("cid", "family")).alias("head"), F.max("cid").alias("tail"), F.min("mid_lo").alias("m0"), F.max("mid_hi").alias("m1"), F.min("name_lo").alias("g0"), F.max("name_hi").alias("g1"),
+        F.min("cid").alias("head"), F.max("cid").alias("tail"), F.min("mid_lo").alias("m0"), F.max("mid_hi").alias("m1"), F.min("name_lo").alias("g0"), F.max("name_hi").alias("g1"),
         F.min(F.when(full, F.col("cid"))).alias("f0"), F.max(F.when(full, F.col("cid"))).alias("f1"), F.min(F.when(full, F.col("mid_lo"))).alias("fm0"), F.max(F.when(full, F.col("mid_hi"))).alias("fm1"),
-    ).where("head.cid <> tail")
+    ).where("head <> tail")
     met = rows.join(blocks.hint("merge"), ["rule", "key"])
-    # swapped letters count twice in the edit distance
-    slips, letters = F.levenshtein("family", "head.family"), lambda c: F.array_sort(F.split(c, ""))
     one_middle = F.col("m0").isNull() | (F.col("m0") == F.col("m1"))
     one_name = F.col("g0").isNull() | (F.col("g0") == F.col("g1"))
     whole = (
-        F.col("rule").isin("a", "A") & one_middle
+        F.col("rule").isin("a", "A", "d") & one_middle
         | (F.col("rule") == "b") & one_middle & one_name
-        | (F.col("rule") == "d") & one_middle & ((slips <= 2) | (slips <= 4) & (letters("family") == letters("head.family")))
         | F.col("rule").isin("i", "I") & F.col("f0").isNull() & F.col("solo") & one_middle
     )
     part = F.col("rule").isin(*_PARTIAL) & (~full) & F.col("f0").isNotNull() & (F.col("solo") | F.col("rule").isin("n", "m"))
     fits = F.col("mid_lo").isNull() | F.col("fm0").isNull() | ((F.col("mid_lo") == F.col("fm0")) & (F.col("mid_hi") == F.col("fm1")))
     ranks = F.create_map(*[F.lit(x) for kv in _PARTIAL.items() for x in kv])
-    found = met.where(whole | part).select("cid", F.when(whole, F.col("head.cid")).alias("star"), F.when(~whole, F.try_element_at(ranks, F.col("rule"))).alias("rank"), "f0", "f1", (fits | (F.col("rule") == "I")).alias("fits"), (F.col("rule") == "I").alias("mid"))
+    found = met.where(whole | part).select("cid", F.when(whole, F.col("head")).alias("star"), F.when(~whole, F.try_element_at(ranks, F.col("rule"))).alias("rank"), "f0", "f1", (fits | (F.col("rule") == "I")).alias("fits"), (F.col("rule") == "I").alias("mid"))
     # what a partial profile may join: all blocks of its narrowest rule must name one cluster; a matching middle initial settles it
     each = found.groupBy("cid", "star", "rank").agg(F.min("f0").alias("t0"), F.max("f1").alias("t1"), F.min("fits").alias("ok"), F.min(F.when(F.col("mid"), F.col("f0"))).alias("i0"), F.max(F.when(F.col("mid"), F.col("f1"))).alias("i1"))
     best = each.groupBy("cid").agg(F.min("star").alias("star"), F.min_by(F.struct("t0", "t1", "ok", "i0", "i1"), "rank").alias("p"))
@@ -297,8 +317,8 @@ def resolve(names: DataFrame, key: str, column: str) -> DataFrame:
     keys = keys.select("pid", "rule", "role", F.xxhash64("k").alias("key")).distinct()
     # most keys are held by one profile and can never merge anything
     shared = keys.groupBy("rule", "key").agg(F.count("*").alias("n"), F.max(F.when(F.col("role") != "f", 1)).alias("s")).where("n > 1 and (rule not in ('i', 'j', 'k', 'n', 'm') or s = 1)")
-    keys = cut(keys.join(shared.select("rule", "key").hint("merge"), ["rule", "key"]))
-    facts = cut(profiles.select("pid", F.nullif("middle", F.lit("")).alias("middle"), "name", ((F.col("given") == "") & (F.col("inits") != "")).alias("solo"), "family", F.col("pid").alias("cid"), F.lit(False).alias("moved")))
+    keys = cut(keys.join(shared.select("rule", "key").hint("merge"), ["rule", "key"]).select("pid", "rule", "role", "key").union(_two_slips(profiles)))
+    facts = cut(profiles.select("pid", F.nullif("middle", F.lit("")).alias("middle"), "name", ((F.col("given") == "") & (F.col("inits") != "")).alias("solo"), F.col("pid").alias("cid"), F.lit(False).alias("moved")))
 
     for turn in range(_ROUNDS):
         whole = facts.groupBy("cid").agg(F.min("middle").alias("mid_lo"), F.max("middle").alias("mid_hi"), F.min("name").alias("name_lo"), F.max("name").alias("name_hi"), F.min("solo").alias("solo_"))

@@ -196,3 +196,20 @@ def test_resolve(spark) -> None:  # noqa: ANN001
     want = {(a, b) for (a, _, g), (b, _, h) in combinations(rows, 2) if g == h}
     assert pairs == want, [(rows[a][1], rows[b][1]) for a, b in pairs ^ want]
     assert people.resolve(df.limit(0), "id", "name").count() == 0
+
+
+def _linked(spark, names: list[str], fill: list[str]) -> set[frozenset[str]]:  # noqa: ANN001
+    """The entities with two spellings or more among ``names``; ``fill`` only makes given names established."""
+    df = spark.createDataFrame(list(enumerate([*names, *fill])), "id long, name string")
+    found: dict = {}
+    for r in people.resolve(df, "id", "name").collect():
+        if r["id"] < len(names):
+            found.setdefault(r["entity"], set()).add(names[r["id"]])
+    return {frozenset(v) for v in found.values() if len(v) > 1}
+
+
+def test_two_slips_of_unequal_length(spark) -> None:  # noqa: ANN001
+    fill = [f"{g} {f}" for g in ("Ada", "Eva", "Hiro", "Emil") for f in ("Brastinok", "Clumvert", "Dropsigan", "Frandulmo")]
+    pairs = [("Ada Drelvebas", "Ada Dtelveas"), ("Eva Tingaurso", "Eva Tngurso"), ("Hiro Jauznankum", "Hiro Jauznnum"), ("Emil Pauoroevil", "Emil Pauprievil"), ("Ada Kestromal", "Ada Ketsroaml")]
+    others = ["Ada Kraus", "Ada Braun", "Eva Drelvebas", "Hiro Tngurso"]
+    assert _linked(spark, [x for p in pairs for x in p] + others, fill) == {frozenset(p) for p in pairs}
