@@ -55,11 +55,17 @@ def p6_associations(spark: SparkSession, base: str) -> DataFrame:
     return found.withColumns({"lift": F.round("lift", 6), "odds_ratio": F.round("odds_ratio", 4), "log_odds_z": F.round("log_odds_z", 6)})
 
 
+def p6_pairs(spark: SparkSession, base: str) -> DataFrame:
+    """Every pair of authors with a joint publication, and how far it exceeds chance."""
+    found = together.associations(table(spark, base, "authorships", "publication_id", "author_id"), "publication_id", "author_id")
+    return found.withColumns({"lift": F.round("lift", 6), "odds_ratio": F.round("odds_ratio", 4), "log_odds_z": F.round("log_odds_z", 6)})
+
+
 def p6_names(spark: SparkSession, base: str) -> DataFrame:
-    """Pairs of names that stand together in two workshop rows or more, each name in one form."""
+    """Every pair of names that stand together in a workshop row, each name in one form."""
     names = packed.unpack(table(spark, base, "workshop", "record_id", "authors"), "record_id", {"authors": "person"})
     keyed = names.select("record_id", N.normalize_name(F.col("item")).alias("name")).where("name <> ''")
-    found = together.associations(keyed, "record_id", "name", least=2)
+    found = together.associations(keyed, "record_id", "name")
     return found.withColumns({"lift": F.round("lift", 6), "odds_ratio": F.round("odds_ratio", 4), "log_odds_z": F.round("log_odds_z", 6)})
 
 
@@ -95,7 +101,7 @@ def p9_found(spark: SparkSession, base: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_entities, p5_found, p5_unified, p6_found, p6_associations, p6_names, p7_found, p7_passages, p8_mix, p8_shares, p9_found, p9_restored)}
+    return {f.__name__: f for f in (p1_found, p1_entities, p5_found, p5_unified, p6_found, p6_associations, p6_pairs, p6_names, p7_found, p7_passages, p8_mix, p8_shares, p9_found, p9_restored)}
 
 
 _PAIRS = """
@@ -111,5 +117,8 @@ def oracle_sql() -> dict[str, str]:
         "p6_found": _PAIRS + "SELECT author_id_a, author_id_b FROM s WHERE n_ab >= 3 AND n_ab * n >= 5 * n_a * n_b",
         "p6_associations": _PAIRS + """, o AS (SELECT *, n_ab + 0.5::DOUBLE p, n_a - n_ab + 0.5::DOUBLE q, n_b - n_ab + 0.5::DOUBLE r, n - n_a - n_b + n_ab + 0.5::DOUBLE u FROM s WHERE n_ab >= 2)
 SELECT author_id_a, author_id_b, n_a, n_b, n_ab, n, round(n_ab * n / (n_a * n_b)::DOUBLE, 6) lift, round(p * u / (q * r), 4) odds_ratio,
+round(ln(p * u / (q * r)) / sqrt(1 / p + 1 / q + 1 / r + 1 / u), 6) log_odds_z FROM o""",
+        "p6_pairs": _PAIRS + """, o AS (SELECT *, n_ab + 0.5::DOUBLE p, n_a - n_ab + 0.5::DOUBLE q, n_b - n_ab + 0.5::DOUBLE r, n - n_a - n_b + n_ab + 0.5::DOUBLE u FROM s)
+SELECT author_id_a, author_id_b, n_a, n_b, n_ab, n, round(n_ab * n / (n_a * n_b)::DOUBLE, 6) lift, round(p * u / (q * r), 4) odds_ratio,
 round(ln(p * u / (q * r)) / sqrt(1 / p + 1 / q + 1 / r + 1 / u), 6) log_odds_z FROM o""",
     }

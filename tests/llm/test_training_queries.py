@@ -20,3 +20,10 @@ def test_query(spark, name) -> None:  # noqa: ANN001
         assert difference(df, Q.oracle_sql()[name], connection(BASE)) == ""
     else:
         assert df.count() > 0
+
+
+def test_pairs_with_one_basket(spark) -> None:  # noqa: ANN001
+    names, pairs = Q.queries()["p6_names"](spark, BASE), Q.queries()["p6_pairs"](spark, BASE)
+    assert names.where("n_ab = 1").count() > 0 and pairs.where("n_ab = 1").count() > 0
+    seen = Q.queries()["p6_associations"](spark, BASE)
+    assert sorted(map(tuple, pairs.where("n_ab >= 2").collect())) == sorted(map(tuple, seen.collect()))
