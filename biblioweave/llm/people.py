@@ -4,7 +4,7 @@ Every distinct spelling is parsed into a profile: given name (or its initials),
 for a group its own word and the initials of the rest. Profiles meet under blocking keys built so that those that meet
 agree but for a typing slip; a merge unions the spellings, given names and middle initials of both, and the richer
 profile is matched again, until a round merges nothing. Blocks are resolved by aggregation (smallest member, least
-and largest conflicting mark), never by forming pairs, so that a name shared by a third of all rows costs no more
+and largest conflicting mark; one sub-block a mark where they conflict), never by forming pairs, so that a name shared by a third of all rows costs no more
 than its rows. Every join is by merge: a profile has some thirty keys, which the planner doesn't see when it judges by
 the size of the files whether a side may be broadcast.
 """
@@ -245,8 +245,25 @@ def established_names(names: DataFrame, column: str) -> set[str]:
 _PARTIAL = {"i": 0, "I": 0, "n": 0, "j": 1, "k": 2, "m": 2}
 
 
+def _split(met: DataFrame) -> DataFrame:
+    """(cid, star): merges within blocks of rules a and b whose marks conflict, one sub-block a mark.
+
+    Where middle initials conflict only equal ones meet, none with none. Of rule b, a profile without an established name
+    goes to the one that it is a slip away from; if it is so from two it goes to none.
+    """
+    mine, letters = F.coalesce("name", F.when(F.col("name_lo") == F.col("name_hi"), F.col("name_lo"))), lambda c: F.array_sort(F.split(c, ""))
+    slip = lambda n: (F.levenshtein("given", n) <= 1) | (F.levenshtein("given", n) == 2) & (letters("given") == letters(n))
+    near = F.when(F.col("rule") == "b", F.filter("names", slip)).otherwise(F.array().cast("array<string>"))
+    # '' for no mark; no sub-block for two
+    name = F.when(F.col("rule") == "a", "").when(mine.isNotNull(), mine).when(F.col("name_lo").isNotNull() | (F.size(near) > 1), None).otherwise(F.coalesce(F.try_element_at(near, F.lit(1)), F.lit("")))
+    middle = F.when(F.col("m0").isNull() | (F.col("m0") == F.col("m1")), "").when(F.col("mid_lo").isNull(), "").when(F.col("mid_lo") == F.col("mid_hi"), F.col("mid_lo"))
+    marked = met.select("cid", "rule", "key", name.alias("name"), middle.alias("middle")).where("name is not null and middle is not null")
+    heads = marked.groupBy("rule", "key", "name", "middle").agg(F.min("cid").alias("star"), F.max("cid").alias("last")).where("star <> last").drop("last")
+    return marked.join(heads.hint("merge"), ["rule", "key", "name", "middle"]).select("cid", "star").distinct()
+
+
 def _moves(keyed: DataFrame, first: bool) -> DataFrame:
-    """(cid, to): clusters that merge into another, from keyed profiles (rule, key, role, cid, mid_lo, mid_hi, name_lo, name_hi, solo).
+    """(cid, to): clusters that merge into another, from keyed profiles (rule, key, role, cid, given, name, mid_lo, mid_hi, name_lo, name_hi, solo).
 
     mid_lo, mid_hi: least and largest middle initial of the cluster; name_lo, name_hi: of its established given names;
     solo: whether all of the cluster are initials only. Every block is summed up once and the summary goes back to its
@@ -259,8 +276,9 @@ def _moves(keyed: DataFrame, first: bool) -> DataFrame:
     rows = keyed.where("rule not in ('j', 'k', 'm', 'd')") if first else keyed
     rows = rows.withColumn("block", F.explode(F.when(own, F.array(wide, narrow)).otherwise(F.array(wide)))).drop("rule", "key").select("*", "block.rule", "block.key").drop("block")
     full = F.col("role") == "f"
+    sole_name = F.when(F.col("name_lo") == F.col("name_hi"), F.col("name_lo"))
     blocks = rows.groupBy("rule", "key").agg(
-        F.min("cid").alias("head"), F.max("cid").alias("tail"), F.min("mid_lo").alias("m0"), F.max("mid_hi").alias("m1"), F.min("name_lo").alias("g0"), F.max("name_hi").alias("g1"),
+        F.min("cid").alias("head"), F.max("cid").alias("tail"), F.min("mid_lo").alias("m0"), F.max("mid_hi").alias("m1"), F.min("name_lo").alias("g0"), F.max("name_hi").alias("g1"), F.collect_set(F.when(F.col("rule") == "b", F.coalesce("name", sole_name))).alias("names"),
         F.min(F.when(full, F.col("cid"))).alias("f0"), F.max(F.when(full, F.col("cid"))).alias("f1"), F.min(F.when(full, F.col("mid_lo"))).alias("fm0"), F.max(F.when(full, F.col("mid_hi"))).alias("fm1"),
     ).where("head <> tail")
     met = rows.join(blocks.hint("merge"), ["rule", "key"])
@@ -276,6 +294,7 @@ def _moves(keyed: DataFrame, first: bool) -> DataFrame:
     ranks = F.create_map(*[F.lit(x) for kv in _PARTIAL.items() for x in kv])
     found = met.where(whole | part).select("cid", F.when(whole, F.col("head")).alias("star"), F.when(~whole, F.try_element_at(ranks, F.col("rule"))).alias("rank"), "f0", "f1", (fits | (F.col("rule") == "I")).alias("fits"), (F.col("rule") == "I").alias("mid"))
     # what a partial profile may join: all blocks of its narrowest rule must name one cluster; a matching middle initial settles it
+    found = found.unionByName(_split(met.where(F.col("rule").isin("a", "b") & ~(one_middle & ((F.col("rule") == "a") | one_name)))), allowMissingColumns=True)
     each = found.groupBy("cid", "star", "rank").agg(F.min("f0").alias("t0"), F.max("f1").alias("t1"), F.min("fits").alias("ok"), F.min(F.when(F.col("mid"), F.col("f0"))).alias("i0"), F.max(F.when(F.col("mid"), F.col("f1"))).alias("i1"))
     best = each.groupBy("cid").agg(F.min("star").alias("star"), F.min_by(F.struct("t0", "t1", "ok", "i0", "i1"), "rank").alias("p"))
     sole = F.when(F.col("p.i0") == F.col("p.i1"), F.col("p.i0")).when((F.col("p.t0") == F.col("p.t1")) & F.col("p.ok") & F.col("p.i0").isNull(), F.col("p.t0"))
@@ -318,12 +337,12 @@ def resolve(names: DataFrame, key: str, column: str) -> DataFrame:
     # most keys are held by one profile and can never merge anything
     shared = keys.groupBy("rule", "key").agg(F.count("*").alias("n"), F.max(F.when(F.col("role") != "f", 1)).alias("s")).where("n > 1 and (rule not in ('i', 'j', 'k', 'n', 'm') or s = 1)")
     keys = cut(keys.join(shared.select("rule", "key").hint("merge"), ["rule", "key"]).select("pid", "rule", "role", "key").union(_two_slips(profiles)))
-    facts = cut(profiles.select("pid", F.nullif("middle", F.lit("")).alias("middle"), "name", ((F.col("given") == "") & (F.col("inits") != "")).alias("solo"), F.col("pid").alias("cid"), F.lit(False).alias("moved")))
+    facts = cut(profiles.select("pid", F.nullif("middle", F.lit("")).alias("middle"), "name", "given", ((F.col("given") == "") & (F.col("inits") != "")).alias("solo"), F.col("pid").alias("cid"), F.lit(False).alias("moved")))
 
     for turn in range(_ROUNDS):
         whole = facts.groupBy("cid").agg(F.min("middle").alias("mid_lo"), F.max("middle").alias("mid_hi"), F.min("name").alias("name_lo"), F.max("name").alias("name_hi"), F.min("solo").alias("solo_"))
         rich = facts.join(whole.hint("merge"), "cid").drop("solo").withColumnRenamed("solo_", "solo")
-        moves = _moves(keys.join(rich.drop("middle", "name", "moved").hint("merge"), "pid"), turn == 0)
+        moves = _moves(keys.join(rich.drop("middle", "moved").hint("merge"), "pid"), turn == 0)
         # a move to a cluster that moves itself goes on to where that goes
         onward = moves.select(F.col("cid").alias("to"), F.col("to").alias("further"))
         moves = moves.join(onward.hint("merge"), "to", "left").select("cid", F.coalesce("further", "to").alias("to"))

@@ -213,3 +213,9 @@ def test_two_slips_of_unequal_length(spark) -> None:  # noqa: ANN001
     pairs = [("Ada Drelvebas", "Ada Dtelveas"), ("Eva Tingaurso", "Eva Tngurso"), ("Hiro Jauznankum", "Hiro Jauznnum"), ("Emil Pauoroevil", "Emil Pauprievil"), ("Ada Kestromal", "Ada Ketsroaml")]
     others = ["Ada Kraus", "Ada Braun", "Eva Drelvebas", "Hiro Tngurso"]
     assert _linked(spark, [x for p in pairs for x in p] + others, fill) == {frozenset(p) for p in pairs}
+
+
+def test_third_member_cancels_no_merge(spark) -> None:  # noqa: ANN001
+    fill = [f"{g} {f}" for g in ("Maria", "Marina", "Anna", "Emil") for f in ("Brastinok", "Clumvert", "Dropsigan", "Frandulmo")]
+    names = ["Maria Rosi", "Marria Rosi", "Marina Rosi", "Anna Kowalski", "Anna Kowalsko", "Anna B. Kowalski", "Anna C. Kowalski", "Anna B. Kowalsko", "Anna C. Kowalsko"]
+    assert _linked(spark, names, fill) == {frozenset(names[k] for k in ks) for ks in ((0, 1), (3, 4), (5, 7), (6, 8))}
