@@ -2,251 +2,291 @@
 
 A stretch is encoded again with a table that it may have been read with (strictly) and decoded with one that it may
 have been written in (strictly); the result is kept if the garbling cost drops enough, and the step is repeated for
-nested layers. Two shapes of stretch are tried: runs of characters outside ASCII, whose bytes must be UTF-8 (a wrong
-reading of UTF-8 almost never is valid by chance), and whole sentences, for pairs of one-byte or East Asian tables.
-The cost of a text sums what proper text rarely has: control characters, symbols and currency signs inside words,
-capitals inside words, letters of two scripts in one word, and, for Cyrillic, unusual letters and letter case.
+nested layers. Two shapes of stretch are tried: sequences whose bytes are UTF-8 (a wrong reading of UTF-8 almost never
+is valid by chance), and whole sentences, for pairs of tables that aren't Unicode.
+
+The cost doesn't know languages, so that no script is dearer than another. Every character has a class (letter of a script and
+case, mark, sign, control); the cost counts what proper text of any script rarely has: controls, letters of two scripts or an
+inner capital in one word, signs inside words, marks on the wrong side of a word, characters beyond the common ones of
+East Asian scripts. A sentence without any such place, and without two characters that make UTF-8 in a Latin
+table, is passed over after one look at its classes.
 """
 
 from __future__ import annotations
 
-import math
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cache, lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Tables in which UTF-8 is read by mistake, likeliest first.
-READ_AS = ("cp1252", "latin-1", "cp1250", "cp1251", "mac_roman", "cp437", "cp850", "iso8859_2", "iso8859_15", "koi8_r", "cp866", "cp1254", "cp1253", "cp1257", "mac_cyrillic", "cp852")
+#: One-byte tables in which UTF-8 is read by mistake, likeliest first. cp1252 stands for latin-1 too: see _bytes_of.
+READ_AS = (
+    "cp1252", "cp1250", "cp1251", "mac_roman", "cp437", "cp850", "iso8859_2", "iso8859_15", "koi8_r", "cp866", "cp1254", "cp1253", "cp1257", "mac_cyrillic",
+    "cp852", "cp1255", "cp1256", "cp1258", "cp874", "iso8859_5", "iso8859_7",
+)
+#: Tables of several bytes in which UTF-8 is read by mistake.
+READ_AS_WIDE = ("gb18030", "cp949", "cp932", "big5", "euc_jp")
 #: (read as, written in) for texts that never were UTF-8.
-PAIRS = (
-    ("cp1252", "cp1251"), ("latin-1", "cp1251"), ("cp1251", "koi8_r"), ("koi8_r", "cp1251"), ("cp1252", "koi8_r"), ("latin-1", "koi8_r"),
-    ("cp1251", "cp866"), ("cp866", "cp1251"), ("cp1252", "cp866"), ("latin-1", "iso8859_5"), ("cp1251", "iso8859_5"), ("cp1251", "mac_cyrillic"), ("koi8_r", "cp866"), ("cp866", "koi8_r"),
-    ("cp1252", "mac_roman"), ("mac_roman", "cp1252"), ("cp437", "cp1252"), ("cp850", "cp1252"), ("cp1252", "cp437"), ("cp1252", "cp850"), ("latin-1", "cp437"), ("latin-1", "cp850"), ("latin-1", "mac_roman"), ("mac_roman", "cp850"), ("mac_roman", "cp437"),
-    ("cp1252", "cp1250"), ("cp1250", "cp1252"), ("latin-1", "iso8859_2"), ("cp1252", "iso8859_2"), ("iso8859_2", "cp1250"), ("cp1250", "iso8859_2"), ("cp1251", "cp1252"), ("cp1252", "cp852"), ("cp852", "cp1250"), ("cp1251", "cp1250"), ("cp1250", "cp1251"), ("cp1253", "cp1252"), ("cp866", "cp1252"), ("koi8_r", "cp1252"),
-    ("cp1252", "cp932"), ("latin-1", "cp932"), ("cp1252", "euc_jp"), ("latin-1", "euc_jp"), ("mac_roman", "cp932"), ("mac_roman", "euc_jp"), ("cp437", "cp932"), ("cp1251", "cp932"), ("cp1251", "euc_jp"), ("gb18030", "euc_jp"), ("cp932", "euc_jp"), ("euc_jp", "cp932"), ("gb18030", "cp932"),
+PAIRS = tuple(
+    (read, written)
+    for written, tables in (
+        ("cp1251", "cp1252 koi8_r cp866 cp1250 mac_roman"), ("koi8_r", "cp1251 cp1252 cp866"), ("cp866", "cp1251 cp1252 koi8_r"), ("iso8859_5", "cp1252 cp1251"), ("mac_cyrillic", "cp1251 cp1252"),
+        ("mac_roman", "cp1252 cp437 cp850"), ("cp1252", "mac_roman cp437 cp850 cp1250 cp1251 cp1253 cp866 koi8_r"), ("cp437", "cp1252 mac_roman"), ("cp850", "cp1252 mac_roman"),
+        ("cp1250", "cp1252 iso8859_2 cp852 cp1251"), ("iso8859_2", "cp1252 cp1250"), ("cp852", "cp1252 cp1250"), ("cp1253", "cp1252 cp1251"), ("iso8859_7", "cp1252"), ("cp1255", "cp1252"), ("cp1256", "cp1252"), ("cp874", "cp1252"),
+        ("cp932", "cp1252 mac_roman cp437 cp1251 gb18030 euc_jp"), ("euc_jp", "cp1252 mac_roman cp1251 gb18030 cp932"), ("gb18030", "cp1252"), ("cp949", "cp1252"), ("big5", "cp1252"),
+    )
+    for read in tables.split()
 )
-#: Russian letters by frequency in running text, most frequent first (fixed values).
+_WIDE = {*READ_AS_WIDE}
+#: Tables whose upper half is mostly signs: a short run of them standing alone may be proper text, such as a formula.
+_SIGNS = {"mac_roman", "cp437", "cp850", "cp866", "koi8_r", "cp852", "mac_cyrillic"}
+#: Russian letters by frequency in running text, most frequent first (fixed values), and their usual mean.
 _RUSSIAN = "оеаинтсрвлкмдпуяыьгзбчйхжшюцщэфъё"
-_RARE = {ch: min(1.0, 0.04 * k) for k, ch in enumerate(_RUSSIAN)}
-#: Mean of these over running text, with some room.
-_USUAL = 0.36
-#: Typographic signs and symbols that proper text holds beside blanks or letters; their plain use costs nothing.
-_PROPER = set("“”„‘’‚«»–—…·•©®°§£€¥×÷±≤≥≈¿¡№′″ ªº²³½¼¾−‐‑…、。「」『』・〜：；！？（）｛｝［］／＋－＝　™")
-_BEFORE_WORD, _AFTER_WORD = set("“„‘«¿¡£€§°©№ª‚"), set("”’»…°²³ªº®™“")
-#: Letters that stand as words of their own in some language, or as symbols.
-_ALONE = set("àáâéèêóòôúùåæøðþÀÁÂÉÈÊÓÒÔÚÙÅÆØÐÞµ")
+_RARE = {ord(ch): min(1.0, 0.04 * k) - 0.36 for k, ch in enumerate(_RUSSIAN)}
+#: Marks by the side of a word on which they stand (fixed values).
+_OPENING, _CLOSING, _EITHER, _NEUTRAL = set("„‚¿¡№"), set("”™®ªº²³¹"), set("“‘«»‹›"), set("·…°‐‑※々〆ー〜～")
+#: Letters that are words or symbols of their own.
+_ALONE = "àáâéèêóòôúùåæøýðþÀÁÂÉÈÊÓÒÔÚÙÅÆØÝÐÞ"
 _MOST_LAYERS = 8
 
 
-@lru_cache(maxsize=100_000)
-def _kind(ch: str) -> str:
-    """u, l: cased letters; o: other letters; c: control, lost or unassigned; s: sign; a blank is empty."""
-    cat = unicodedata.category(ch)
-    if ch == "�" or cat in ("Co", "Cn", "Cs") or cat == "Cc" and ch not in "\t\n\r":
-        return "c"
-    if cat == "Lu" or cat == "Lt":
-        return "u"
-    if cat == "Ll":
-        return "l"
-    if cat[0] == "L":
-        return "o"
-    if cat in ("Mn", "Mc", "Nd"):
-        return "d"
-    if ch.isspace():
-        return "" if ch.isascii() or ch == "　" else "b"
-    return "f" if cat == "Cf" else "s"
+def _common(ch: str) -> bool:
+    """Whether a Han character or Hangul syllable is among the common ones: the first level of a national standard."""
+    for table, last in (("gb2312", 0xD7), ("euc_jp", 0xCF), ("big5", 0xC6), ("euc_kr", 0xC8)):
+        try:
+            raw = ch.encode(table)
+        except UnicodeEncodeError:
+            continue
+        if len(raw) == 2 and 0xA4 <= raw[0] <= last:
+            return True
+    return False
 
 
-@lru_cache(maxsize=100_000)
-def _script(ch: str) -> str:
-    n = ord(ch)
-    if n < 0x250 or 0x1E00 <= n < 0x1F00:
-        return "L"
-    if 0x370 <= n < 0x400:
-        return "G"
-    if 0x400 <= n < 0x530:
-        return "C"
-    if 0x3040 <= n < 0x3100 or 0x4E00 <= n < 0xA000:
-        return "J"
-    if 0xFF61 <= n < 0xFFA0:
-        return "K"
-    return "O"
+_SCRIPTS: dict[str, str] = {}
+
+
+class _Classes(dict):
+    """Class of each code point, made when first met.
+
+    a A ASCII letters, l U other Latin letters, o those alone, v V rarer Latin, c C d D Cyrillic, g G Greek, h H Han and Hangul (common, rare),
+    k kana, K halfwidth kana, a private character for the letters of each other script, m accents, 0 digits, q p Q marks before,
+    after, beside a word, y apostrophe, e dash, s S t sign (modifiers, mathematical), z neutral mark, x control or lost, n odd blank, f format.
+    """
+
+    def __missing__(self, n: int) -> str:
+        self[n] = kind = self._of(n)
+        return kind
+
+    @staticmethod
+    def _of(n: int) -> str:
+        ch = chr(n)
+        cat = unicodedata.category(ch)
+        if n < 0x80:
+            return "a" if cat == "Ll" else "A" if cat == "Lu" else "0" if cat == "Nd" else " " if ch.isspace() else "x" if cat == "Cc" else "?" if ch == "?" else "."
+        if n == 0xFFFD or cat in ("Cc", "Co", "Cn", "Cs"):
+            return " " if n == 0x85 else "x"
+        for group, kind in ((_OPENING, "q"), (_CLOSING, "p"), (_EITHER, "Q"), (_NEUTRAL, "z"), ("’", "y"), ("–—−", "e")):
+            if ch in group:
+                return kind
+        if ch.isspace():
+            return " " if n == 0x3000 else "n"
+        if cat == "Cf":
+            return "f"
+        upper = cat in ("Lu", "Lt")
+        if cat[0] == "L" or cat in ("Mn", "Mc", "Nd", "Me"):
+            if n < 0x180 and n not in (0xB5,):
+                return "U" if upper else "l"
+            if 0xFF00 <= n < 0xFF60:
+                return "z"
+            if n < 0x250 or 0x1E00 <= n < 0x1F00:
+                return "V" if upper else "v"
+            if 0x300 <= n < 0x370:
+                return "m"
+            if n == 0xB5 or 0x370 <= n < 0x400 or 0x1F00 <= n < 0x2000:
+                return "G" if upper else "g"
+            if 0x400 <= n < 0x530:
+                plain = 0x410 <= n < 0x450 or n in (0x401, 0x451)
+                return ("C" if plain else "D") if upper else ("c" if plain else "d")
+            if 0x3040 <= n < 0x3100:
+                return "k"
+            if 0xFF61 <= n < 0xFFA0:
+                return "K"
+            if 0x3400 <= n < 0xA000 or 0xAC00 <= n < 0xD7A4 or 0xF900 <= n < 0xFB00 or 0x20000 <= n < 0x32000:
+                return "h" if _common(ch) else "H"
+            # the name of a letter begins with its script
+            script = unicodedata.name(ch, "?").split(" ")[0].split("-")[0]
+            return _SCRIPTS.setdefault(script, chr(0xE000 + len(_SCRIPTS)))
+        if 0x3000 <= n < 0x3040 or 0xFE10 <= n < 0xFE70 or 0xFF00 <= n < 0xFFF0 or 0x600 <= n < 0x700 or 0x900 <= n < 0xF00 or 0x590 <= n < 0x600 or 0x370 <= n < 0x400 or 0x55A <= n < 0x590:
+            return "z"  # marks of these scripts
+        return "S" if cat == "Sk" else "t" if cat == "Sm" and n > 0x2000 else "s"
+
+
+_CLASS = _Classes()
+_ANY = "\ue000-\ue7ff"
+_LET = f"aAlUvVcCdDgGhHkKm{_ANY}"
+#: What proper text rarely has, on classes, and what each such place costs.
+_COSTS = tuple(
+    (re.compile(p), w)
+    for p, w in (
+        ("x", 3.0), ("f", 0.6), ("K", 0.8), ("H", 0.6),
+        # two scripts in a word
+        ("[aAlUvV](?=[cCdD])|[cCdD](?=[aAlUvVgG])|[gG](?=[cCdD])", 1.5), ("[aAlUvV](?=[gG])|[gG](?=[aAlUvV])", 0.4), (f"[lUvVcCdDgG](?=[{_ANY}hHkK])|[{_ANY}hHkK](?=[lUvVcCdDgG])", 1.5), (f"[aA](?=[{_ANY}])|[{_ANY}](?=[aA])", 0.7), (f"([{_ANY}])(?!\\1)[{_ANY}]", 2.0), ("(?<=[aA])[hHkK](?=[aA])", 1.0), ("a(?=[hH])|[hH](?=a)", 0.3), (f"[hHkK](?=[{_ANY}])|[{_ANY}](?=[hHkK])", 1.5),
+        # letter case inside words
+        ("[alvcdg](?=[UVCDG])|[lv](?=A)", 1.5), ("(?<![alvcdgAUVCDG])[lvcdg](?=[UVCDGA][UVCDGA])", 1.5), ("(?<=[AUV])[UV](?=[alv])|(?<=[CD])[CD](?=[cd])", 0.8),
+        # letters of one script that rarely stand together or alone
+        ("(?<=[lUvV])[lv]", 0.3), ("(?<=[lUvV]{2})[lUvV]", 0.5), ("(?<=[lv])[UV]", 0.5), ("m", 0.4), (f"(?<![{_LET}])[{_ANY}](?![{_LET}])", 0.6), ("(?<=[UV])[UV]", 0.1), ("[vV]", 0.3), (f"(?<![{_LET}o])[lU](?![{_LET}])", 0.8), (f"(?<=[gGlU])[gG](?=[lU])", 0.4),
+        # signs beside letters, marks on the wrong side
+        (f"(?<=[{_LET}o])s|s(?=[{_LET}o])|S", 1.6), ("(?<=[aAlU])t|t(?=s)", 0.8), ("t(?=[te])|(?<=[se])t", 0.5), ("(?<![aA0l .)])s|s(?=[^aA0l .(])", 0.5), (f"(?<=[{_LET}])q|p(?=[{_LET}])", 1.0), (f"(?<=[{_LET}])[qQ](?=[{_LET}])", 1.0), (f"(?<=[lUvVcC])n(?=[{_LET}])", 0.7), ("(?<=[aA])n(?=[aA])", 0.3), ("(?<=[aAlU])e(?=[aAlU])", 0.3), ("(?<=[aAlUcC])\\?(?=[aAlUcC])", 0.8), ("(?<=[aAlU])z(?=[alU])", 0.5),
+        ("(?<![aAlUvVgGm0])p(?=[^ .0]|$)", 0.3), ("(?<=[ (])p", 0.8), ("q(?=[ )]|$)", 0.8),
+        # a little for whatever isn't ASCII, so that of two readings of a stretch the shorter is taken
+        ("[lU]", 0.05), (f"[gGdDcCkh{_ANY}npqQyes]", 0.02),
+    )
+)
+_SUSPECT = re.compile("|".join(f"(?:{p.pattern})" for p, w in _COSTS if w >= 0.5 and "\\1" not in p.pattern) + f"|C{{3}}|([{_ANY}])(?!\\1)[{_ANY}]")
+
+
+_SINGLE = re.compile(f"(?<![^\\W\\d_])[{_ALONE}](?![^\\W\\d_])")
 
 
+def _classes(text: str) -> str:
+    """The classes of a text, ``o`` for letters that stand alone where they may."""
+    kinds = text.translate(_CLASS)
+    for m in _SINGLE.finditer(text):
+        kinds = f"{kinds[: m.start()]}o{kinds[m.end() :]}"
+    return kinds
+
+
+@lru_cache(maxsize=100_000)
 def cost(text: str) -> float:
-    """How garbled ``text`` looks; 0 for plain ASCII, near 0 for proper text of any of the usual scripts."""
+    """How garbled ``text`` looks; 0 for plain ASCII, near 0 for proper text of any script."""
     if text.isascii():
-        return sum(2.0 for ch in text if ch < " " and ch not in "\t\n\r\x0b\x0c" or ch == "\x7f")
-    total, cyrillic, end = 0.0, 0.0, len(text)
-    kinds = [_kind(ch) for ch in text]
-    for i, ch in enumerate(text):
-        if ch.isascii():
-            if ch < " " and ch not in "\t\n\r\x0b\x0c":
-                total += 2
-            elif ch == "?" and 0 < i < end - 1 and text[i - 1].isalpha() and text[i + 1].isalpha():
-                total += 0.8  # a letter that some table lacked
-            continue
-        k = kinds[i]
-        before, after = (text[i - 1] if i else " "), (text[i + 1] if i + 1 < end else " ")
-        kb, ka = (kinds[i - 1] if i else ""), (kinds[i + 1] if i + 1 < end else "")
-        letter_b, letter_a = kb in ("u", "l", "o"), ka in ("u", "l", "o")
-        if k == "c":
-            total += 3
-        elif k == "f":
-            total += 1
-        elif k == "b":
-            total += 1.0 if letter_b and letter_a and not before.isascii() else 0.2
-        elif k == "s":
-            if unicodedata.category(ch) == "Sk":
-                total += 2.0 if letter_b or letter_a else 1.5
-            elif ch in "²³¹" and not before.isalnum():
-                total += 1.0  # a power of nothing
-            elif ch not in _PROPER:
-                total += 2.0 if letter_b or letter_a else 0.6
-            elif letter_b and letter_a:
-                total += 0.9 if ch in "–—" else 0.0 if ch == "’" or ch == "·" and before in "lL" and after in "lL" or before.isascii() and after.isascii() and ch in "‑‐" or _script(before) in "J" or _script(after) in "J" else 1.5
-            elif letter_b:
-                total += 0.0 if ch in _AFTER_WORD or ch in "–—„" or _script(before) == "J" else 1.0
-            elif letter_a:
-                total += 0.0 if ch in _BEFORE_WORD or ch in "–—’”" or _script(after) == "J" else 1.0
-            elif (kb == "s" or ka == "s") and not (before.isascii() or before in _PROPER) | (after.isascii() or after in _PROPER):
-                total += 0.5
-        elif k == "d":
-            total += 0.3
-        else:
-            s = _script(ch)
-            if letter_b and (t := "L" if before.isascii() else _script(before)) != s and {s, t} != {"J", "O"}:
-                total += 1.5
-            if letter_a and after.isascii() and s != "L":
-                total += 1.5 if s != "J" else 0.2
-            if k == "u" and kb == "l":
-                total += 1.5
-            elif k == "l" and ka == "u" and not letter_b and i + 2 < end and kinds[i + 2] == "u":
-                total += 1.5
-            elif k == "u" and ka == "l" and kb == "u":
-                total += 0.8
-            elif s == "L" and not letter_b and not letter_a:
-                total += 0.0 if ch in _ALONE else 0.8
-            elif ch in "ìî" and (not letter_b and ch == "ì" or not letter_a and ch == "î"):
-                total += 0.8
-            elif ch == "í" and after == "s" and letter_b and not text[i + 2 : i + 3].isalpha():
-                total += 0.4
-            elif ch == "ı":
-                total += 0.4
-            if s == "L":
-                if letter_b and not before.isascii() and _script(before) == "L":
-                    total += 0.1 if k == "u" and kb == "u" else 0.5
-                if ch in "ÐÑþðÞÿ":
-                    total += 0.2
-                if ord(ch) > 0x17F:
-                    total += 0.5
-                total += 0.05
-            elif s == "C":
-                cyrillic += _RARE.get(ch.lower(), 2.5) - _USUAL
-                total += 0.02
-            elif s == "G":
-                total += 0.4 if letter_b or letter_a else 0.1
-            elif s == "K":
-                total += 0.8
-            elif s == "O":
-                total += 3.0
-            else:
-                total += 0.03 if ord(ch) < 0x3100 else 0.12
-                if letter_a and _script(after) not in "JK" or letter_b and _script(before) not in "JK" and not before.isascii():
-                    total += 1.0
-    return total + max(0.0, 0.3 * cyrillic)
-
-
-@lru_cache(maxsize=64)
-def _wide(table: str) -> dict[str, int]:
-    """Characters of a one-byte table with their bytes; a byte without a character stands for the control of its number."""
-    out: dict[str, int] = {}
+        return 2.0 * len(_ASCII_CONTROL.findall(text))
+    kinds = _classes(text)
+    total = sum(w * len(p.findall(kinds)) for p, w in _COSTS)
+    if "c" in kinds or "C" in kinds:
+        total += max(0.0, 0.3 * sum(_RARE.get(ord(ch), 0.0 if k not in "dD" else 0.5) for ch, k in zip(text.lower(), kinds, strict=False) if k in "cCdD"))
+    return total
+
+
+_ASCII_CONTROL = re.compile("[\x00-\x08\x0e-\x1f\x7f]")
+
+
+@cache
+def _table(name: str) -> dict[str, int]:
+    """Characters of a one-byte table with their bytes; a byte without a character stands for the control of its number.
+
+    A reader that falls back on latin-1 leaves controls for the bytes that others show: cp1252 takes both.
+    """
+    out: dict[str, int] = {chr(b): b for b in range(0x80, 0xA0)} if name == "cp1252" else {}
     for b in range(256):
         try:
-            out[bytes([b]).decode(table)] = b
+            out[bytes([b]).decode(name)] = b
         except UnicodeDecodeError:
             out.setdefault(chr(b), b)
     return out
 
 
-def _encode(text: str, table: str) -> bytes | None:
-    """Bytes of ``text`` in ``table``, or None; undefined bytes of one-byte tables may have come as controls."""
+def _bytes_of(text: str, table: str) -> bytes | None:
+    """Bytes of ``text`` in ``table``, or None."""
     try:
         return text.encode(table)
     except UnicodeEncodeError:
-        if table in ("cp932", "euc_jp", "gb18030", "big5", "euc_kr"):
-            return None
-        m = _wide(table)
-        try:
-            return bytes([m[ch] for ch in text])
-        except KeyError:
+        if table in _WIDE:
             return None
+    m = _table(table)
+    try:
+        return bytes([m[ch] for ch in text])
+    except KeyError:
+        return None
+
+
+@cache
+def _sequences(table: str) -> re.Pattern[str]:
+    """Characters of a one-byte table whose bytes have the shape of UTF-8, as long a run as there is."""
+    m = _table(table)
+    some = lambda lo, hi: "[" + "".join(re.escape(ch) for ch, b in m.items() if lo <= b <= hi) + "]"
+    tail = some(0x80, 0xBF)
+    return re.compile(f"(?:{some(0xC2, 0xDF)}{tail}|{some(0xE0, 0xEF)}{tail}{{2}}|{some(0xF0, 0xF4)}{tail}{{3}})+")
+
+
+@cache
+def _pair() -> re.Pattern[str]:
+    """Two characters that begin UTF-8 in one of the Latin tables: cp1252 or cp1250."""
+    parts = []
+    for name in ("cp1252", "cp1250"):
+        m = _table(name)
+        some = lambda lo, hi, m=m: "[" + "".join(re.escape(ch) for ch, b in m.items() if lo <= b <= hi) + "]"
+        parts.append(some(0xC2, 0xF4) + some(0x80, 0xBF))
+    return re.compile("|".join(parts))
+
+
+_SENTENCE = re.compile(r"(\n|(?<=[.?!。！？।])\s+|\s(?=[-•] ))")
+_LETTERS = re.compile(r"[^\W\d_]")
+_BAD_RESULT = re.compile("[\x00-\x08\x0e-\x1f\x7f-\x9f\ufffd\ue000-\uf8ff]")
+
+
+def _fix_with(sentence: str, table: str, sure: bool) -> tuple[str, int]:
+    """(sentence with the stretches that are UTF-8 in a one-byte table decoded, most layers undone in one of them)."""
+    most = 0
+
+    def fix(m: re.Match[str]) -> str:
+        nonlocal most
+        run, a, b = m[0], sentence[max(0, m.start() - 2) : m.start()], sentence[m.end() : m.end() + 2]
+        # of the readings of all depths the cheapest: what one layer leaves may itself look worse than the whole
+        now, got, at, deep, depth, layers = cost(a + run + b), run, None, run, 0, 0
+        while (deeper := _sequences(table).sub(lambda m: _strict(m[0], table), deep)) != deep:
+            deep, depth = deeper, depth + 1
+            if not _BAD_RESULT.search(deep) and (at is None or cost(a + deep + b) <= at):
+                got, at, layers = deep, cost(a + deep + b), depth
+        if at is None or now - at < (-0.1 if sure else 0.05 if table in READ_AS[:3] else 0.4):
+            return run
+        if table in _SIGNS and len(run) < 3 and not (_LETTERS.match(a[-1:]) or _LETTERS.match(b[:1])) and not sure:
+            return run
+        most = max(most, layers)
+        return got
+
+    return _sequences(table).sub(fix, sentence), most
+
+
+def _unwrap(sentence: str, sure: set[str]) -> tuple[str, str | None, int]:
+    """(the best reading of ``sentence`` as UTF-8 read with a wrong table, that table or None, layers undone)."""
+    now = cost(sentence)
+    best, at, by, layers = sentence, now - 0.04, None, 0
+    for rank, table in enumerate(READ_AS):
+        if not _sequences(table).search(sentence):
+            continue
+        new, depth = _fix_with(sentence, table, table in sure)
+        if depth:
+            # one stretch that is certain settles the others
+            new, depth = _fix_with(sentence, table, True)
+            if new != sentence and (c := cost(new) + 0.01 * rank) < at - 1e-9:
+                best, at, by, layers = new, c, table, depth
+    if now < 1.0:
+        return best, by, layers
+    for table in READ_AS_WIDE:
+        # signs that stand for lost bytes part the runs
+        new = re.sub(r"[^\x00-\x7f\ufffd]{2,}", lambda m, t=table: _reread(m[0], t), sentence)
+        if new != sentence and (c := cost(new)) < at - 0.5:
+            best, at, by, layers = new, c, table, 1
+    return best, by, layers
+
+
+def _strict(run: str, table: str) -> str:
+    """``run`` decoded as UTF-8 from its bytes in ``table``, or as it is."""
+    raw = _bytes_of(run, table)
+    try:
+        return raw.decode("utf-8") if raw else run
+    except UnicodeDecodeError:
+        return run
 
 
-#: A single character of a one-byte table can't be UTF-8 of several bytes, so runs have two or more.
-_RUN = re.compile(r"[^\x00-\x7f]{2,}")
-#: Sentences whose only other characters are typographic marks beside words and single small letters cost next to nothing.
-_USUAL_TEXT = re.compile(r"(?:[\x00-\x3e\x40-\x7f]|\?(?!\w)|(?<!\w)\?|’|(?<=\w)ñ|ñ(?=\w)|í(?!s\b)|(?<![^\W\d_])[“”„‘–—…]|[“”„‘–—…](?![^\W\d_])|(?<![^\x00-\x7f])[ß-ëïðòóôõöø-ÿāăąćčďđēęěğīłńňōőřśşšťūůűųźżž](?![^\x00-\x7f]))*")
-_SENTENCE = re.compile(r"\n|(?<=[.?!。！？])\s+|\s(?=[-•] )")
-
-
-#: Tables whose upper half is mostly signs: a short run of them standing alone may be proper text, such as a formula.
-_SIGNS = {"mac_roman", "cp437", "cp850", "cp866", "koi8_r", "cp852", "mac_cyrillic"}
-
-
-def _unwrap(text: str) -> str:
-    """``text`` with the runs decoded whose bytes in one table of READ_AS are UTF-8 and cost less, by the first such table.
-
-    In a table of signs a run that touches no letter counts only if another run of the text was read with that table.
-    """
-    for table in READ_AS:
-        alone: list[int] = []
-        sure: list[int] = []
-
-        def fix(m: re.Match[str], table: str = table, alone: list = alone, sure: list = sure, final: bool = False) -> str:
-            run = m[0]
-            raw = _encode(run, table)
-            if raw is None:
-                return run
-            try:
-                got = raw.decode("utf-8")
-            except UnicodeDecodeError:
-                return run
-            if got == run or any(_kind(ch) == "c" and ord(ch) > 0x9F or _kind(ch) in "ul o" and _script(ch) == "O" for ch in got):
-                return run
-            a, b = m.string[max(0, m.start() - 2) : m.start()], m.string[m.end() : m.end() + 2]
-            if cost(a + run + b) - cost(a + got + b) < (0.05 if table in ("cp1252", "latin-1", "cp1250", "cp1251") or final else 0.4):
-                return run
-            if table in _SIGNS and len(run) < 3 and not (a[-1:].isalpha() or b[:1].isalpha()) and not final:
-                alone.append(m.start())
-                return run
-            sure.append(m.start())
-            return got
-
-        new = _RUN.sub(fix, text)
-        if sure:
-            return _RUN.sub(lambda m: fix(m, final=True), text) if alone else new
-    return text
-
-
-def _swap(text: str) -> str:
-    """Each sentence that costs far less after a round trip by one of PAIRS, in that reading; the rest as it is."""
-    out, at = [], 0
-    spans = [*((m.start(), m.end()) for m in _SENTENCE.finditer(text)), (len(text), len(text))]
-    for a, b in spans:
-        s = text[at:a]
-        out.append(s if s.isascii() or _USUAL_TEXT.fullmatch(s) else _best(s))
-        out.append(text[a:b])
-        at = b
-    return "".join(out)
-
-
-_JAPANESE = ("cp932", "euc_jp")
+def _reread(run: str, table: str) -> str:
+    got = _strict(run, table)
+    return run if _BAD_RESULT.search(got) else got
 
 
 def _japanese(text: str) -> bool:
@@ -255,51 +295,114 @@ def _japanese(text: str) -> bool:
     return sum("ぁ" <= ch <= "ゟ" for ch in wide) >= 0.2 * len(wide)
 
 
-def _best(sentence: str) -> str:
-    now = cost(sentence)
-    odd = sum(1 for ch in sentence if not ch.isascii())
-    best, at = sentence, now
-    if now < 0.9 and now < 0.12 * odd or now < 0.7:
-        return sentence
+@cache
+def _quoted() -> tuple[re.Pattern[str], str]:
+    """A stretch between two letters that quotation marks become in one of the pairs of one-byte tables, and the first letters of such."""
+    found = set()
     for read, written in PAIRS:
-        raw = _encode(sentence, read)
+        if read in _WIDE or written in _WIDE:
+            continue
+        ends = ["".join(ch for ch, b in _table(read).items() if b == _table(written).get(q)) for q in "“”"]
+        if all(len(e) == 1 and e.isalpha() for e in ends):
+            found.add(tuple(ends))
+    return re.compile("|".join(rf"(?<!\w){a}(?=[^\W_])[^\n]*\w{b}(?!\w)" for a, b in sorted(found))), "".join(a for a, _ in sorted(found))
+
+
+def _swap(sentence: str, sure: set[tuple[str, str]]) -> tuple[str, tuple[str, str] | None]:
+    """(the reading of ``sentence`` by one of PAIRS that costs least, that pair) if it costs far less, else (sentence, None).
+
+    A pair that is certain for another sentence of the text needs little; quotation marks that come out as a pair count as well.
+    """
+    now = cost(sentence)
+    quoted = 0.8 if _quoted()[0].search(sentence) else 0.0
+    odd = sum(not ch.isascii() for ch in sentence)
+    weak = now + quoted < 0.7 or now + quoted < min(0.9, 0.12 * odd)
+    if weak and not sure:
+        return sentence, None
+    best, pair, raws = sentence, None, {}
+    at = now - max(0.8, 0.5 * now)
+    for read, written in sure if weak else PAIRS:
+        if read not in raws:
+            raws[read] = _bytes_of(sentence, read)
+        raw = raws[read]
         if raw is None:
             continue
         try:
             got = raw.decode(written)
         except UnicodeDecodeError:
             continue
-        if got == sentence or written in _JAPANESE and not _japanese(got):
+        if got == sentence or _BAD_RESULT.search(got) or written in ("cp932", "euc_jp") and not _japanese(got):
             continue
         c = cost(got)
+        if quoted and "“" in got and "”" in got:
+            c -= quoted
+        if (read, written) in sure and c < now - 0.3:
+            c = min(c, at - 0.1)
         if c < at - 1e-9:
-            best, at = got, c
-    return best if at <= now - max(0.8, 0.5 * now) else sentence
+            best, pair, at = got, (read, written), c
+    return best, pair
 
 
-def restore(text: str) -> tuple[str, int, bool]:
-    """(text restored as far as it can be, layers undone, whether it was or still is garbled)."""
-    if text.isascii():
-        return text, 0, False
-    layers = 0
-    while layers < _MOST_LAYERS:
-        new = _swap(_unwrap(text) if _RUN.search(text) else text)
-        if new == text:
-            break
-        text, layers = new, layers + 1
-        if text.isascii():
-            break
-    return text, layers, layers > 0 or "�" in text or _lost(text)
+#: Plain ASCII but for two characters at either end of a run: what stands beside other characters tells all.
+_PLAIN = re.compile(r"([\x00-\x7f]{2})[\x00-\x7f]+([\x00-\x7f]{2})")
+
+
+def _proper(text: str) -> bool:
+    """Whether a text has no place that proper text rarely has: nothing is tried on it."""
+    short = _PLAIN.sub(r"\1\2", text)
+    return not (_pair().search(short) or _SUSPECT.search(_classes(short)) or any(ch in short for ch in _quoted()[1]) and _quoted()[0].search(text))
+
 
+_LOST = re.compile("[\x80-\x84\x86-\x9f\ufffd]")
 
-_C1 = re.compile(r"[\x80-\x84\x86-\x9f]")
+
+def _layer(parts: list[str], which: list[int], tables: set[str], pairs: set[tuple[str, str]]) -> tuple[dict[int, str], int, set[str], set[tuple[str, str]]]:
+    """(new sentences by number, layers, tables, pairs) of a reading undone, with what is certain already and what became so."""
+    changed, most, by_table, by_pair = {}, 0, set(tables), set(pairs)
+    for k in which:
+        new, table, layers = _unwrap(parts[k], tables)
+        if not table or not _proper(new):
+            other, pair = _swap(parts[k], pairs)
+            if pair and cost(other) < cost(new) - (0.8 if table else 0.0):
+                new, table, layers = other, None, 1
+                by_pair.add(pair)
+        if table:
+            by_table.add(table)
+        if new != parts[k]:
+            changed[k] = new
+            most = max(most, layers)
+    return changed, most, by_table, by_pair
+
+
+def restore(text: str) -> tuple[str, int, bool]:
+    """(text restored as far as it can be, layers undone, whether it was or still is garbled).
+
+    Garbled is what a round trip mends, and what holds the marks that a lossy decoding leaves: the replacement character
+    or controls of the upper half.
+    """
+    if text.isascii() or _proper(text):
+        return text, 0, _LOST.search(text) is not None
+    parts, layers = _SENTENCE.split(text), 0
+    some = [k for k, s in enumerate(parts) if not s.isascii()]
+    open_ = [k for k in some if not _proper(parts[k])]
+    while open_ and layers < _MOST_LAYERS:
+        # a table that is certain for one sentence of the text settles the doubtful ones
+        changed, most, tables, pairs = _layer(parts, open_, set(), set())
+        if tables or pairs:
+            changed, most, tables, pairs = _layer(parts, some, tables, pairs)
+        if not changed:
+            break
+        for k, s in changed.items():
+            parts[k] = s
+        layers += most
+        open_ = [k for k in some if not parts[k].isascii() and not _proper(parts[k])]
+    new = "".join(parts)
+    return new, layers, layers > 0 or _LOST.search(new) is not None
 
 
-def _lost(text: str) -> bool:
-    """Whether a stretch is garbled beyond repair: controls that only a wrong table makes, or a sentence of very high cost."""
-    if _C1.search(text):
-        return True
-    return any(not s.isascii() and not _USUAL_TEXT.fullmatch(s) and cost(s) >= max(3.0, 0.8 * math.sqrt(len(s))) for s in _SENTENCE.split(text) if s)
+def complete(text: str) -> bool:
+    """Whether nothing of a restored text is lost."""
+    return _LOST.search(text) is None
 
 
 def repair(df: DataFrame, key: str, column: str) -> DataFrame:
@@ -317,7 +420,7 @@ def repair(df: DataFrame, key: str, column: str) -> DataFrame:
             for k, t in zip(b[key], b["text_"], strict=True):
                 new, layers, bad = restore(t)
                 if bad:
-                    rows.append((k, new, layers, "�" not in new and not _lost(new)))
+                    rows.append((k, new, layers, complete(new)))
             yield pd.DataFrame(rows, columns=[key, "restored", "layers", "complete"])
 
     return some.mapInPandas(run, f"`{key}` {kind}, restored string, layers int, complete boolean")

@@ -35,7 +35,7 @@ def _unified(spark: SparkSession, base: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, base: str) -> DataFrame:
     """Rows whose authors, full_name or title isn't in plain composed letters."""
-    return _unified(spark, base).select("table_name", "record_id").distinct()
+    return _unified(spark, base).select("table_name", "record_id")
 
 
 def p5_unified(spark: SparkSession, base: str) -> DataFrame:
@@ -76,7 +76,7 @@ def p7_passages(spark: SparkSession, base: str) -> DataFrame:
 
 def p7_found(spark: SparkSession, base: str) -> DataFrame:
     """Documents that hold a passage of a held-out item."""
-    return p7_passages(spark, base).select("doc_id", "item_id").distinct()
+    return p7_passages(spark, base).select("doc_id", "item_id")
 
 
 def p8_mix(spark: SparkSession, base: str) -> DataFrame:
@@ -97,7 +97,7 @@ def p9_restored(spark: SparkSession, base: str) -> DataFrame:
 
 def p9_found(spark: SparkSession, base: str) -> DataFrame:
     """Documents with a stretch decoded with the wrong character table."""
-    return p9_restored(spark, base).select("doc_id").distinct()
+    return p9_restored(spark, base).select("doc_id")
 
 
 def queries() -> dict[str, Query]:

@@ -109,22 +109,50 @@ SAMPLES = {
 }
 
 
+def _misread(text: str, table: str) -> str:
+    """UTF-8 read in a one-byte table, undefined bytes as controls."""
+    back = {v: k for k, v in mojibake._table("cp1252" if table == "latin-1" else table).items()}
+    return text.encode().decode("latin-1") if table == "latin-1" else "".join(back[b] for b in text.encode())
+
+
 def test_round_trips() -> None:
     for text, tables in SAMPLES.items():
         assert mojibake.restore(text) == (text, 0, False)
         for t in tables:
-            raw, table = text.encode(), mojibake._wide(t)
-            back = {v: k for k, v in table.items()}
-            bad = "".join(back[b] for b in raw)
+            bad = _misread(text, t)
             got, layers, flagged = mojibake.restore("Plain words first. " + bad)
             assert flagged and got == "Plain words first. " + text, (t, got)
             if t == "cp1252":
-                twice = "".join(back.get(b, chr(b)) for b in bad.encode())
-                assert mojibake.restore(twice)[0] == text
+                assert mojibake.restore(_misread(bad, t))[:2] == (text, 2)
     for written, read in (("cp1251", "cp1252"), ("koi8_r", "cp1251"), ("cp1251", "koi8_r")):
         text = "Кроме того, квантовой памяти остаётся устойчиво."
         assert mojibake.restore(text.encode(written).decode(read))[0] == text
-    assert mojibake.restore("Caf� talk")[2]
+    assert mojibake.restore("Caf\ufffd talk")[2]
+
+
+#: One proper sentence a script or language.
+PROPER = {
+    "Korean": "양자 키 분배는 두 당사자가 안전한 비밀 키를 공유하도록 한다.", "Arabic": "تتيح ميكانيكا الكم توزيع المفاتيح بطريقة آمنة بين طرفين.", "Hebrew": "הפצת מפתחות קוונטית מאפשרת לשני צדדים לשתף מפתח סודי.",
+    "Hindi": "क्वांटम कुंजी वितरण दो पक्षों को एक गुप्त कुंजी साझा करने देता है।", "Thai": "การแจกจ่ายกุญแจควอนตัมช่วยให้สองฝ่ายแบ่งปันกุญแจลับได้", "Chinese": "量子密钥分发使双方能够共享一个安全的秘密密钥。",
+    "Greek": "Η κβαντική διανομή κλειδιών επιτρέπει σε δύο μέρη να μοιραστούν ένα μυστικό κλειδί.", "Georgian": "კვანტური გასაღების განაწილება ორ მხარეს საშუალებას აძლევს.", "Bengali": "কোয়ান্টাম কী বিতরণ দুটি পক্ষকে একটি গোপন কী ভাগ করতে দেয়।",
+    "Tamil": "குவாண்டம் விசை பகிர்வு இரு தரப்பினரையும் ரகசிய விசையைப் பகிர அனுமதிக்கிறது.", "Armenian": "Քվանտային բանալիների բաշխումը թույլ է տալիս երկու կողմերին կիսվել։", "Japanese": "量子鍵配送は二者が安全な秘密鍵を共有することを可能にする。",
+    "Serbian": "Квантна расподела кључева омогућава двема странама да деле тајни кључ.", "Turkish": "Kuantum anahtar dağıtımı iki tarafın gizli bir anahtarı paylaşmasını sağlar.", "Icelandic": "Það er þessi þjóð sem á sér ævintýri og ást.",
+    "Persian": "توزیع کلید کوانتومی به دو طرف اجازه می\u200cدهد کلیدی مخفی را به اشتراک بگذارند.",
+}
+
+
+@pytest.mark.parametrize("name", sorted(PROPER))
+def test_every_script(name) -> None:  # noqa: ANN001
+    text = PROPER[name]
+    assert mojibake.restore(text) == (text, 0, False)
+    for table in ("cp1252", "latin-1", "cp1251", "mac_roman", "cp437", "cp1253", "koi8_r"):
+        got, _, flagged = mojibake.restore(_misread(text, table))
+        assert flagged and got == text, (table, got)
+
+
+def test_more_proper_texts() -> None:
+    for text in ("Phân phối khóa lượng tử cho phép hai bên chia sẻ một khóa bí mật.", "Great talk 👍🏽👩\u200d🔬 – café ☕ → done ✅", "The QKD 프로토콜 and 量子 memory: α-particles, µm, 25 °C, naïve façade (“quoted”) – ok… © 2020 ™ → ≤ ∞ ✓ €5", "Let ψ∈ℋ, then ⟨ψ|A|ψ⟩ ≥ 0 ∀ψ; ∑ᵢ pᵢ = 1, x² + y³ ≠ z⁴, ½ ≈ 0.5, Δt·ΔE ≥ ħ/2.", "ÉCOLE NORMALE SUPÉRIEURE – ÜBERSICHT, GRÖSSE, ŁÓDŹ, ŻÓŁĆ", "¿Qué país está más allá? El niño de París.", "Квантовий розподіл ключів дозволяє двом сторонам її обмінятися ключем.", "量子金鑰分發使雙方能夠共享一個安全的祕密金鑰。"):
+        assert mojibake.restore(text) == (text, 0, False), text
 
 
 def test_proper_texts_stay() -> None:
