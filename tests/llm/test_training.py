@@ -94,12 +94,45 @@ def test_leaks_equal_brute_force(spark) -> None:  # noqa: ANN001
     assert leakage.leaked(ddf, idf.limit(0)).count() == 0 and leakage.leaked(ddf.limit(0), idf).count() == 0
 
 
-def test_several_blocks_of_items(spark, monkeypatch) -> None:  # noqa: ANN001
-    monkeypatch.setattr(leakage, "BLOCK_BYTES", 150)
+def test_items_beyond_one_block(spark, monkeypatch) -> None:  # noqa: ANN001
     words = [f"word{k}" for k in range(60)]
-    items = spark.createDataFrame([(k, " ".join(words[k : k + 25])) for k in range(0, 30, 10)], "item_id long, text string")
-    docs = spark.createDataFrame([(1, " ".join(words))] * 2, "doc_id long, text string")
-    assert sorted(r["item_id"] for r in leakage.leaked(docs, items).collect()) == [0, 0, 10, 10, 20, 20]
+    rng = random.Random(8)
+    texts = [" ".join(words)] * 2 + [" ".join(words[a : a + rng.randrange(15, 40)]) for a in range(0, 40, 3)] + [None, "", "short"]
+    items = spark.createDataFrame([*((k, " ".join(words[k : k + 25])) for k in range(0, 30, 10)), (77, None), (78, "few words")], "item_id long, text string")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "1 as item_", "2 as h_")
+    docs = docs.union(docs.where("doc_id = 0"))
+    whole = sorted(map(tuple, leakage.leaked(docs, items).collect()))
+    monkeypatch.setattr(leakage, "BLOCK_BYTES", 150)
+    assert sorted(map(tuple, leakage.leaked(docs, items).collect())) == whole and len([r for r in whole if r[0] == 0]) == 6
+    assert leakage.leaked(docs.limit(0), items).count() == 0
+
+
+@pytest.mark.parametrize("length", [1, 10, 30, 60])
+def test_words_put_in_however_long(length) -> None:  # noqa: ANN001
+    rng = random.Random(length)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    for size in (2, 6):
+        item = [word(size) for _ in range(40)]
+        index = leakage.Index([7], [" ".join(item)])
+        assert index.least[0] >= 1
+        for _ in range(40):
+            a = rng.randrange(20)
+            part = item[a : a + 20]
+            for k in sorted(rng.sample(range(1, 19), 2), reverse=True):
+                part.insert(k, word(length))
+            assert leakage._leaks(index, [" ".join(["other", "words", *part, "then", "more"])]), (length, part)
+
+
+def test_passage_equals_brute_force() -> None:
+    rng = random.Random(11)
+    for _ in range(150):
+        vocab = [f"w{k}" for k in range(rng.choice([6, 30, 200]))]
+        item = [rng.choice(vocab) for _ in range(rng.randrange(20, 40))]
+        doc = list(item)
+        for _ in range(rng.randrange(7)):
+            k = rng.randrange(len(doc))
+            doc[k : k + 1] = rng.choice([[], [rng.choice(vocab)], [doc[k], rng.choice(vocab)]])
+        assert (leakage.passage(item, doc, -60, 60)[0] > 0) == _brute(item, doc), (item, doc)
 
 
 SAMPLES = {
