@@ -19,6 +19,7 @@ PARTICLES = ("van", "von", "de", "del", "della", "di", "da", "la", "le", "du", "
 #: Ranges of combining marks that folding drops (fixed values).
 COMBINING = "\\u0300-\\u036f\\u1ab0-\\u1aff\\u1dc0-\\u1dff\\u20d0-\\u20ff\\ufe20-\\ufe2f"
 VENUES = ("QCRYPT", "QIP", "TQC")
+#: Words of titles that tell nothing apart (fixed values).
 STOPWORDS = ("a", "an", "the", "of", "for", "and", "on", "in", "to", "with", "from", "via", "is", "are", "be", "by", "as", "at", "or")
 _WS = "[\\s\\u0085\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+"
 
@@ -176,12 +177,13 @@ def title_tokens(c: Column) -> Column:
     return F.array_distinct(F.filter(found, lambda t: ~t.isin(*STOPWORDS) & ~t.rlike("^(?:(?:qip|qcrypt|tqc)\\d{0,4}|\\d{4}|.)$")))
 
 
-_TAG = "(?:\\[?\\d{4}\\]?|qip\\s*\\d{0,4}|qcrypt\\s*\\d{0,4}|tqc\\s*\\d{0,4}|day\\s*\\d+)\\s*[:|\\-–—]\\s*"
+#: What stands before a mark at the beginning of a video's title without belonging to it: conferences, years, days.
+_LABEL = f"(?:{'|'.join(VENUES)})(?:\\s*\\d{{1,4}})?|\\[?\\d{{4}}\\]?|day\\s*\\d+"
 
 
 def strip_tags(c: Column) -> Column:
-    """Title without leading conference tags, years and days, however many."""
-    return F.trim(F.regexp_replace(c, f"(?i)^\\s*(?:{_TAG})+", ""))
+    """Title without the labels before its first marks (colon, bar, dash), however many."""
+    return F.trim(F.regexp_replace(c, f"(?i)^(?:\\s*(?:{_LABEL})\\s*[:|–—-])+\\s*", ""))
 
 
 def truncate(c: Column, n: int = 80) -> Column:
