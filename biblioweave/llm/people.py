@@ -47,14 +47,13 @@ _PARTICLES = {"van", "von", "der", "den", "de", "da", "di", "du", "del", "della"
 _FUSED = re.compile(r"\b(van|von|der|den|del|de|da|di|du|el|al|la|le)(?=[A-ZÀ-Ž])")
 _GROUP = re.compile(r"^(?:group|grp|collaboration|collab|consortium|consort|team|network|society|association|committee|project|initiative|alliance|laboratory|lab|institute|council|board|forum|task|force|union)$")
 _LETTERS = str.maketrans({"ł": "l", "Ł": "L", "ø": "o", "Ø": "O", "đ": "d", "Đ": "D", "ð": "d", "Ð": "D", "þ": "th", "Þ": "Th", "ß": "ss", "æ": "ae", "Æ": "Ae", "œ": "oe", "Œ": "Oe", "ı": "i", "’": "'", "‐": "-", "‑": "-", "–": "-"})
-#: Most given names kept as established; names beyond are treated as any other word.
-MOST_GIVEN = 100_000
-#: A given name is established from this share of the usual number of families on.
+#: A given name is established from this share of the usual number of families on: a share, as a table twice as large has
+#: twice the families a name.
 ESTABLISHED = 0.2
+#: Bytes of established names that go to every task; more are joined to the words of each spelling.
+GIVEN_BYTES = 32 << 20
 #: Letters at least that two family names two slips apart have in common, in order.
 SHARED = 5
-#: Most rounds of matching; they end when a round merges nothing.
-_ROUNDS = 20
 
 
 def fold(text: str) -> str:
@@ -201,8 +200,9 @@ def _keys(kind: str, given: str, inits: str, family: str, established: set[str]
 def _two_slips(profiles: DataFrame) -> DataFrame:
     """(pid, rule, role, key) of rule d: same given name, family names two slips apart, confirmed by their edit distance.
 
-    Names meet under their forms with none, one and two letters left out, whatever the length of each, and are compared
-    pair by pair: the distinct family names of one given name around one form are few. The form that two share has at
+    Names meet under their forms with none, one and two letters left out, whatever the length of each; only hashes travel,
+    and the forms of one name alone are gone before names are compared. The distinct family names of one given name that
+    hold one form and two letters more at most are few, however many rows bear them. The form that two share has at
     least SHARED letters; of a shorter name two slips leave too little to tell it from another name.
     """
 
@@ -211,19 +211,23 @@ def _two_slips(profiles: DataFrame) -> DataFrame:
             out = [(g, f, w) for g, f in zip(b["given"], b["family"], strict=True) for w in {y for x in _less(f) for y in _less(x)} if len(w) >= SHARED]
             yield pd.DataFrame(out, columns=["given", "family", "w"])
 
-    words = profiles.where("kind = 'p' and given <> ''").select("given", "family").distinct()
-    formed = words.mapInPandas(forms, "given string, family string, w string").select(F.xxhash64("given", "w").alias("form"), F.xxhash64("given", "family").alias("word"), "family")
-    left, right = formed.toDF("form", "word", "family"), formed.toDF("form", "other", "family_b")
+    named = profiles.where("kind = 'p' and given <> ''")
+    words = named.select("given", "family").distinct()
+    formed = words.mapInPandas(forms, "given string, family string, w string").select(F.xxhash64("given", "w").alias("form"), F.xxhash64("given", "family").alias("word"))
+    groups = formed.groupBy("form").agg(F.collect_set("word").alias("ws")).where("size(ws) > 1").select(F.array_sort("ws").alias("ws"))
+    pairs = groups.select(F.explode(F.flatten(F.transform("ws", lambda x, i: F.transform(F.slice("ws", i + 2, F.size("ws")), lambda y: F.struct(x.alias("word"), y.alias("other")))))).alias("p")).select("p.word", "p.other").distinct()
+    spelt = words.select(F.xxhash64("given", "family").alias("word"), "family")
+    near = pairs.join(spelt.hint("merge"), "word").join(spelt.toDF("other", "family_b").hint("merge"), "other")
     # swapped letters count twice in the edit distance; one slip is rule a's
     slips, letters = F.levenshtein("family", "family_b"), lambda c: F.array_sort(F.split(c, ""))
-    near = left.join(right.hint("merge"), "form").where("word < other").where((slips == 2) | (slips > 2) & (slips <= 4) & (letters("family") == letters("family_b")))
-    met = near.select(F.explode(F.array("word", "other")).alias("word"), F.xxhash64("word", "other").alias("key")).distinct()
-    mine = profiles.where("kind = 'p' and given <> ''").select("pid", F.xxhash64("given", "family").alias("word"))
+    near = near.where((slips == 2) | (slips > 2) & (slips <= 4) & (letters("family") == letters("family_b")))
+    met = near.select(F.explode(F.array("word", "other")).alias("word"), F.xxhash64("word", "other").alias("key"))
+    mine = named.select("pid", F.xxhash64("given", "family").alias("word"))
     return mine.join(met.hint("merge"), "word").select("pid", F.lit("d").alias("rule"), F.lit("f").alias("role"), "key")
 
 
-def established_names(names: DataFrame, column: str) -> set[str]:
-    """Given names borne by people of many families: at least ESTABLISHED of the usual number (and 3), MOST_GIVEN at most."""
+def established_names(names: DataFrame, column: str) -> DataFrame:
+    """(g): given names borne by people of many families: at least ESTABLISHED of the usual number, and 3; each once."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -237,8 +241,20 @@ def established_names(names: DataFrame, column: str) -> set[str]:
     pairs = names.select(column).mapInPandas(run, "g string, f string").distinct()
     counts = cut(pairs.groupBy("g").agg(F.count("*").alias("n")))
     usual = counts.agg(F.expr("percentile(n, 0.5D, n)")).first()[0] or 0
-    kept = counts.where(F.col("n") >= max(3, ESTABLISHED * usual)).orderBy(F.desc("n"), "g").limit(MOST_GIVEN)
-    return {r["g"] for r in kept.toLocalIterator()} | _FULL
+    return counts.where(F.col("n") >= max(3, ESTABLISHED * usual)).select("g")
+
+
+def _with_known(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """``rows`` (key_, text_) with known_: the established given names among the words of the text, null where all tasks have them all."""
+
+    def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = {(t, w) for t in b["text_"] for x in re.split(r"[\s./,]+", fold(t).lower()) for w in (x, *x.split("-"), re.sub(r"[^\w]|_", "", x), *(re.sub(r"^(?:van|von|der|den|del|de|da|di|du|el|al|la|le)", "", x),)) if w}
+            yield pd.DataFrame(sorted(out), columns=["text_", "g"])
+
+    own = rows.select("text_").distinct().mapInPandas(words, "text_ string, g string").distinct()
+    mine = own.join(known.hint("merge"), "g").groupBy("text_").agg(F.collect_set("g").alias("known_"))
+    return rows.join(mine.hint("merge"), "text_", "left").select("key_", "text_", F.coalesce("known_", F.array().cast("array<string>")).alias("known_"))
 
 
 #: Rules whose profiles of role f are the only ones that a profile of another role may join, with their rank.
@@ -262,26 +278,28 @@ def _split(met: DataFrame) -> DataFrame:
     return marked.join(heads.hint("merge"), ["rule", "key", "name", "middle"]).select("cid", "star").distinct()
 
 
-def _moves(keyed: DataFrame, first: bool) -> DataFrame:
-    """(cid, to): clusters that merge into another, from keyed profiles (rule, key, role, cid, given, name, mid_lo, mid_hi, name_lo, name_hi, solo).
+def _blocks(keyed: DataFrame) -> DataFrame:
+    """The rows (rule, key, role, cid, given, name, mid_lo, mid_hi, name_lo, name_hi, solo) of blocks of several clusters, each with its block's summary.
 
     mid_lo, mid_hi: least and largest middle initial of the cluster; name_lo, name_hi: of its established given names;
     solo: whether all of the cluster are initials only. Every block is summed up once and the summary goes back to its
-    members; a cluster moves to the smallest one that it may join.
+    members. A middle initial makes a second, narrower block: A of rule a, I of rule i.
     """
-    # a middle initial makes a second, narrower block: A of rule a, I of rule i
     own = (F.col("mid_lo") == F.col("mid_hi")) & F.col("rule").isin("a", "i")
     wide = F.struct(F.col("rule").alias("rule"), F.col("key").alias("key"))
     narrow = F.struct(F.upper("rule").alias("rule"), F.xxhash64("key", "mid_lo").alias("key"))
-    rows = keyed.where("rule not in ('j', 'k', 'm', 'd')") if first else keyed
-    rows = rows.withColumn("block", F.explode(F.when(own, F.array(wide, narrow)).otherwise(F.array(wide)))).drop("rule", "key").select("*", "block.rule", "block.key").drop("block")
-    full = F.col("role") == "f"
-    sole_name = F.when(F.col("name_lo") == F.col("name_hi"), F.col("name_lo"))
+    rows = keyed.withColumn("block", F.explode(F.when(own, F.array(wide, narrow)).otherwise(F.array(wide)))).drop("rule", "key").select("*", "block.rule", "block.key").drop("block")
+    full, sole_name = F.col("role") == "f", F.when(F.col("name_lo") == F.col("name_hi"), F.col("name_lo"))
     blocks = rows.groupBy("rule", "key").agg(
         F.min("cid").alias("head"), F.max("cid").alias("tail"), F.min("mid_lo").alias("m0"), F.max("mid_hi").alias("m1"), F.min("name_lo").alias("g0"), F.max("name_hi").alias("g1"), F.collect_set(F.when(F.col("rule") == "b", F.coalesce("name", sole_name))).alias("names"),
         F.min(F.when(full, F.col("cid"))).alias("f0"), F.max(F.when(full, F.col("cid"))).alias("f1"), F.min(F.when(full, F.col("mid_lo"))).alias("fm0"), F.max(F.when(full, F.col("mid_hi"))).alias("fm1"),
     ).where("head <> tail")
-    met = rows.join(blocks.hint("merge"), ["rule", "key"])
+    return rows.join(blocks.hint("merge"), ["rule", "key"])
+
+
+def _moves(met: DataFrame) -> DataFrame:
+    """(cid, to): clusters that merge into another, from the rows of ``_blocks``; a cluster moves to the smallest one that it may join."""
+    full = F.col("role") == "f"
     one_middle = F.col("m0").isNull() | (F.col("m0") == F.col("m1"))
     one_name = F.col("g0").isNull() | (F.col("g0") == F.col("g1"))
     whole = (
@@ -310,45 +328,65 @@ def resolve(names: DataFrame, key: str, column: str) -> DataFrame:
     several rows is one profile. Entities don't depend on the order of rows. An empty table gives none.
     """
     rows = names.select(F.col(f"`{key}`").alias("key_"), F.col(f"`{column}`").alias("text_")).where("text_ is not null")
-    spark = names.sparkSession
-    known = spark.sparkContext.broadcast(frozenset(established_names(rows, "text_")))
+    known = established_names(rows, "text_")
+    size = known.agg(F.sum(F.octet_length("g") + 64)).first()[0] or 0
+    few = size <= GIVEN_BYTES
+    shared = names.sparkSession.sparkContext.broadcast(frozenset(r["g"] for r in known.toLocalIterator()) if few else frozenset())
+    if not few:
+        rows = _with_known(rows, known)
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        every = shared.value | _FULL
         for b in batches:
-            p = [parse(t, known.value) for t in b["text_"]]
+            sets = [every] * len(b) if few else [_FULL.union(x) for x in b["known_"]]
+            p = [parse(t, k) for t, k in zip(b["text_"], sets, strict=True)]
             out = pd.DataFrame(p, columns=["kind", "given", "inits", "middle", "family"])
             out.insert(0, "key_", b["key_"].to_numpy())
-            out["name"] = [g if g in known.value else None for g in out["given"]]
+            out["name"] = [g if g in k else None for g, k in zip(out["given"], sets, strict=True)]
             yield out
 
     kind = dict(rows.dtypes)["key_"]
     fields = ["kind", "given", "inits", "middle", "family"]
     parsed = rows.mapInPandas(read, f"key_ {kind}, " + ", ".join(f"{f} string" for f in [*fields, "name"]))
     parsed = cut(parsed.withColumn("pid", F.xxhash64(*fields)))
-    profiles = parsed.drop("key_").dropDuplicates(["pid"])
+    profiles = cut(parsed.drop("key_").dropDuplicates(["pid"]))
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = [(pid, rule, role, k) for pid, kd, g, i, f in zip(b["pid"], b["kind"], b["given"], b["inits"], b["family"], strict=True) for rule, role, k in _keys(kd, g, i, f, known.value)]
+            out = [
+                (pid, rule, role, k)
+                for pid, kd, g, i, f, n in zip(b["pid"], b["kind"], b["given"], b["inits"], b["family"], b["name"], strict=True)
+                for rule, role, k in set(_keys(kd, g, i, f, {n} if n else frozenset()))
+            ]
             yield pd.DataFrame(out, columns=["pid", "rule", "role", "k"])
 
-    keys = profiles.select("pid", *fields).mapInPandas(emit, "pid long, rule string, role string, k string")
-    keys = keys.select("pid", "rule", "role", F.xxhash64("k").alias("key")).distinct()
-    # most keys are held by one profile and can never merge anything
-    shared = keys.groupBy("rule", "key").agg(F.count("*").alias("n"), F.max(F.when(F.col("role") != "f", 1)).alias("s")).where("n > 1 and (rule not in ('i', 'j', 'k', 'n', 'm') or s = 1)")
-    keys = cut(keys.join(shared.select("rule", "key").hint("merge"), ["rule", "key"]).select("pid", "rule", "role", "key").union(_two_slips(profiles)))
-    facts = cut(profiles.select("pid", F.nullif("middle", F.lit("")).alias("middle"), "name", "given", ((F.col("given") == "") & (F.col("inits") != "")).alias("solo"), F.col("pid").alias("cid"), F.lit(False).alias("moved")))
-
-    for turn in range(_ROUNDS):
-        whole = facts.groupBy("cid").agg(F.min("middle").alias("mid_lo"), F.max("middle").alias("mid_hi"), F.min("name").alias("name_lo"), F.max("name").alias("name_hi"), F.min("solo").alias("solo_"))
-        rich = facts.join(whole.hint("merge"), "cid").drop("solo").withColumnRenamed("solo_", "solo")
-        moves = _moves(keys.join(rich.drop("middle", "moved").hint("merge"), "pid"), turn == 0)
+    made = profiles.select("pid", "name", *fields).mapInPandas(emit, "pid long, rule string, role string, k string")
+    made = made.select("pid", "rule", "role", F.xxhash64("rule", "k").alias("key")).repartition("key")
+    # most keys are held by one profile and can never merge anything; keys travel once, both sides read the same shuffle
+    several = made.groupBy("key").agg(F.min("pid").alias("lo"), F.max("pid").alias("hi"), F.max((F.col("role") != "f").cast("int")).alias("s"), F.first("rule").alias("r")).where("lo <> hi and (r not in ('i', 'j', 'k', 'n', 'm') or s = 1)")
+    keys = made.join(several.select("key").hint("merge"), "key").select("pid", "rule", "role", "key").union(_two_slips(profiles))
+    only_b = lambda c: F.when(F.col("rule") == "b", F.col(c)).alias(c)
+    keys = cut(keys.join(profiles.select("pid", "given", "name").hint("merge"), "pid").select("rule", "key", "role", F.col("pid").alias("cid"), only_b("given"), only_b("name")))
+    facts = cut(profiles.select("pid", F.nullif("middle", F.lit("")).alias("middle"), "name", ((F.col("given") == "") & (F.col("inits") != "")).alias("solo"), F.col("pid").alias("cid")))
+
+    late, turn = F.col("rule").isin("j", "k", "m", "d"), 0
+    open_, waiting = keys.where(~late), keys.where(late)
+    while True:
+        whole = facts.groupBy("cid").agg(F.min("middle").alias("mid_lo"), F.max("middle").alias("mid_hi"), F.min("name").alias("name_lo"), F.max("name").alias("name_hi"), F.min("solo").alias("solo"))
+        # blocks that have come down to one cluster can merge nothing any more and are left behind
+        met = cut(_blocks(open_.join(whole.hint("merge"), "cid")))
+        moves = _moves(met)
         # a move to a cluster that moves itself goes on to where that goes
         onward = moves.select(F.col("cid").alias("to"), F.col("to").alias("further"))
-        moves = moves.join(onward.hint("merge"), "to", "left").select("cid", F.coalesce("further", "to").alias("to"))
-        facts = cut(facts.drop("moved").join(moves.hint("merge"), "cid", "left").withColumn("moved", F.col("to").isNotNull()).withColumn("cid", F.coalesce("to", "cid")).drop("to"))
-        if turn and facts.where("moved").isEmpty():
-            break
+        moves = cut(moves.join(onward.hint("merge"), "to", "left").select("cid", F.coalesce("further", "to").alias("to")))
+        if moves.isEmpty():
+            if turn:
+                break
+        facts = cut(facts.join(moves.hint("merge"), "cid", "left").withColumn("cid", F.coalesce("to", "cid")).drop("to"))
+        left = met.where(~F.col("rule").isin("A", "I")).select(*keys.columns)
+        left = left.union(waiting) if turn == 0 else left
+        open_ = left.join(moves.hint("merge"), "cid", "left").withColumn("cid", F.coalesce("to", "cid")).select(*keys.columns).distinct()
+        turn += 1
     return parsed.join(facts.select("pid", F.col("cid").alias("entity")).hint("merge"), "pid").select(F.col("key_").alias(key), "entity")
 
 
