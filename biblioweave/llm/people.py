@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from biblioweave.llm.lookalike import canonical
-from biblioweave.session import cut
+from biblioweave.session import BROADCAST_BYTES, cut
 
 #: Short forms of given names, each with the full names it may stand for (fixed values).
 SHORT = {
@@ -200,21 +200,21 @@ def _keys(kind: str, given: str, inits: str, family: str, established: set[str]
 def _two_slips(profiles: DataFrame) -> DataFrame:
     """(pid, rule, role, key) of rule d: same given name, family names two slips apart, confirmed by their edit distance.
 
-    Names meet under their forms with none, one and two letters left out, whatever the length of each; only hashes travel,
-    and the forms of one name alone are gone before names are compared. The distinct family names of one given name that
-    hold one form and two letters more at most are few, however many rows bear them. The form that two share has at
-    least SHARED letters; of a shorter name two slips leave too little to tell it from another name.
+    Names meet under their forms with none, one and two letters left out, whatever the length of each. Only hashes of forms
+    travel, to be counted; forms that one name has alone are gone before names are paired. The distinct family names of one
+    given name that hold one form and two letters more at most are few, however many rows bear them. The form that two share
+    has at least SHARED letters; of a shorter name two slips leave too little to tell it from another name.
     """
-
-    def forms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = [(g, f, w) for g, f in zip(b["given"], b["family"], strict=True) for w in {y for x in _less(f) for y in _less(x)} if len(w) >= SHARED]
-            yield pd.DataFrame(out, columns=["given", "family", "w"])
-
     named = profiles.where("kind = 'p' and given <> ''")
-    words = named.select("given", "family").distinct()
-    formed = words.mapInPandas(forms, "given string, family string, w string").select(F.xxhash64("given", "w").alias("form"), F.xxhash64("given", "family").alias("word"))
-    groups = formed.groupBy("form").agg(F.collect_set("word").alias("ws")).where("size(ws) > 1").select(F.array_sort("ws").alias("ws"))
+    words = named.select("given", "family").repartition(int(profiles.sparkSession.conf.get("spark.sql.shuffle.partitions")), "given", "family").distinct()
+    less = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w), F.lit(1))), lambda k: F.concat(F.substring(w, F.lit(1), k - 1), F.substring(w, k + 1, F.length(w))))
+    once = F.array_distinct(F.concat(F.array("family"), less(F.col("family"))))
+    forms = F.filter(F.flatten(F.transform(once, lambda w: F.concat(F.array(w), less(w)))), lambda w: F.length(w) >= SHARED)
+    formed = words.select(F.xxhash64("given", "family").alias("word"), F.explode(F.array_distinct(F.transform(forms, lambda w: F.xxhash64("given", w)))).alias("form"))
+    common = cut(formed.groupBy("form").agg(F.count("*").alias("n")).where("n > 1").select("form"))
+    few = common.count() * 48 <= BROADCAST_BYTES
+    kept = formed.join(F.broadcast(common) if few else common.hint("merge"), "form")
+    groups = kept.groupBy("form").agg(F.array_sort(F.collect_set("word")).alias("ws"))
     pairs = groups.select(F.explode(F.flatten(F.transform("ws", lambda x, i: F.transform(F.slice("ws", i + 2, F.size("ws")), lambda y: F.struct(x.alias("word"), y.alias("other")))))).alias("p")).select("p.word", "p.other").distinct()
     spelt = words.select(F.xxhash64("given", "family").alias("word"), "family")
     near = pairs.join(spelt.hint("merge"), "word").join(spelt.toDF("other", "family_b").hint("merge"), "other")
@@ -349,7 +349,9 @@ def resolve(names: DataFrame, key: str, column: str) -> DataFrame:
     fields = ["kind", "given", "inits", "middle", "family"]
     parsed = rows.mapInPandas(read, f"key_ {kind}, " + ", ".join(f"{f} string" for f in [*fields, "name"]))
     parsed = cut(parsed.withColumn("pid", F.xxhash64(*fields)))
-    profiles = cut(parsed.drop("key_").dropDuplicates(["pid"]))
+    # each profile has some thirty keys and forms: as many tasks as a shuffle has, however small the profiles are
+    tasks = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    profiles = cut(parsed.drop("key_").repartition(tasks, "pid").dropDuplicates(["pid"]))
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
