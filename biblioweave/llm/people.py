@@ -197,6 +197,12 @@ def _keys(kind: str, given: str, inits: str, family: str, established: set[str]
         yield "a", "f", f"|{family}"
 
 
+def _kept(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """``rows`` whose key is in the one column of ``wanted``, which is broadcast if its measured size allows."""
+    few = wanted.count() * 48 <= BROADCAST_BYTES
+    return rows.join(F.broadcast(wanted) if few else wanted.hint("merge"), key, "left_semi")
+
+
 def _two_slips(profiles: DataFrame) -> DataFrame:
     """(pid, rule, role, key) of rule d: same given name, family names two slips apart, confirmed by their edit distance.
 
@@ -212,8 +218,7 @@ def _two_slips(profiles: DataFrame) -> DataFrame:
     forms = F.filter(F.flatten(F.transform(once, lambda w: F.concat(F.array(w), less(w)))), lambda w: F.length(w) >= SHARED)
     formed = words.select(F.xxhash64("given", "family").alias("word"), F.explode(F.array_distinct(F.transform(forms, lambda w: F.xxhash64("given", w)))).alias("form"))
     common = cut(formed.groupBy("form").agg(F.count("*").alias("n")).where("n > 1").select("form"))
-    few = common.count() * 48 <= BROADCAST_BYTES
-    kept = formed.join(F.broadcast(common) if few else common.hint("merge"), "form")
+    kept = _kept(formed, common, "form")
     groups = kept.groupBy("form").agg(F.array_sort(F.collect_set("word")).alias("ws"))
     pairs = groups.select(F.explode(F.flatten(F.transform("ws", lambda x, i: F.transform(F.slice("ws", i + 2, F.size("ws")), lambda y: F.struct(x.alias("word"), y.alias("other")))))).alias("p")).select("p.word", "p.other").distinct()
     spelt = words.select(F.xxhash64("given", "family").alias("word"), "family")
@@ -363,10 +368,11 @@ def resolve(names: DataFrame, key: str, column: str) -> DataFrame:
             yield pd.DataFrame(out, columns=["pid", "rule", "role", "k"])
 
     made = profiles.select("pid", "name", *fields).mapInPandas(emit, "pid long, rule string, role string, k string")
-    made = made.select("pid", "rule", "role", F.xxhash64("rule", "k").alias("key")).repartition("key")
-    # most keys are held by one profile and can never merge anything; keys travel once, both sides read the same shuffle
-    several = made.groupBy("key").agg(F.min("pid").alias("lo"), F.max("pid").alias("hi"), F.max((F.col("role") != "f").cast("int")).alias("s"), F.first("rule").alias("r")).where("lo <> hi and (r not in ('i', 'j', 'k', 'n', 'm') or s = 1)")
-    keys = made.join(several.select("key").hint("merge"), "key").select("pid", "rule", "role", "key").union(_two_slips(profiles))
+    made = cut(made.select("pid", "rule", "role", F.xxhash64("rule", "k").alias("key")))
+    # most keys are held by one profile and can never merge anything: only their counts travel
+    counts = made.groupBy("key").agg(F.count("*").alias("n"), F.max((F.col("role") != "f").cast("int")).alias("s"), F.min("rule").alias("r"))
+    several = cut(counts.where("n > 1 and (r not in ('i', 'j', 'k', 'n', 'm') or s = 1)").select("key"))
+    keys = _kept(made, several, "key").select("pid", "rule", "role", "key").union(_two_slips(profiles))
     only_b = lambda c: F.when(F.col("rule") == "b", F.col(c)).alias(c)
     keys = cut(keys.join(profiles.select("pid", "given", "name").hint("merge"), "pid").select("rule", "key", "role", F.col("pid").alias("cid"), only_b("given"), only_b("name")))
     facts = cut(profiles.select("pid", F.nullif("middle", F.lit("")).alias("middle"), "name", ((F.col("given") == "") & (F.col("inits") != "")).alias("solo"), F.col("pid").alias("cid")))
