@@ -223,9 +223,11 @@ def _two_slips(profiles: DataFrame) -> DataFrame:
     pairs = groups.select(F.explode(F.flatten(F.transform("ws", lambda x, i: F.transform(F.slice("ws", i + 2, F.size("ws")), lambda y: F.struct(x.alias("word"), y.alias("other")))))).alias("p")).select("p.word", "p.other").distinct()
     spelt = words.select(F.xxhash64("given", "family").alias("word"), "family")
     near = pairs.join(spelt.hint("merge"), "word").join(spelt.toDF("other", "family_b").hint("merge"), "other")
-    # swapped letters count twice in the edit distance; one slip is rule a's
+    # swapped letters are one slip but count twice in the edit distance: two swaps, or a swap and another slip; one slip is rule a's
     slips, letters = F.levenshtein("family", "family_b"), lambda c: F.array_sort(F.split(c, ""))
-    near = near.where((slips == 2) | (slips > 2) & (slips <= 4) & (letters("family") == letters("family_b")))
+    swapped = F.transform(F.sequence(F.lit(1), F.greatest(F.length("family") - 1, F.lit(1))), lambda k: F.concat(F.substring("family", F.lit(1), k - 1), F.substring("family", k + 1, F.lit(1)), F.substring("family", k, F.lit(1)), F.substring("family", k + 2, F.length("family"))))
+    one_more = F.exists(swapped, lambda w: F.levenshtein(w, F.col("family_b")) <= 1)
+    near = near.where((slips == 2) | (slips > 2) & (slips <= 4) & (letters("family") == letters("family_b")) | (slips == 3) & one_more)
     met = near.select(F.explode(F.array("word", "other")).alias("word"), F.xxhash64("word", "other").alias("key"))
     mine = named.select("pid", F.xxhash64("given", "family").alias("word"))
     return mine.join(met.hint("merge"), "word").select("pid", F.lit("d").alias("rule"), F.lit("f").alias("role"), "key")
