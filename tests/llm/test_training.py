@@ -226,10 +226,28 @@ def test_mix(spark) -> None:  # noqa: ANN001
 
 
 @VOCABULARY
-def test_token_counts(spark) -> None:  # noqa: ANN001
-    df = spark.createDataFrame([(1, "hello world"), (2, None), (3, ""), (4, "hello world " * 60_000)], "id long, t string")
-    got = {r["id"]: r["tokens"] for r in mixing.token_counts(df, "t").collect()}
-    assert got[1] == 2 and got[2] == got[3] == 0 and abs(got[4] - 120_001) < 10
+def test_token_counts(spark, monkeypatch) -> None:  # noqa: ANN001
+    text = "hello world, it's  a\n\ntest   of 17 things;\t" * 3_000 + "x" * 3_000
+    df = spark.createDataFrame([(1, "hello world"), (2, None), (3, ""), (4, text)], "id long, t string")
+    whole = {r["id"]: r["tokens"] for r in mixing.token_counts(df, "t").collect()}
+    assert whole[1] == 2 and whole[2] == whole[3] == 0
+    assert "".join(mixing._segments(text)) == text and "".join(mixing._segments("y" * 500_000)) == "y" * 500_000
+    monkeypatch.setattr(mixing, "_SEGMENT", 1_000)
+    assert len(list(mixing._segments(text))) > 50
+    assert {r["id"]: r["tokens"] for r in mixing.token_counts(df, "t").collect()} == whole
+
+
+@VOCABULARY
+def test_blocks_are_equal(spark) -> None:  # noqa: ANN001
+    rng = random.Random(4)
+    rows = [(k, "abc"[k % 3], "word " * rng.randrange(5, 40)) for k in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    targets = spark.createDataFrame([("a", 0.6, 2), ("b", 0.3, 2), ("c", 0.1, 2)], "source string, target_share double, max_repeats int")
+    m = mixing.mix(docs, targets, block_tokens=200)
+    sizes = sorted(r["n"] for r in m.groupBy("slot").agg({"tokens": "sum"}).withColumnRenamed("sum(tokens)", "n").collect())
+    # all but the last block of each source hold as many tokens, give or take a document at either end
+    assert all(150 <= n <= 250 for n in sizes[3:])
+    assert all(abs(r["reached_share"] - r["target_share"]) < 0.01 for r in mixing.shares(m).collect())
 
 
 def test_parse_names() -> None:
