@@ -208,7 +208,7 @@ def test_mix(spark) -> None:  # noqa: ANN001
     rows = [(k, s, "word " * rng.randrange(5, 40)) for k, s in enumerate(["a"] * 400 + ["b"] * 60 + ["c"] * 20)] + [(900, None, "x"), (901, "z", "x"), (902, "a", None), (903, "b", "")]
     docs = spark.createDataFrame(rows, "doc_id long, source string, text string").selectExpr("*", "1 as slot", "2 as tokens")
     targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.3, 3), ("c", 0.2, 4), ("none", 0.1, 2)], "source string, target_share double, max_repeats int")
-    m = mixing.mix(docs, targets)
+    m = mixing.mix(docs, targets, block_tokens=100)
     s = {r["source"]: r for r in mixing.shares(m).collect()}
     total = sum(r["tokens"] for r in s.values())
     for k, share in (("a", 0.5), ("b", 0.3), ("c", 0.2)):
