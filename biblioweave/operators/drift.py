@@ -1,9 +1,11 @@
 """Files whose fields were added, renamed, removed or changed type, read into one table per kind, each change reported.
 
-Tagged-union inference: every value gets a tag (integer, date, time or text); the tags of a column are its alternative
-types, and fusing the columns of parallel files keeps all alternatives of a field instead of widening them to text.
-A conflicting field is split into typed branches beside its canonical conversion, and the alternatives that appear
-against the agreed type are the report.
+Tagged-union inference: every value gets a tag (integer, date, time or text) and a few more marks of its shape; the tags of
+a column are its alternative types, and fusing the columns of parallel files keeps all alternatives of a field instead
+of widening them to text. The fused marks of a field also tell which column stands for it where the header doesn't: the
+marks in common, the place among the agreed fields and the words of the header are votes, and a known other name is one
+more. A conflicting field is split into typed branches beside its canonical conversion, and the alternatives that
+appear against the agreed type are the report.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 
 from biblioweave.functions.clock import tidy, with_clock, with_days
 from biblioweave.functions.packed import csv_fields, strip
-from biblioweave.session import broadcast_if_small
+from biblioweave.session import broadcast_if_small, cut
 
 #: Other names under which an agreed field is delivered, in lower case with "_" for anything but letters and digits (fixed values).
 ALIASES = {
@@ -41,6 +43,11 @@ ALIASES = {
     "scheduled_time": ("time", "start", "start_time", "talk_time", "begin", "sched_time"),
     "duration_minutes": ("duration", "dur", "minutes", "mins", "min", "length", "length_min", "length_minutes", "duration_min"),
 }
+#: Votes that a column stands for a field: a known other name, the field's words in the header (by their share), the field's
+#: place; the share of marks in common counts as it is. Votes of ENOUGH make it stand for the field.
+ALIAS, WORD, PLACE, ENOUGH = 1.2, 0.4, 0.5, 1.0
+#: Values that a mark of each sort may have: bounds what a column's marks take up, however many values it has.
+_MARKS = 4096
 #: Patterns of the types; whatever fits none is text.
 TYPES = {"integer": "^\\d+$", "date": "^\\d{4}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\\d|3[01])$", "time": "^(?:[01]?\\d|2[0-3]):[0-5]\\d(?::[0-5]\\d)?$"}
 
@@ -57,45 +64,93 @@ def _plain(header: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(header), "[^\\p{L}\\p{N}]+", "_"), "^_+|_+$", "")
 
 
-def columns_of(files: DataFrame, std: DataFrame) -> DataFrame:
+def cells(rows: DataFrame) -> DataFrame:
+    """(raw_id, file_id, idx, value): the stripped cells of every record; a null record has none."""
+    return rows.select("raw_id", "file_id", F.posexplode(csv_fields(F.col("record_line"))).alias("idx", "v")).select("raw_id", "file_id", "idx", strip(F.col("v")).alias("value"))
+
+
+def marks(rows: DataFrame) -> DataFrame:
+    """(file_id, idx, mark, n): how many values of each column bear each mark.
+
+    Marks are numbers: the tag, and hashes of the shape (letter cases, digits, signs of the first sixteen), of the number of words
+    with the separators, and of the first word. Counts are combined before the shuffle, so that a file that
+    holds most rows sends no more than any other.
+    """
+    v = F.col("value")
+    shape = F.substring(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(v, "\\p{Lu}\\p{Ll}+", "A"), "\\p{Ll}+", "a"), "\\p{Lu}", "U"), "\\d", "9"), 1, 16)
+    count = F.concat(F.least(F.size(F.split(v, " ")), F.lit(7)).cast("string"), *[F.when(v.contains(c), c).otherwise("") for c in ";,/@"])
+    hashed = lambda k, c: F.lit(k * _MARKS) + F.pmod(F.xxhash64(c), F.lit(_MARKS))
+    number = F.array_position(F.array(*[F.lit(t) for t in (*TYPES, "text")]), tag(v))
+    each = F.array(number, hashed(1, shape), hashed(2, count), hashed(3, F.substring_index(v, " ", 1)))
+    return cells(rows).where(v != "").select("file_id", "idx", F.explode(each).alias("mark")).groupBy("file_id", "idx", "mark").agg(F.count("*").alias("n"))
+
+
+def alternatives(marked: DataFrame) -> DataFrame:
+    """(file_id, idx, integer_n, date_n, time_n, text_n): how many values of a column carry each tag, from ``marks``."""
+    tags = marked.where(F.col("mark") <= len(TYPES) + 1)
+    return tags.groupBy("file_id", "idx").agg(*[F.coalesce(F.sum(F.when(F.col("mark") == k + 1, F.col("n"))), F.lit(0)).alias(f"{t}_n") for k, t in enumerate((*TYPES, "text"))])
+
+
+def _likeness(heads: DataFrame, own: DataFrame, open_: DataFrame, marked: DataFrame) -> DataFrame:
+    """(file_id, idx, field, like): for each open pair the share of the field's marks that the column has in common with it.
+
+    The field's marks are those of the columns of all files of the kind that bear its own name; of each sort only marks of a
+    hundredth of its values or more count, so that a field has at most a few hundred.
+    """
+    sort = F.floor(F.col("mark") / _MARKS)
+    share = lambda by: F.col("n") / F.sum("n").over(Window.partitionBy(*by, "sort_"))
+    fused = marked.join(own.join(heads.select("file_id", "idx", "kind"), ["file_id", "idx"]), ["file_id", "idx"]).groupBy("kind", "field", "mark").agg(F.sum("n").alias("n"))
+    fused = fused.withColumn("sort_", sort).withColumn("p_", share(["kind", "field"])).where("p_ >= 0.01").select("kind", "field", "mark", "p_")
+    mine = marked.join(open_.select("file_id", "idx").distinct(), ["file_id", "idx"], "left_semi").withColumn("sort_", sort).withColumn("q_", share(["file_id", "idx"]))
+    # shapes tell most and count twice. Where a field's shapes or first words are few, those of the column must be among them
+    sides = {"shape": F.col("sort_") == 1, "word": F.col("sort_") == 3}
+    weight = F.when(sides["shape"], 2.0).otherwise(1.0)
+    part = lambda k, c: F.coalesce(F.sum(F.when(sides[k], F.col(c))), F.lit(0.0))
+    mass = fused.withColumn("sort_", sort).groupBy("kind", "field").agg(F.sum(weight * F.col("p_")).alias("mass_"), *[part(k, "p_").alias(f"{k}_") for k in sides])
+    both = open_.select("file_id", "idx", "kind", "field").join(mine, ["file_id", "idx"]).join(fused, ["kind", "field", "mark"]).join(mass, ["kind", "field"]).withColumn("c_", F.least("p_", "q_"))
+    each = both.groupBy("file_id", "idx", "field").agg((F.sum(weight * F.col("c_")) / F.first("mass_")).alias("like"), *[(F.first(f"{k}_") - part(k, "c_")).alias(f"{k}_gap_") for k in sides])
+    gap = sum((0.5 * F.greatest(F.col(f"{k}_gap_") - 0.5, F.lit(0.0)) for k in sides), F.lit(0.0))
+    return each.select("file_id", "idx", "field", F.greatest(F.col("like") - gap, F.lit(0.0)).alias("like"))
+
+
+def columns_of(files: DataFrame, std: DataFrame, marked: DataFrame) -> DataFrame:
     """(file_id, kind, idx, header, name, field): each column of each file, with the agreed field it stands for or null.
 
-    name is the header without blanks around it, or c0, c1, ... for blank headers counted from the left. A field is
-    taken by the header of its own name, else by an alias if no column has its own name; the leftmost wins a tie.
+    name is the header without blanks around it, or c0, c1, ... for blank headers counted from the left. A field is taken
+    by the leftmost header of its own name; else by the column with the most votes, ENOUGH at least, if it is also
+    the field with the most votes for this column. Columns with a blank header stand for nothing.
     """
     heads = files.select("file_id", "kind", F.posexplode(csv_fields(F.regexp_replace("header_line", "^\\ufeff", ""))).alias("idx", "raw"))
     heads = heads.withColumn("header", strip(F.col("raw"))).withColumn("plain", _plain(F.col("header")))
     left = Window.partitionBy("file_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
     blanks = F.sum((F.col("header") == "").cast("int")).over(left) - 1
     heads = heads.withColumn("name", F.when(F.col("header") == "", F.concat(F.lit("c"), blanks)).otherwise(F.col("header"))).drop("raw")
-    agreed = std.select(F.col("kind").alias("sk"), F.col("field_name").alias("field")).distinct()
-    known = [(a, f, k) for f, names in ALIASES.items() for k, a in enumerate((f, *names))]
-    alias = files.sparkSession.createDataFrame(known, "alias string, af string, rank int")
-    # an agreed field of its own name always counts, listed above or not
-    own = agreed.select("sk", "field", F.col("field").alias("alias"), F.lit(0).alias("rank"))
-    other = agreed.join(broadcast_if_small(alias, len(known), 60), F.col("field") == F.col("af")).where("rank > 0").select("sk", "field", "alias", "rank")
-    names = own.union(other)
-    hits = heads.join(names, (F.col("kind") == F.col("sk")) & (F.col("plain") == F.col("alias"))).select("file_id", "idx", "field", "rank")
-    # a field goes to its best header, and a header to its best field among those it won
-    hits = hits.withColumn("w", F.row_number().over(Window.partitionBy("file_id", "field").orderBy("rank", "idx"))).where("w = 1")
-    hits = hits.withColumn("w", F.row_number().over(Window.partitionBy("file_id", "idx").orderBy("rank", "field"))).where("w = 1").select("file_id", "idx", "field")
+    agreed = std.select(F.col("kind").alias("sk"), F.col("field_name").alias("field"), "pos").groupBy("sk", "field").agg(F.min("pos").alias("pos"))
+    own = heads.join(agreed, (F.col("kind") == F.col("sk")) & (F.col("plain") == F.col("field"))).groupBy("file_id", "field", "pos").agg(F.min("idx").alias("idx"))
+    # the agreed fields on either side of each column, where the file keeps their order
+    placed = heads.join(own.select("file_id", "idx", "pos"), ["file_id", "idx"], "left")
+    before = Window.partitionBy("file_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.partitionBy("file_id").orderBy("idx").rowsBetween(1, Window.unboundedFollowing)
+    placed = placed.withColumns({"lo_": F.coalesce(F.max("pos").over(before), F.lit(-1)), "hi_": F.coalesce(F.min("pos").over(after), F.lit(1 << 30))})
+    rest = placed.where("pos is null and header <> ''").drop("pos")
+    missing = files.select("file_id", "kind").join(agreed, F.col("kind") == F.col("sk")).join(own.select("file_id", "field"), ["file_id", "field"], "left_anti").select("file_id", "field", "pos")
+    # a file's open columns and missing fields: both are bounded by its header, never by its rows
+    open_ = rest.join(missing, "file_id")
+    known = [(a, f) for f, names in ALIASES.items() for a in names]
+    alias = files.sparkSession.createDataFrame(known, "plain string, field string").withColumn("alias_", F.lit(ALIAS))
+    open_ = open_.join(broadcast_if_small(alias, len(known), 60), ["plain", "field"], "left")
+    open_ = open_.join(_likeness(heads, own.select("file_id", "idx", "field"), open_, marked), ["file_id", "idx", "field"], "left")
+    stem = lambda c: F.transform(F.split(c, "_"), lambda w: F.regexp_replace(w, "s$", ""))
+    votes = F.coalesce("alias_", F.lit(0.0)) + F.coalesce("like", F.lit(0.0)) + WORD * F.size(F.array_intersect(stem(F.col("plain")), stem(F.col("field")))) / F.size(stem(F.col("field")))
+    votes = votes + F.when((F.col("lo_") < F.col("pos")) & (F.col("pos") < F.col("hi_")), PLACE).otherwise(0.0)
+    hits = open_.withColumn("votes", votes).where(F.col("votes") >= ENOUGH)
+    # a field goes to its best column, and a column to its best field among those it won
+    hits = hits.withColumn("w", F.row_number().over(Window.partitionBy("file_id", "idx").orderBy(F.desc("votes"), "field"))).where("w = 1")
+    hits = hits.withColumn("w", F.row_number().over(Window.partitionBy("file_id", "field").orderBy(F.desc("votes"), "idx"))).where("w = 1").select("file_id", "idx", "field")
+    hits = hits.union(own.select("file_id", "idx", "field"))
     return heads.join(hits, ["file_id", "idx"], "left").select("file_id", "kind", "idx", "header", "name", "field")
 
 
-def cells(rows: DataFrame) -> DataFrame:
-    """(raw_id, file_id, idx, value): the stripped cells of every record; a null record has none."""
-    return rows.select("raw_id", "file_id", F.posexplode(csv_fields(F.col("record_line"))).alias("idx", "v")).select("raw_id", "file_id", "idx", strip(F.col("v")).alias("value"))
-
-
-def alternatives(rows: DataFrame) -> DataFrame:
-    """(file_id, idx, integer_n, date_n, time_n, text_n): how many values of a column carry each tag.
-
-    Counts are combined before the shuffle, so that a file that holds most rows sends no more than any other.
-    """
-    t = cells(rows).withColumn("t", tag(F.col("value")))
-    return t.groupBy("file_id", "idx").agg(*[F.count(F.when(F.col("t") == k, 1)).alias(f"{k}_n") for k in (*TYPES, "text")])
-
-
 def changes(files: DataFrame, rows: DataFrame, std: DataFrame) -> DataFrame:
     """(file_id, change_kind, field_name): each deviation of each file from the agreed fields of its kind, once.
 
@@ -105,8 +160,9 @@ def changes(files: DataFrame, rows: DataFrame, std: DataFrame) -> DataFrame:
     has no agreed fields has only added columns; a file with a null header has all its fields removed; a file without
     rows can have renamed and removed fields only.
     """
-    cols = columns_of(files, std)
-    seen = alternatives(rows)
+    marked = cut(marks(rows))
+    cols = cut(columns_of(files, std, marked))
+    seen = alternatives(marked)
     full = cols.join(seen, ["file_id", "idx"], "left")
     agreed = std.select(F.col("kind").alias("sk"), F.col("field_name").alias("field"), "data_type").distinct()
     renamed = cols.where(F.col("field").isNotNull() & (F.lower("header") != F.col("field"))).select("file_id", F.lit("renamed").alias("change_kind"), F.col("field").alias("field_name"))
@@ -122,7 +178,8 @@ def changes(files: DataFrame, rows: DataFrame, std: DataFrame) -> DataFrame:
 
 def fused_schema(files: DataFrame, rows: DataFrame, std: DataFrame) -> DataFrame:
     """(kind, field_name, data_type, alternative, files, values, first_file): the tagged union of every agreed field."""
-    full = columns_of(files, std).where("field is not null").join(alternatives(rows), ["file_id", "idx"])
+    marked = cut(marks(rows))
+    full = columns_of(files, std, marked).where("field is not null").join(alternatives(marked), ["file_id", "idx"])
     each = full.select("kind", "field", "file_id", F.explode(F.array(*[F.struct(F.lit(k).alias("alternative"), F.col(f"{k}_n").alias("n")) for k in (*TYPES, "text")])).alias("a")).where("a.n > 0")
     out = each.groupBy("kind", "field", "a.alternative").agg(F.count_distinct("file_id").alias("files"), F.sum("a.n").alias("values"), F.min("file_id").alias("first_file"))
     types = std.select(F.col("kind"), F.col("field_name"), "data_type").distinct()
@@ -135,16 +192,20 @@ def consistent(files: DataFrame, rows: DataFrame, std: DataFrame, kind: str) ->
     A field of a type other than text is the canonical conversion (``45 min`` is 45, ``'13`` is 2013, ``9h30`` is 09:30);
     beside it ``<field>_text`` holds a value of another type as written, null where the value was of the agreed type.
     Fields that a file lacks, empty cells and values that can't be converted are null. Every record gives a row, lines
-    that come twice included; values of added columns are kept in ``extra`` (map by name).
+    that come twice included; values of added columns are kept in ``extra`` (map by name, a repeated name with its number).
     """
     fields = [(r["field_name"], r["data_type"]) for r in std.where(F.col("kind") == kind).orderBy("pos").select("field_name", "data_type").distinct().toLocalIterator()]
     order = {r["field_name"]: r["pos"] for r in std.where(F.col("kind") == kind).select("field_name", "pos").toLocalIterator()}
     fields.sort(key=lambda x: order[x[0]])
-    own = columns_of(files.where(F.col("kind") == kind), std)
-    names = own.groupBy("file_id").agg(F.sort_array(F.collect_list(F.struct("idx", F.coalesce("field", F.concat(F.lit("+"), F.col("name"))).alias("f")))).alias("m_"))
+    of_kind = files.where(F.col("kind") == kind)
+    own = columns_of(of_kind, std, cut(marks(rows.join(of_kind.select("file_id"), "file_id", "left_semi"))))
+    # an added header that a file repeats counts on from its second column: room, room#2
+    again = F.row_number().over(Window.partitionBy("file_id", "name").orderBy("idx"))
+    own = own.withColumn("again", again).withColumn("f", F.coalesce("field", F.concat(F.lit("+"), F.col("name"), F.when(F.col("again") > 1, F.concat(F.lit("#"), F.col("again").cast("string"))).otherwise(""))))
+    names = own.groupBy("file_id").agg(F.sort_array(F.collect_list(F.struct("idx", "f"))).alias("m_"))
     parsed = rows.select("raw_id", "file_id", F.transform(csv_fields(F.col("record_line")), strip).alias("v_"))
     # the mapping of a file goes to its rows; AQE splits the partition of a file that holds most of them
-    wide = parsed.join(names, "file_id").withColumn("kv_", F.map_from_entries(F.array_distinct(F.transform("m_", lambda s: F.struct(s["f"], F.nullif(F.get("v_", s["idx"]), F.lit("")))))))
+    wide = parsed.join(names, "file_id").withColumn("kv_", F.map_from_entries(F.transform("m_", lambda s: F.struct(s["f"], F.nullif(F.get("v_", s["idx"]), F.lit(""))))))
     out = wide.select("raw_id", "file_id", *[F.try_element_at("kv_", F.lit(f)).alias(f) for f, _ in fields], F.map_filter("kv_", lambda k, v: k.startswith("+") & v.isNotNull()).alias("extra"))
     out = out.withColumn("extra", F.transform_keys("extra", lambda k, _: F.substring(k, 2, 1000)))
     for f, t in fields:

@@ -91,3 +91,24 @@ def test_drift(spark) -> None:  # noqa: ANN001
     union = {(r["field_name"], r["alternative"]) for r in drift.fused_schema(files, raw, std).collect()}
     assert ("year", "text") in union and ("year", "integer") in union
     assert drift.changes(files.limit(0), raw.limit(0), std).count() == 0
+
+
+def test_drift_without_known_names(spark, monkeypatch) -> None:  # noqa: ANN001
+    """Renamed fields are told by their values and place, added ones aren't taken for missing fields; headers may come twice."""
+    monkeypatch.setattr(drift, "ALIASES", {"title": ()})
+    std = spark.createDataFrame([("talks", k, f, t) for k, (f, t) in enumerate((("year", "integer"), ("title", "text"), ("speakers", "text"), ("scheduled_time", "time"), ("arxiv_ids", "text")))], STD)
+    heads = {1: "year,title,speakers,scheduled_time,arxiv_ids", 2: "year,title,given by whom,scheduled_time,arxiv_ids", 3: "year,title,speakers,when,arxiv_ids", 4: "year,title,speakers,scheduled_time,room,room", 5: "jahr,title,speakers,scheduled_time,arxiv_ids"}
+    files = spark.createDataFrame([(k, "talks", h) for k, h in heads.items()], FILES)
+    names = ("Ada Cole", "Bob Dunn", "Eve Fox", "Kim Lund")
+    line = lambda k, n: [str(2000 + k), f"On quantum codes number {n}", names[n % 4], f"{9 + n % 8}:30", f"140{n}.12345"]
+    raw = []
+    for k in heads:
+        for n in range(8):
+            cells = line(k, n)
+            raw.append((len(raw), k, ",".join(cells[:4] + ["B12", "Aula"] if k == 4 else cells)))
+    rows = spark.createDataFrame(raw, RAW)
+    got = {tuple(r) for r in drift.changes(files, rows, std).collect()}
+    assert got == {(2, "renamed", "speakers"), (3, "renamed", "scheduled_time"), (4, "added", "room"), (4, "removed", "arxiv_ids"), (5, "renamed", "year")}
+    table = drift.consistent(files, rows, std, "talks")
+    assert table.where("file_id = 4").first()["extra"] == {"room": "B12", "room#2": "Aula"}
+    assert table.where("speakers is null").count() == 0 and table.count() == len(raw)
