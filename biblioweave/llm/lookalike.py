@@ -1,8 +1,8 @@
 """Visually identical text in one form: normalise only the segments whose characters are unstable.
 
-Every character has a quick-check property: stable (it is its own canonical form and never changes a neighbour), or
-unstable (invisible, an odd blank, another form of a plain letter, a combining accent, a look-alike of another script).
-A compiled class finds the unstable ones; each run of them, widened to the letter before (accents compose with it) and
+Every character has a quick-check property, that of NFC (yes, no, maybe) widened by what looks the same: stable (it is its
+own canonical form and never changes a neighbour), or unstable (NFC says no or maybe, a combining accent, invisible,
+an odd blank, another form of a plain letter, a look-alike of another script). A compiled class finds the unstable ones; each run of them, widened to the letter before (accents compose with it) and
 to its word (a look-alike is one only beside letters of the other script), is normalised alone and spliced into the
 text, which is otherwise copied unchanged.
 """
@@ -47,6 +47,18 @@ def _plain_form(ch: str) -> str | None:
     return None
 
 
+@cache
+def _seconds() -> frozenset[str]:
+    """Characters of which NFC's quick check says maybe: the second ones of canonical pairs, and vowels and ends of Hangul."""
+    pairs = (unicodedata.decomposition(chr(n)) for n in range(0xA0, 0x1E000) if not 0xD800 <= n < 0xF900)
+    return frozenset(chr(int(d.split(" ")[1], 16)) for d in pairs if d and d[0] != "<" and " " in d) | frozenset(map(chr, (*range(0x1161, 0x1176), *range(0x11A8, 0x11C3))))
+
+
+def _quick_check(ch: str) -> str:
+    """NFC's quick check of a character: ``yes``, ``no`` or ``maybe``."""
+    return "no" if not unicodedata.is_normalized("NFC", ch) else "maybe" if ch in _seconds() else "yes"
+
+
 @cache
 def _tables() -> tuple[re.Pattern[str], dict[str, str]]:
     """The class of unstable characters, and what each of them becomes by itself (accents and look-alikes are left out)."""
@@ -63,7 +75,7 @@ def _tables() -> tuple[re.Pattern[str], dict[str, str]]:
             single[ch] = "\n" if cat in ("Zl", "Zp") else ""
         elif cat == "Cc" and n > 0x1F:
             single[ch] = ""
-        elif cat in ("Mn", "Mc") and unicodedata.combining(ch):
+        elif unicodedata.combining(ch) or _quick_check(ch) == "maybe":
             unstable.add(ch)
         elif (plain := _plain_form(ch)) is not None:
             single[ch] = plain
@@ -95,7 +107,9 @@ def _script(ch: str) -> str:
     return "O"
 
 
-_WORD = re.compile(r"[^\W\d_]+")
+#: Letters that may look like one of another script: only words with one are looked at.
+_FOREIGN = re.compile("[\\u0370-\\u052f\\u1f00-\\u1fff" + "".join(OTHER) + "]")
+_LETTERS = re.compile(r"[^\W\d_]*")
 
 
 def _words(text: str) -> str:
@@ -104,14 +118,13 @@ def _words(text: str) -> str:
     A word that mixes scripts takes its Latin form, or its Cyrillic or Greek one if most of its letters have no Latin
     look-alike. A word wholly of look-alikes is Latin if the rest of the text is; a Greek letter alone stays.
     """
-    scripts = [_script(ch) for ch in text]
-    if not any(s in "GCO" for s in scripts if s):
+    if not _FOREIGN.search(text):
         return text
+    scripts = [_script(ch) for ch in text]
     latin = scripts.count("L")
     sure = {s: sum(1 for ch, x in zip(text, scripts, strict=True) if x == s and (ch not in LOOKALIKE or ch in _WEAK)) for s in "GCO"}
 
-    def word(m: re.Match[str]) -> str:
-        w = m[0]
+    def word(w: str) -> str:
         kinds = [_script(ch) for ch in w]
         foreign = {k for k in kinds if k in "GCO" and k}
         if not foreign:
@@ -130,11 +143,38 @@ def _words(text: str) -> str:
         k = next(iter(foreign))
         return "".join(LOOKALIKE[ch] for ch in w) if latin > 0 and sure[k] == 0 and latin >= kinds.count(k) else w
 
-    return _WORD.sub(word, text)
+    out, at = [], 0
+    for m in _FOREIGN.finditer(text):
+        if m.start() < at:
+            continue
+        a = m.start()
+        while a > at and text[a - 1].isalpha():
+            a -= 1
+        b = _LETTERS.match(text, m.start()).end()
+        out += [text[at:a], word(text[a:b])]
+        at = b
+    return "".join(out) + text[at:]
+
+
+_JOINERS, _MARKS_OF_DIRECTION, _PICTURE = "\u200c\u200d", set("\u061c\u200e\u200f\u202a\u202b\u202c\u202d\u202e\u2066\u2067\u2068\u2069"), "\ufe0f"
+_RIGHT_TO_LEFT = re.compile("[\u0590-\u08ff\ufb1d-\ufdff\ufe70-\ufefc]")
+
+
+def _needed(text: str, k: int) -> bool:
+    """Whether an invisible character does its work: joiners within words of Arabic and Indic scripts and between pictures,
+    the mark that makes a sign a picture, marks of direction in a text with letters that run from the right."""
+    ch, before, after = text[k], text[k - 1 : k], text[k + 1 : k + 2]
+    joining = lambda x: x != "" and (0x600 <= ord(x) < 0xE00 or 0xF00 <= ord(x) < 0x10A0 or 0x1780 <= ord(x) < 0x18B0) and unicodedata.category(x)[0] in "LM"
+    picture = lambda x: x != "" and (unicodedata.category(x) in ("So", "Sk") or x == _PICTURE or 0x1F3FB <= ord(x) <= 0x1F3FF)
+    if ch in _JOINERS:
+        return joining(before) and joining(after) or ch == "\u200d" and picture(before) and picture(after)
+    if ch == _PICTURE:
+        return picture(before) or before in tuple("0123456789#*") and after == "\u20e3"
+    return ch in _MARKS_OF_DIRECTION and _RIGHT_TO_LEFT.search(text) is not None
 
 
 def canonical(text: str) -> str:
-    """The one form of ``text``: plain composed letters, plain blanks, nothing invisible. Idempotent."""
+    """The one form of ``text``: plain composed letters, plain blanks, nothing invisible that does no work. Idempotent."""
     if text.isascii() and text.isprintable():
         return text
     unstable, single = _tables()
@@ -147,7 +187,8 @@ def canonical(text: str) -> str:
         a = max(at, a - 1)
         while b < len(text) and (unicodedata.combining(text[b]) or unstable.match(text[b])):
             b += 1
-        out += [text[at:a], unicodedata.normalize("NFC", "".join(single.get(ch, ch) for ch in text[a:b]))]
+        segment = "".join(text[k] if text[k] in _WORKING and _needed(text, k) else single.get(text[k], text[k]) for k in range(a, b))
+        out += [text[at:a], unicodedata.normalize("NFC", segment)]
         at = b
     if not out:
         return text
@@ -155,6 +196,9 @@ def canonical(text: str) -> str:
     return new if new == text or unicodedata.is_normalized("NFC", new) else unicodedata.normalize("NFC", new)
 
 
+_WORKING = {*_JOINERS, *_MARKS_OF_DIRECTION, _PICTURE}
+
+
 def differs(text: str) -> bool:
     """Whether ``text`` holds a character that a reader can't tell from, or that is another form of, a plain one."""
     return canonical(text) != text

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from biblioweave.session import broadcast_if_small, cut
+from biblioweave.session import broadcast_if_measured, cut
 
 #: Members of a basket in one tile; longer baskets are cut into tiles, and pairs of tiles go to different tasks.
 TILE = 256
@@ -104,20 +104,20 @@ def pair_counts(members: DataFrame, least: int = 1, most_share: float | None = N
     if most_share is not None:
         items = items.where(F.col("n_") <= F.lit(most_share * baskets))
     items = cut(_coded(items))
-    known = broadcast_if_small(items.select("i_", "code_"), items.count(), 96)
+    known = broadcast_if_measured(items.select("i_", "code_"))
     coded = members.join(known, "i_").select("b_", "code_")
-    # a basket is cut into tiles of bounded size (by its code order); each pair of tiles is a task's unit of work
-    sized = coded.groupBy("b_").agg(F.count("*").alias("k_")).where("k_ > 1")
-    tiled = coded.join(sized.hint("merge"), "b_").withColumn("tile_", F.when(F.col("k_") <= TILE, F.lit(0)).otherwise(F.pmod(F.xxhash64("code_"), F.ceil(F.col("k_") / TILE))).cast("int"))
+    # only long baskets are cut into tiles, by a hash of the code; each pair of tiles is a task's unit of work
+    sizes = cut(coded.groupBy("b_").agg(F.count("*").alias("k_")).where(F.col("k_") > TILE))
+    tiled = coded.join(broadcast_if_measured(sizes), "b_", "left").withColumn("tile_", F.coalesce(F.pmod(F.xxhash64("code_"), F.ceil(F.col("k_") / TILE)), F.lit(0)).cast("int"))
     tiles = tiled.groupBy("b_", "tile_").agg(F.collect_list("code_").alias("codes_"), F.max("k_").alias("k_"))
-    small = tiles.where(F.col("k_") <= TILE).select(F.col("codes_").alias("a_"), F.array().cast("array<long>").alias("b_"), F.lit(True).alias("same_"))
+    small = tiles.where(F.col("k_").isNull() & (F.size("codes_") > 1)).select(F.col("codes_").alias("a_"), F.array().cast("array<long>").alias("b_"), F.lit(True).alias("same_"))
     # only tiles of long baskets pair up: the tile numbers of a basket are few, and each row is a tile, not a member
-    long = tiles.where(F.col("k_") > TILE)
+    long = tiles.where(F.col("k_").isNotNull())
     inside = long.select(F.col("codes_").alias("a_"), F.array().cast("array<long>").alias("b_"), F.lit(True).alias("same_"))
     with_next = long.withColumn("other_", F.explode(F.sequence(F.lit(0), F.ceil(F.col("k_") / TILE).cast("int") - 1))).where("other_ > tile_")
     right = long.select(F.col("b_").alias("rb_"), F.col("tile_").alias("rt_"), F.col("codes_").alias("rc_"))
     across = with_next.join(right.hint("merge"), (F.col("b_") == F.col("rb_")) & (F.col("other_") == F.col("rt_"))).select(F.col("codes_").alias("a_"), F.col("rc_").alias("b_"), F.lit(False).alias("same_"))
-    work = small.union(inside.union(across).repartition("a_"))
+    work = small.union(inside.union(across).repartition("a_", "b_"))
     runs = work.mapInArrow(_runs, "pair_ long, c_ long")
     # the shuffle's external sorter merges the runs of a partition, spilling as it must; equal codes then stand together
     sorted_runs = runs.repartition("pair_").sortWithinPartitions("pair_")
@@ -137,9 +137,7 @@ def associations(df: DataFrame, basket: str, item: str, least: int = 1, least_li
     share = None if not least_lift else 1.0 / least_lift
     pairs, items, n = pair_counts(memberships(df, basket, item), least, share)
     small = items.select("i_", "n_", "code_")
-    size = small.count()
-    left = broadcast_if_small(small.toDF("ia_", "na_", "a_"), size, 112)
-    right = broadcast_if_small(small.toDF("ib_", "nb_", "b_"), size, 112)
+    left, right = broadcast_if_measured(small.toDF("ia_", "na_", "a_")), broadcast_if_measured(small.toDF("ib_", "nb_", "b_"))
     out = pairs.join(left, "a_").join(right, "b_").withColumn("t_", F.lit(n).cast("long"))
     if least_lift:
         out = out.where(F.col("n_ab_") * F.col("t_") >= F.lit(least_lift) * F.col("na_") * F.col("nb_"))

@@ -21,6 +21,13 @@ def test_canonical_forms() -> None:
         assert lookalike.canonical(text) == wanted, text
 
 
+def test_working_characters_stay() -> None:
+    for text in ("می\u200cخواهم", "क\u094d\u200dष", "👩\u200d🔬 and ☕\ufe0f, 1\ufe0f\u20e3", "\u200fשלום (QKD)\u200e", "한국어", "வணக்கம்"):
+        assert lookalike.canonical(text) == text, text
+    for text, wanted in (("Co\u200dle", "Cole"), ("A\u200c\u200cda", "Ada"), ("Ada\ufe0f", "Ada"), ("\u200eAda", "Ada"), ("\u1112\u1161\u11ab", "한"), ("so\u00adft", "soft"), ("क\u200d ", "क ")):
+        assert lookalike.canonical(text) == wanted, text
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(max_size=60))
 def test_canonical_is_idempotent(text: str) -> None:
