@@ -25,9 +25,9 @@ def pieces(cell: Column) -> Column:
     return F.when(F.size(parts) % 2 == 1, parts).otherwise(F.array(F.regexp_replace(cell, MARK, " ")))
 
 
-def outside(cell: Column) -> Column:
-    """The text of the cell outside quotes."""
-    return F.concat_ws(" ", F.filter(pieces(cell), lambda _, i: i % 2 == 0))
+def outside(parts: Column) -> Column:
+    """The text outside quotes, from ``pieces``."""
+    return F.concat_ws(" ", F.filter(parts, lambda _, i: i % 2 == 0))
 
 
 def fold(parts: Column, delimiter: Column | str) -> Column:

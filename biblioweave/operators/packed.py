@@ -21,8 +21,12 @@ STRONG = f"[;；|]{BLANKS}*|\\n|\\t|{BLANKS}/{BLANKS}"
 _AND = f"{BLANKS}+(?:and|&|und|et){BLANKS}+"
 #: A comma with or without a final "and", or "and" alone.
 WEAK = f",{BLANKS}*(?:and|&){BLANKS}+|,|{_AND}"
-#: Beginnings of institutions, to tell a list of institutions from one whose name has a comma (fixed values).
-INSTITUTION = "(?i)^(?:the )?(?:univ\\w*|\\w+ (?:photonics|institute of technology|national laboratory|labs\\b.*))"
+#: Institutions that are no part of another, by how their names begin or end, to tell a list of institutions from one whose
+#: name has a comma (fixed values).
+INSTITUTION = (
+    "(?i)^(?:the )?(?:univ\\w*|polytechnic|politecnico|technische (?:univ|hochschule)\\w*|(?:national|royal) (?:institute|laboratory|academy)|academy|\\w+ (?:university|polytechnic|academy)"
+    "|\\w+ (?:(?:national|research) (?:institute|laborator(?:y|ies))|institute of technology|college)|\\w+ (?:labs?|research|photonics|technologies|systems|instruments|industries)\\b.*|.* (?:inc|ltd|llc|gmbh|corp|ag|s\\.a)\\.?$)"
+)
 _GIVEN = "^(?:[\\p{Lu}]\\.?[- ]?){1,4}$|^[^\\s,.]+$|^[^\\s,.]+(?: [\\p{Lu}]\\.?)$"
 
 
@@ -37,25 +41,15 @@ def _one_person(cell: Column) -> Column:
     return (F.size(parts) == 2) & (family != "") & (given != "") & (short | initials | (simple & given.rlike(_GIVEN))) & ~given.rlike(_AND)
 
 
-def delimiter(cell: Column, kind: str) -> Column:
-    """The regex that parts the values of this cell; one that matches nothing if the cell is one value."""
-    out = outside(cell)
-    choice = F.when(out.rlike(STRONG), F.lit(STRONG))
-    never = F.lit("(?!)")
-    quoted = F.size(pieces(cell)) > 1
-    if kind == "institution":
-        parts = F.transform(F.split(cell, ",", -1), strip)
-        several = F.forall(parts, lambda x: x.rlike(INSTITUTION)) & (F.size(parts) > 1)
-        return choice.when(quoted & out.rlike(","), F.lit(",")).when(several, F.lit(",")).otherwise(never)
-    if kind == "person":
-        return choice.when(~quoted & _one_person(cell), never).otherwise(F.lit(WEAK))
-    return choice.when(out.rlike(WEAK), F.lit(WEAK)).otherwise(F.lit(f"{BLANKS}+"))
-
-
-def values(cell: Column, kind: str) -> Column:
-    """Array of the cell's values with empty places kept; null for null."""
-    body = F.regexp_replace(F.regexp_replace(cell, "\\r\\n?", "\n"), f"(?:[;；|,]|{BLANKS})+$", "")
-    return F.transform(fold(pieces(body), delimiter(body, kind)), strip)
+def delimiter(cell: Column, parts: Column, out: Column, kind: Column) -> Column:
+    """The regex that parts the values of a cell, given its pieces and the text outside quotes; one that matches nothing if it is one value."""
+    never, quoted = F.lit("(?!)"), F.size(parts) > 1
+    pieces_ = F.transform(F.split(cell, ",", -1), strip)
+    several = F.forall(pieces_, lambda x: x.rlike(INSTITUTION)) & (F.size(pieces_) > 1)
+    institution = F.when(quoted & out.contains(","), F.lit(",")).when(cell.contains(",") & several, F.lit(",")).otherwise(never)
+    person = F.when(~quoted & cell.contains(",") & _one_person(cell), never).otherwise(F.lit(WEAK))
+    code = F.when(out.rlike(WEAK), F.lit(WEAK)).otherwise(F.lit(f"{BLANKS}+"))
+    return F.when(out.rlike(STRONG), F.lit(STRONG)).when(kind == "institution", institution).when(kind == "person", person).otherwise(code)
 
 
 def unpack(df: DataFrame, key: str, kinds: Mapping[str, str] = KINDS) -> DataFrame:
@@ -65,9 +59,13 @@ def unpack(df: DataFrame, key: str, kinds: Mapping[str, str] = KINDS) -> DataFra
     item is as written, without blanks and quotes around it, doubled quotes undone. Rows with the same key give
     the same number of rows each; other columns, whatever their names, are not read. An empty table gives none.
     """
-    fields = F.array(*[F.struct(F.lit(f).alias("f"), values(F.col(f"`{f}`"), k).alias("v")) for f, k in kinds.items()])
-    cells = df.select(F.col(f"`{key}`").alias("k_"), F.explode(fields).alias("c_"))
-    rows = cells.select("k_", F.col("c_.f").alias("f_"), F.posexplode("c_.v").alias("p_", "x_"))
+    fields = F.array(*[F.struct(F.lit(f).alias("f"), F.lit(k).alias("kind"), F.col(f"`{f}`").alias("cell")) for f, k in kinds.items()])
+    cells = df.select(F.col(f"`{key}`").alias("k_"), F.explode(fields).alias("c_")).where(F.col("c_.cell") != "")
+    # each step is a projection of its own, so that what several parts of the next one need is worked out once
+    bare = F.regexp_replace(F.regexp_replace(F.col("c_.cell"), "\\r\\n?", "\n"), f"(?:[;；|,]|{BLANKS})+$", "")
+    cells = cells.select("k_", F.col("c_.f").alias("f_"), F.col("c_.kind").alias("kind_"), bare.alias("cell_")).withColumn("parts_", pieces(F.col("cell_")))
+    cells = cells.withColumn("out_", outside(F.col("parts_"))).withColumn("by_", delimiter(F.col("cell_"), F.col("parts_"), F.col("out_"), F.col("kind_")))
+    rows = cells.select("k_", "f_", F.posexplode(fold(F.col("parts_"), F.col("by_"))).alias("p_", "x_")).withColumn("x_", strip(F.col("x_")))
     return rows.where(F.col("x_") != "").select(
         F.col("k_").alias(key), F.col("f_").alias("field_name"), (F.col("p_") + 1).cast("int").alias("pos"), F.col("x_").alias("item")
     )
