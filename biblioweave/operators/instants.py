@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from biblioweave.functions.clock import instant_of_number, parts_of_cells, tidy, with_clock, with_days
 from biblioweave.session import BROADCAST_BYTES
 
-#: Years that the intervals cover; local times outside have no interval and come out as nonexistent.
+#: Years that the intervals cover; local times outside have a status of their own, ``beyond``.
 YEARS = (1970, 2060)
 _EPOCH = dt.datetime(1970, 1, 1, tzinfo=dt.UTC)
 #: Proven bound: the zone database has fewer names than this, each with one row a month and four more a year.
@@ -87,7 +87,8 @@ def instants(rows: DataFrame, conferences: DataFrame, key: str, day: str = "sche
     ``rows`` needs venue and year beside the cells, ``conferences`` (venue, year, start_date, end_date, timezone).
     A written zone or offset counts before the conference's. Of two readings of a day the one within the conference
     wins, or one day off if the time is written for another zone. status is ``clear``, ``ambiguous`` (the earlier
-    instant is given), ``nonexistent``, ``no day``, ``no time`` or ``no zone``; utc_start is null but for the first two.
+    instant is given), ``nonexistent``, ``beyond`` (outside YEARS), ``no day``, ``no time`` or ``no zone``; utc_start is null but for
+    the first two.
     Null, empty and unreadable cells are no day and no time; rows without a conference use no zone of one. Every row gives one row.
     """
     c = lambda n: F.col(f"`{n}`")
@@ -112,7 +113,8 @@ def instants(rows: DataFrame, conferences: DataFrame, key: str, day: str = "sche
     utc = F.coalesce("num_", F.col("local_") - offset)
     status = (
         F.when(F.col("num_").isNotNull(), "clear").when(F.col("day_").isNull(), "no day").when(~F.col("c_.ok"), "no time")
-        .when(F.col("c_.offset").isNotNull() | (F.col("n_") == 1), "clear").when(F.col("n_") > 1, "ambiguous").when(F.col("tz_").isNull(), "no zone").otherwise("nonexistent")
+        .when(F.col("c_.offset").isNotNull() | (F.col("n_") == 1), "clear").when(F.col("n_") > 1, "ambiguous").when(F.col("tz_").isNull(), "no zone")
+        .when(~F.year("day_").between(YEARS[0], YEARS[1] - 1), "beyond").otherwise("nonexistent")
     )
     text = lambda s: F.date_format(F.timestamp_seconds(s), "yyyy-MM-dd HH:mm:ss")
     return found.select(F.col("k_").alias(key), text(F.col("local_")).alias("local_start"), (offset / 60).cast("int").alias("offset_minutes"), text(utc).alias("utc_start"), status.alias("status"))

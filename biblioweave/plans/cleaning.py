@@ -16,11 +16,10 @@ Query = Callable[[SparkSession, str], DataFrame]
 def p2_instants(spark: SparkSession, base: str) -> DataFrame:
     """Start of every workshop row and talk: local time, offset, instant in UTC and how clear it is."""
     conferences = table(spark, base, "conferences", "venue", "year", "start_date", "end_date", "timezone")
-    parts = []
-    for name, key in (("workshop", "record_id"), ("talks", "talk_id")):
-        rows = table(spark, base, name, key, "venue", "year", "scheduled_date", "scheduled_time")
-        parts.append(instants.instants(rows, conferences, key).withColumnRenamed(key, "record_id").withColumn("table_name", F.lit(name)))
-    return parts[0].union(parts[1]).select("table_name", "record_id", "local_start", "offset_minutes", "utc_start", "status")
+    cells = ("venue", "year", "scheduled_date", "scheduled_time")
+    parts = [table(spark, base, name, key, *cells).select(F.struct(F.lit(name).alias("table_name"), F.col(key).alias("record_id")).alias("id_"), *cells) for name, key in (("workshop", "record_id"), ("talks", "talk_id"))]
+    found = instants.instants(parts[0].union(parts[1]), conferences, "id_")
+    return found.select("id_.table_name", "id_.record_id", "local_start", "offset_minutes", "utc_start", "status")
 
 
 def p2_found(spark: SparkSession, base: str) -> DataFrame:

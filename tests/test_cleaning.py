@@ -62,6 +62,7 @@ def test_written_times(spark) -> None:  # noqa: ANN001
     assert utc(spark, "TBA", "14:00")[1] == utc(spark, None, None)[1] == "no day"
     assert utc(spark, "2013-02-30", "14:00")[1] == "no day"
     assert utc(spark, "2013-03-30", "14:00", None)[1] == "no zone"
+    assert utc(spark, "1913-03-30", "14:00") == ("", "beyond")
     assert utc(spark, "2013-03-31", "02:30") == ("", "nonexistent")
     assert utc(spark, "2013-10-27", "02:30", start=dt.date(2013, 10, 27), end=dt.date(2013, 10, 28)) == ("2013-10-27 00:30", "ambiguous")
 
