@@ -27,6 +27,20 @@ def assign_slugs(authors: DataFrame, key: str = "author_id") -> DataFrame:
     return first.where("n = 1").select(key, F.col("base").alias("slug")).union(free.select(key, F.concat_ws("-", "base", number.cast("string"))))
 
 
+def sticky_slugs(authors: DataFrame, taken: DataFrame, key: str = "author_id") -> DataFrame:
+    """(``key``, slug): slugs of new authors that clash with none of ``taken`` (a table with slug), which never change.
+
+    A base that is taken, or has taken numbers, goes on from the largest number there is.
+    """
+    based = authors.select(key, "created_at", N.base_slug(F.col("family_name"), F.col("given_name"), F.col("full_name")).alias("base"))
+    number = F.coalesce(F.regexp_extract("slug", "-(\\d+)$", 1).try_cast("long"), F.lit(1))
+    bases = taken.select(F.explode(F.array_distinct(F.array(F.struct(F.col("slug").alias("base"), F.lit(1).cast("long").alias("n")), F.struct(F.regexp_replace("slug", "-\\d+$", "").alias("base"), number.alias("n"))))).alias("b"))
+    last = bases.groupBy(F.col("b.base").alias("base")).agg(F.max("b.n").alias("last_"))
+    placed = numbered(based, ["base"], [F.col("created_at"), F.col(key)], "n_").join(last, "base", "left")
+    n = F.col("n_") + F.coalesce("last_", F.lit(0))
+    return placed.select(key, F.when(n == 1, F.col("base")).otherwise(F.concat_ws("-", "base", n.cast("string"))).alias("slug"))
+
+
 def keep_first(df: DataFrame, keys: list[Column], order: list[Column]) -> DataFrame:
     """The first row of each key in the given order."""
     w = Window.partitionBy(*keys).orderBy(*order)
@@ -68,21 +82,51 @@ def richness(full_name: Column, has_id: Column) -> Column:
 def merge_plan(authors: DataFrame, fix_honorifics: bool = False) -> DataFrame:
     """(author_id, canonical_id, name_key): which author each duplicate merges into, by the importer's form of the name.
 
-    The richest spelling stays, the smallest id on a tie; only duplicates have a row. Empty names are no group.
+    The richest spelling stays, the smallest id on a tie; an author with an ``orcid`` (where the table has that column) is
+    richer than any without. Only duplicates have a row. Empty names are no group.
     """
-    keyed = authors.select("author_id", "full_name", N.importer_name(F.col("full_name"), fix_honorifics).alias("name_key")).where("name_key <> ''")
-    rank = F.struct(richness(F.col("full_name"), F.lit(False)).alias("r"), F.col("author_id").alias("i"))
-    best = keyed.withColumn("rank_", rank).groupBy("name_key").agg(F.max("rank_.r").alias("r"), F.count("*").alias("n")).where("n > 1")
-    tops = keyed.join(best, "name_key").where(richness(F.col("full_name"), F.lit(False)) == F.col("r")).groupBy("name_key").agg(F.min("author_id").alias("canonical_id"))
+    has_id = F.coalesce(F.trim("orcid") != "", F.lit(False)) if "orcid" in authors.columns else F.lit(False)
+    keyed = authors.select("author_id", "full_name", has_id.alias("has_id_"), N.importer_name(F.col("full_name"), fix_honorifics).alias("name_key")).where("name_key <> ''")
+    keyed = keyed.withColumn("rich_", richness(F.col("full_name"), F.col("has_id_")))
+    best = keyed.groupBy("name_key").agg(F.max("rich_").alias("r"), F.count("*").alias("n")).where("n > 1")
+    tops = keyed.join(best, "name_key").where(F.col("rich_") == F.col("r")).groupBy("name_key").agg(F.min("author_id").alias("canonical_id"))
     return keyed.join(tops, "name_key").where("author_id <> canonical_id").select("author_id", "canonical_id", "name_key")
 
 
+def _moved(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """``rows`` with the author each goes to, and moved_: whether that is another."""
+    moved = rows.join(plan.select("author_id", "canonical_id"), "author_id", "left").withColumn("moved_", F.col("canonical_id").isNotNull())
+    return moved.withColumn("author_id", F.coalesce("canonical_id", "author_id")).drop("canonical_id")
+
+
 def merge_authorships(authorships: DataFrame, plan: DataFrame) -> DataFrame:
     """Authorships with duplicates' rows given to the canonical author; of several rows of a publication the canonical's own stays, else the first."""
-    moved = authorships.join(plan.select("author_id", "canonical_id"), "author_id", "left")
-    own = F.col("canonical_id").isNull()
-    moved = moved.withColumn("moved_", ~own).withColumn("author_id", F.coalesce("canonical_id", "author_id")).drop("canonical_id")
-    return keep_first(moved, [F.col("publication_id"), F.col("author_id")], [F.col("moved_"), F.col("author_position"), F.col("authorship_id")]).drop("moved_")
+    return keep_first(_moved(authorships, plan), [F.col("publication_id"), F.col("author_id")], [F.col("moved_"), F.col("author_position"), F.col("authorship_id")]).drop("moved_")
+
+
+def merge_roles(roles: DataFrame, plan: DataFrame) -> DataFrame:
+    """Committee roles (role_id, conference_id, author_id, committee, position, ...) given to the canonical author.
+
+    Of several rows of one conference, author, committee and position the canonical's own stays, else the smallest role_id.
+    """
+    keys = [F.col(c) for c in ("conference_id", "author_id", "committee", "position")]
+    return keep_first(_moved(roles, plan), keys, [F.col("moved_"), F.col("role_id")]).drop("moved_")
+
+
+def merge_variants(variants: DataFrame, plan: DataFrame, authors: DataFrame) -> DataFrame:
+    """(author_id, variant_name, normalized_variant, variant_type) after a merge: variants move along, and each duplicate's spelling is a new one.
+
+    Of several variants of one author and normalized form the author's own stays, then a moved one, then a new one.
+    """
+    moved = _moved(variants, plan).select("author_id", "variant_name", "normalized_variant", "variant_type", F.when(F.col("moved_"), 1).otherwise(0).alias("order_"))
+    new = plan.join(authors.select("author_id", "full_name"), "author_id")
+    new = new.select(F.col("canonical_id").alias("author_id"), F.col("full_name").alias("variant_name"), F.col("name_key").alias("normalized_variant"), F.lit("alternate_spelling").alias("variant_type"), F.lit(2).alias("order_"))
+    return keep_first(moved.union(new), [F.col("author_id"), F.col("normalized_variant")], [F.col("order_"), F.col("variant_name")]).drop("order_")
+
+
+def merge_authors(authors: DataFrame, plan: DataFrame) -> DataFrame:
+    """Authors without those that were merged into another."""
+    return authors.join(plan.select("author_id"), "author_id", "left_anti")
 
 
 def match_person(candidate: Column, authors: Column) -> Column:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from biblioweave.functions import names as N
 from biblioweave.operators.ranks import carried
+from biblioweave.session import cut
 
 #: Scores of a confident match and of one that counts at all, and what each of two matching authors adds (fixed values).
 CONFIDENT, WEAK, PER_AUTHOR = 0.62, 0.45, 0.15
@@ -53,25 +53,22 @@ def with_author_bonus(scored: DataFrame, authors: DataFrame, texts: DataFrame) -
 def greedy_assignment(scored: DataFrame, block: list[str], score: str = "score", confident: float = CONFIDENT) -> DataFrame:
     """(*block, left_id, right_id, score, confident): one-to-one pairs, best score first, within each block.
 
-    Ties go to the larger title_score and overlap where the candidates have them, then to the larger left and right id. A block is a conference, whose candidates are few; the
-    order of the choice is the rule here, so that each block is decided in one place.
+    Ties go to the larger title_score and overlap where the candidates have them, then to the larger left and right id. With
+    such a total order the choice needs no queue: a pair that is the best of both its sides is chosen, the pairs of
+    both sides go, and so on until none is left. Each round is two aggregations over all blocks at once.
     """
-    schema = ", ".join(f"{n} {t}" for n, t in scored.select(*block, "left_id", "right_id").dtypes) + ", score double, confident boolean"
-
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([score, *[c for c in ("title_score", "overlap") if c in pdf], "left_id", "right_id"], ascending=False)
-        used_l, used_r, rows = set(), set(), []
-        for row in pdf.itertuples(index=False):
-            if row.left_id not in used_l and row.right_id not in used_r:
-                used_l.add(row.left_id)
-                used_r.add(row.right_id)
-                rows.append(row)
-        out = pd.DataFrame(rows, columns=pdf.columns)
-        out["score"] = out[score]
-        out["confident"] = out[score] >= confident
-        return out[[*block, "left_id", "right_id", "score", "confident"]]
-
-    return scored.groupBy(*block).applyInPandas(choose, schema)
+    marks = [c for c in ("title_score", "overlap") if c in scored.columns]
+    order = F.struct(F.col(score), *[F.col(c) for c in marks], F.col("left_id"), F.col("right_id"))
+    open_ = cut(scored.select(*block, "left_id", "right_id", F.col(score).cast("double").alias("score"), order.alias("o_")))
+    chosen: DataFrame | None = None
+    while not open_.isEmpty():
+        left = open_.groupBy(*block, "left_id").agg(F.max("o_").alias("l_"))
+        right = open_.groupBy(*block, "right_id").agg(F.max("o_").alias("r_"))
+        best = cut(open_.join(left, [*block, "left_id"]).join(right, [*block, "right_id"]).where((F.col("o_") == F.col("l_")) & (F.col("o_") == F.col("r_"))).select(*block, "left_id", "right_id", "score"))
+        chosen = best if chosen is None else chosen.union(best)
+        open_ = cut(open_.join(best.select(*block, "left_id"), [*block, "left_id"], "left_anti").join(best.select(*block, "right_id"), [*block, "right_id"], "left_anti").select(*open_.columns))
+    out = open_.select(*block, "left_id", "right_id", "score") if chosen is None else chosen
+    return out.withColumn("confident", F.col("score") >= confident)
 
 
 def best_schedule_match(talks: DataFrame, slots: DataFrame, block: list[str]) -> DataFrame:

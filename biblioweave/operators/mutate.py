@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import json
-import os
 import time
+from functools import reduce
+from typing import ClassVar
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from biblioweave.functions import names as N
+
 
 def with_defaults(rows: DataFrame, defaults: dict[str, object]) -> DataFrame:
     """New rows with defaults where a column is null or missing."""
@@ -60,22 +63,77 @@ def quarantine(rows: DataFrame, ok: dict[str, object]) -> tuple[DataFrame, DataF
     return marked.where("reason = ''").drop("reason"), marked.where("reason <> ''")
 
 
+def overwrite(table: DataFrame, rows: DataFrame, keys: list[str], order: str, *columns: str) -> DataFrame:
+    """``table`` after an import by key: of several rows of a key the last by ``order`` counts; a known key has ``columns`` taken over, nulls too, a new key is added."""
+    last = Window.partitionBy(*keys).orderBy(F.desc(order))
+    one = rows.withColumn("last_", F.row_number().over(last)).where("last_ = 1").drop("last_")
+    return upsert(table, one.select(*[c for c in rows.columns if c in table.columns]), keys, *columns)
+
+
+def renamed(authors: DataFrame, changes: DataFrame, key: str = "author_id") -> DataFrame:
+    """Authors after a change of full_name: the normalized name follows, the slug stays as it is; a null keeps the old name."""
+    new = patch(authors, changes, key, "full_name")
+    return new.withColumn("normalized_name", N.normalize_name(F.col("full_name")))
+
+
+class Outcome(str):
+    """What a change comes to, with the code a service would answer."""
+
+    CODES: ClassVar[dict[str, int]] = {"created": 201, "read": 200, "deleted": 204, "invalid": 400, "unknown": 404, "conflict": 409}
+
+    @property
+    def code(self) -> int:
+        return self.CODES[self]
+
+
+def insert_outcomes(table: DataFrame, rows: DataFrame, key: str, unique: list[list[str]], parents: dict[str, tuple[DataFrame, str]], ok: dict[str, object]) -> DataFrame:
+    """(``key``, outcome, code) of each row to be inserted: ``invalid`` if a check fails or a parent is missing, ``conflict`` if a unique key is
+    held by the table or an earlier row, else ``created``; a null in a unique key holds nothing."""
+    checked = rows.withColumn("bad_", ~reduce(lambda a, b: a & b, [F.coalesce(c, F.lit(False)) for c in ok.values()], F.lit(True)))
+    for column, (parent, parent_key) in parents.items():
+        known = parent.select(F.col(parent_key).alias(column)).distinct().withColumn("known_", F.lit(True))
+        checked = checked.join(known, column, "left").withColumn("bad_", F.col("bad_") | (F.col(column).isNotNull() & F.col("known_").isNull())).drop("known_")
+    checked = checked.withColumn("clash_", F.lit(False))
+    for keys in unique:
+        held = table.select(*keys).where(" and ".join(f"`{k}` is not null" for k in keys)).distinct().withColumn("held_", F.lit(True))
+        # a key within the new rows goes to the first of them that is right
+        turn = F.row_number().over(Window.partitionBy("bad_", *keys).orderBy(key))
+        whole = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+        checked = checked.withColumn("turn_", turn).join(held, keys, "left").withColumn("clash_", F.col("clash_") | F.col("held_").isNotNull() | whole & (F.col("turn_") > 1)).drop("held_", "turn_")
+    outcome = F.when(F.col("bad_"), "invalid").when(F.col("clash_"), "conflict").otherwise("created")
+    codes = F.create_map(*[F.lit(x) for kv in Outcome.CODES.items() for x in kv])
+    return checked.select(key, outcome.alias("outcome")).withColumn("code", F.try_element_at(codes, F.col("outcome")))
+
+
+def _files(spark: SparkSession, path: str) -> tuple[object, object, object]:
+    """(JVM, file system, path object) of a path on whatever file system the session knows."""
+    jvm = spark.sparkContext._jvm  # noqa: SLF001
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    return jvm, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where  # noqa: SLF001
+
+
 def refresh(spark: SparkSession, base: str, tables: dict[str, DataFrame]) -> str:
     """Write all tables as a new version under ``base`` and make it current in one step; returns the version.
 
-    Readers see the old version until the manifest is replaced, and none or all of the new tables after.
+    Readers see the old version until the manifest is replaced, and none or all of the new tables after. All goes through
+    the session's file systems, so that ``base`` may lie on any of them.
     """
     version = f"v{time.time_ns()}"
     for name, df in tables.items():
         df.write.mode("error").parquet(f"{base}/{version}/{name}")
-    os.makedirs(base, exist_ok=True)
-    with open(f"{base}/manifest.{version}", "w") as f:
-        json.dump({"version": version, "tables": sorted(tables)}, f)
-    os.replace(f"{base}/manifest.{version}", f"{base}/manifest.json")
+    text = json.dumps({"version": version, "tables": sorted(tables)}).encode()
+    jvm, fs, new = _files(spark, f"{base}/manifest.{version}")
+    out = fs.create(new, True)
+    out.write(bytearray(text))
+    out.close()
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)  # noqa: SLF001
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    conf = spark.sparkContext._jsc.hadoopConfiguration()  # noqa: SLF001
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), conf).rename(new, jvm.org.apache.hadoop.fs.Path(f"{base}/manifest.json"), options)
     return version
 
 
 def current(spark: SparkSession, base: str, name: str) -> DataFrame:
     """A table of the current version."""
-    with open(f"{base}/manifest.json") as f:
-        return spark.read.parquet(f"{base}/{json.load(f)['version']}/{name}")
+    manifest = spark.read.text(f"{base}/manifest.json", wholetext=True).first()[0]
+    return spark.read.parquet(f"{base}/{json.loads(manifest)['version']}/{name}")

@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 STOP = ("a", "about", "after", "all", "also", "an", "and", "any", "are", "as", "at", "be", "because", "been", "but", "by", "can", "could", "do", "does", "for", "from", "had", "has", "have", "he", "her", "him", "his", "how", "i", "if", "in", "into", "is", "it", "its", "more", "my", "no", "not", "of", "on", "or", "our", "out", "over", "she", "so", "some", "such", "than", "that", "the", "their", "them", "then", "there", "these", "they", "this", "to", "too", "under", "up", "was", "we", "were", "what", "when", "which", "who", "will", "with", "would", "you", "your")
 #: Weights of lexemes of the title and of the abstract (fixed values).
 WEIGHTS = {"A": 1.0, "B": 0.4}
-_V = "[aeiou]|(?<=[^aeiou])y"
 
 
 def lexemes(c: Column) -> Column:
@@ -23,10 +22,10 @@ def lexemes(c: Column) -> Column:
     return F.filter(found, lambda w: ~w.isin(*STOP))
 
 
-def matches(doc: Column, query: str) -> Column:
-    """Whether the array ``doc`` has every word of the query; a query without words matches nothing."""
-    words = [w for w in re.findall(r"[^\W_]+", query.lower()) if w not in STOP]
-    return F.lit(False) if not words else F.size(F.array_except(F.array(*map(F.lit, words)), doc)) == 0
+def matches(stems: Column, query: str) -> Column:
+    """Whether the array of a document's ``stems`` has the stem of every word of the query; a query without words matches nothing."""
+    words = [stem(w) for w in re.findall(r"[^\W_]+", query.lower()) if w not in STOP]
+    return F.lit(False) if not words else F.size(F.array_except(F.array(*map(F.lit, words)), stems)) == 0
 
 
 def _measure(stem: str) -> int:

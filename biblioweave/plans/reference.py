@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,33 +10,12 @@ from biblioweave.functions import names as N
 from biblioweave.functions import validate as V
 from biblioweave.operators import linkage, matching, mutate, search, statistics
 from biblioweave.operators.ranks import numbered
-from biblioweave.plans import silver
+from biblioweave.plans import registry, silver
+from biblioweave.plans.registry import query
 from biblioweave.plans.silver import SQL as SILVER
 from biblioweave.plans.silver import sql_collapse, sql_fold, sql_items, sql_norm
 from biblioweave.sources.tables import table
 
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
-
-
-def _wide(df: DataFrame) -> DataFrame:
-    """Whole numbers as 64 bits, so that results compare across engines."""
-    return df.select(*[F.col(f"`{n}`").cast("long").alias(n) if t in ("int", "smallint", "tinyint") else F.col(f"`{n}`") for n, t in df.dtypes])
-
-
-def query(sql: str | None) -> Callable[[Query], Query]:
-    """Register a query under its name, with the SQL that gives the same rows."""
-
-    def keep(f: Query) -> Query:
-        _QUERIES[f.__name__] = lambda spark, base: _wide(f(spark, base))
-        if sql is not None:
-            _SQL[f.__name__] = sql
-        return f
-
-    return keep
-
-
 # coauthors
 
 
@@ -72,15 +49,20 @@ def author_stats(spark: SparkSession, base: str) -> DataFrame:
 
 
 @query(f"""WITH p AS (SELECT conference_id, count(*) publication_count, count(*) FILTER (WHERE paper_type = 'regular') regular_count, count(*) FILTER (WHERE paper_type = 'invited') invited_count, count(award) award_count FROM publications GROUP BY 1),
-r AS (SELECT venue, year, count(*) committee_member_count, count(DISTINCT {sql_norm('full_name')}) unique_member_count FROM committees GROUP BY 1, 2)
+u AS (SELECT p.conference_id, count(DISTINCT a.author_id) unique_author_count FROM publications p JOIN authorships s ON s.publication_id = p.publication_id JOIN authors a ON a.author_id = s.author_id GROUP BY 1),
+r AS (SELECT venue, year, count(*) committee_member_count FROM committees GROUP BY 1, 2)
 SELECT c.conference_id, c.venue, c.year::BIGINT AS year, c.submission_count::BIGINT submission_count, coalesce(publication_count, 0) publication_count, coalesce(regular_count, 0) regular_count, coalesce(invited_count, 0) invited_count, coalesce(award_count, 0) award_count,
-coalesce(committee_member_count, 0) committee_member_count, coalesce(unique_member_count, 0) unique_member_count,
-CASE WHEN submission_count > 0 AND publication_count > 0 THEN floor((2000 * publication_count + submission_count) // (2 * submission_count)) / 10.0::DOUBLE END acceptance_rate
-FROM conferences c LEFT JOIN p ON p.conference_id = c.conference_id LEFT JOIN r ON r.venue = c.venue AND r.year = c.year""")
+coalesce(committee_member_count, 0) committee_member_count, coalesce(unique_author_count, 0) unique_author_count, regular_count acceptance_count,
+CASE WHEN submission_count > 0 AND regular_count IS NOT NULL THEN floor((2000 * regular_count + submission_count) // (2 * submission_count)) / 10.0::DOUBLE END acceptance_rate
+FROM conferences c LEFT JOIN p ON p.conference_id = c.conference_id LEFT JOIN u ON u.conference_id = c.conference_id LEFT JOIN r ON r.venue = c.venue AND r.year = c.year""")
 def conference_stats(spark: SparkSession, base: str) -> DataFrame:
+    """The tables hold no number of accepted papers; that of regular papers stands in for it."""
     conf = table(spark, base, "conferences", "conference_id", "venue", "year", "submission_count")
-    roles = table(spark, base, "committees", "venue", "year", "full_name").join(conf.select("conference_id", "venue", "year"), ["venue", "year"]).select("conference_id", N.normalize_name(F.col("full_name")).alias("author_id"))
-    return statistics.conference_stats(conf, table(spark, base, "publications", "conference_id", "paper_type", "award"), roles)
+    pubs = table(spark, base, "publications", "publication_id", "conference_id", "paper_type", "award")
+    roles = table(spark, base, "committees", "venue", "year").join(conf.select("conference_id", "venue", "year"), ["venue", "year"]).select("conference_id")
+    accepted = pubs.groupBy("conference_id").agg(F.count(F.when(F.col("paper_type") == "regular", 1)).alias("acceptance_count"))
+    out = statistics.conference_stats(conf.join(accepted, "conference_id", "left"), pubs, roles, table(spark, base, "authorships", "publication_id", "author_id"), table(spark, base, "authors", "author_id"))
+    return out.withColumn("acceptance_rate", F.col("acceptance_rate").cast("double"))
 
 
 @query("SELECT (SELECT count(*) FROM conferences) conferences, (SELECT count(*) FROM authors) authors, (SELECT count(*) FROM publications) publications, (SELECT count(*) FROM committees) committee_roles")
@@ -181,10 +163,10 @@ def publication_coauthors_excluding_self(spark: SparkSession, base: str) -> Data
     return m.join(per, "publication_id").select("publication_id", "author_id", (F.col("n") - 1).alias("coauthors"), other.alias("first_position"))
 
 
-@query(SILVER + """SELECT venue, year::BIGINT AS year, committee, count(*) n, array_to_string(list(coalesce(full_name, '') ORDER BY list_position(['chair','co_chair','area_chair','member'], position), full_name), '; ') members
-FROM s_roles GROUP BY ALL""")
+@query(SILVER + """SELECT venue, year::BIGINT AS year, committee, row_number() OVER (PARTITION BY venue, year, committee ORDER BY list_position(['chair','co_chair','area_chair','member'], position), full_name, role_id) place, position, full_name, role_id FROM s_roles""")
 def committee_sections_enum_order(spark: SparkSession, base: str) -> DataFrame:
-    return statistics.sections(silver.roles(spark, base), ["venue", "year", "committee"], [V.ordinal(F.col("position"), V.POSITIONS)], "full_name")
+    order = [V.ordinal(F.col("position"), V.POSITIONS), F.col("full_name"), F.col("role_id")]
+    return numbered(silver.roles(spark, base), ["venue", "year", "committee"], order, "place").select("venue", "year", "committee", "place", "position", "full_name", "role_id")
 
 
 @query(SILVER + """SELECT author_id, row_number() OVER (PARTITION BY author_id ORDER BY year DESC, venue, list_position(['OC','PC','SC','Local'], committee) ASC NULLS LAST, role_id) place, venue, year::BIGINT AS year, committee, position, role_title FROM s_roles""")
@@ -483,11 +465,15 @@ def _lexemes(x: str) -> str:
     return f"list_filter(regexp_extract_all(lower(coalesce({x}, '')), '[\\p{{L}}\\p{{N}}]+'), lambda w: NOT list_contains([{stop}], w))"
 
 
-@query(f"SELECT record_id, title FROM workshop WHERE list_contains(list_concat({_lexemes('title')}, {_lexemes('abstract')}), 'graph') AND list_contains(list_concat({_lexemes('title')}, {_lexemes('abstract')}), 'states')")
+_STATE = "['state', 'states', 'stated', 'stating']"  # the words of the stem
+
+
+@query(f"""WITH d AS (SELECT record_id, title, list_concat({_lexemes('title')}, {_lexemes('abstract')}) w FROM workshop)
+SELECT record_id, title FROM d WHERE list_has_any(w, ['graph', 'graphs', 'graphed', 'graphing']) AND list_has_any(w, {_STATE})""")
 def fts_and_match(spark: SparkSession, base: str) -> DataFrame:
     w = table(spark, base, "workshop", "record_id", "title", "abstract")
-    doc = F.concat(search.lexemes(F.col("title")), search.lexemes(F.col("abstract")))
-    return w.where(search.matches(doc, "the graph states")).select("record_id", "title")
+    doc = search.stemmed(w.select("record_id", "title", F.concat(search.lexemes(F.col("title")), search.lexemes(F.col("abstract"))).alias("words_")), "words_", "stems_")
+    return doc.where(search.matches(F.col("stems_"), "the graph states")).select("record_id", "title")
 
 
 @query(None)
@@ -505,11 +491,14 @@ def talk_items_only(spark: SparkSession, base: str) -> DataFrame:
     return w.where(X.is_talk(F.col("title"), X.NO_TALK, 10)).select("record_id")
 
 
-@query("""SELECT venue, year::BIGINT AS year, coalesce(scheduled_date, '') AS day, coalesce(scheduled_time, '') AS clock, count(*) n, string_agg(record_id::VARCHAR, ',' ORDER BY record_id) records FROM workshop GROUP BY ALL HAVING count(*) > 1""")
+@query("""WITH s AS (SELECT venue, year, coalesce(scheduled_date, '') AS day, coalesce(scheduled_time, '') AS clock, record_id FROM workshop)
+SELECT venue, year::BIGINT AS year, day, clock, record_id, row_number() OVER (PARTITION BY venue, year, day, clock ORDER BY record_id) place FROM s QUALIFY count(*) OVER (PARTITION BY venue, year, day, clock) > 1""")
 def merged_time_slots(spark: SparkSession, base: str) -> DataFrame:
     w = table(spark, base, "workshop", "venue", "year", "record_id", "scheduled_date", "scheduled_time")
-    slots = w.groupBy("venue", "year", F.coalesce("scheduled_date", F.lit("")).alias("day"), F.coalesce("scheduled_time", F.lit("")).alias("clock")).agg(F.count("*").alias("n"), F.array_sort(F.collect_list("record_id")).alias("r"))
-    return slots.where("n > 1").select("venue", "year", "day", "clock", "n", F.array_join(F.transform("r", lambda x: x.cast("string")), ",").alias("records"))
+    keys = ["venue", "year", "day", "clock"]
+    w = w.select("venue", "year", F.coalesce("scheduled_date", F.lit("")).alias("day"), F.coalesce("scheduled_time", F.lit("")).alias("clock"), "record_id")
+    several = w.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").select(*keys)
+    return numbered(w.join(several, keys, "left_semi"), keys, [F.col("record_id")], "place").select(*keys, "record_id", "place")
 
 
 @query("""WITH c AS (SELECT venue, year, paper_type, count(*) n FROM workshop WHERE paper_type IS NOT NULL GROUP BY ALL) SELECT venue, year::BIGINT AS year, paper_type, n FROM c QUALIFY row_number() OVER (PARTITION BY venue, year ORDER BY n DESC, paper_type) = 1""")
@@ -632,9 +621,16 @@ def insert_with_defaults(spark: SparkSession, base: str) -> DataFrame:
     return mutate.with_defaults(p, {"paper_type": "regular", "title": "", "speaker": "", "is_proceedings_track": False, "metadata": "{}"})
 
 
-def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+def _all() -> None:
+    """Register the queries of the other modules as well."""
+    from biblioweave.plans import imports, pages, texts  # noqa: F401
+
+
+def queries() -> dict[str, registry.Query]:
+    _all()
+    return dict(registry.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    _all()
+    return dict(registry.SQL)
