@@ -21,6 +21,11 @@ def with_defaults(rows: DataFrame, defaults: dict[str, object]) -> DataFrame:
     return rows
 
 
+def stamped(rows: DataFrame, at: str) -> DataFrame:
+    """Rows with updated_at set to the ISO time ``at``, which the caller gives so that a repeated run writes the same."""
+    return rows.withColumn("updated_at", F.lit(at).cast("timestamp"))
+
+
 def patch(table: DataFrame, changes: DataFrame, key: str, *columns: str) -> DataFrame:
     """``table`` with the given columns of the rows in ``changes``: a null there keeps the old value, so nothing can be set to null."""
     new = changes.select(F.col(key), *[F.col(c).alias(f"{c}_new_") for c in columns])

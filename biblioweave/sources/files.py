@@ -223,3 +223,148 @@ def members_under_headings(blocks: DataFrame, committee: Column) -> DataFrame:
     return marked.where(~head & F.col("kind").isin("li", "p", "td") & (F.col("c_") != "")).select("file_name", "pos", F.col("c_").alias("committee_type"), "text")
 
 
+class _Cards(html.parser.HTMLParser):
+    """Cards of a proceedings volume: one dict a paper, front matter and the volume itself left out."""
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.cards: list[dict[str, object]] = []
+        self.card: dict[str, object] | None = None
+        self.depth, self.field = 0, ""
+
+    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        a = {k: v or "" for k, v in attrs}
+        classes = a.get("class", "").split()
+        if self.card is None:
+            paper = re.search(r"\.(\d+)$", a.get("data-permanent-id", ""))
+            if tag == "div" and "card" in classes and paper and int(paper[1]):
+                self.card, self.depth = {"id": a["data-permanent-id"], "title": "", "doi": "", "category": "", "authors": [], "pdf": ""}, 1
+            return
+        self.depth += tag == "div"
+        if a.get("data-key", "").endswith("contributor.author") and a.get("data-value", "").strip():
+            self.card["authors"].append(a["data-value"].strip())
+        if tag == "a" and a.get("href", "").endswith(".pdf") and not self.card["pdf"]:
+            self.card["pdf"] = a["href"]
+        self.field = "title" if tag == "h5" else next((c for c in classes if c in ("doi", "category")), self.field)
+
+    def handle_endtag(self, tag: str) -> None:
+        if self.card is None:
+            return
+        if tag in ("h5", "div"):
+            self.field = ""
+        self.depth -= tag == "div"
+        if not self.depth:
+            if self.card["title"] and self.card["authors"] and "front matter" not in str(self.card["category"]).lower():
+                self.cards.append(self.card)
+            self.card = None
+
+    def handle_data(self, data: str) -> None:
+        if self.card is not None and self.field:
+            self.card[self.field] = " ".join(f"{self.card[self.field]} {data}".split())
+
+
+def read_volume(spark: SparkSession, path: str) -> DataFrame:
+    """(file_name, pos, title, authors, doi, presentation_url, notes) of the papers of saved proceedings volumes; names given first."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for n, text in zip(b["file_name"], b["value"], strict=True):
+                parser = _Cards()
+                parser.feed(text)
+                for k, c in enumerate(parser.cards):
+                    names = ["; ".join(reversed([x.strip() for x in a.split(",", 1)])).replace("; ", " ") for a in c["authors"]]
+                    doi = str(c["doi"]).replace("DOI:", "").strip()
+                    rows.append((n, k, c["title"], ";".join(names), doi, c["pdf"], f"DOI: {doi}" if doi else ""))
+            yield pd.DataFrame(rows, columns=["file_name", "pos", "title", "authors", "doi", "presentation_url", "notes"])
+
+    return _whole(spark, path).mapInPandas(run, "file_name string, pos int, title string, authors string, doi string, presentation_url string, notes string")
+
+
+def read_videos(spark: SparkSession, path: str) -> DataFrame:
+    """Saved metadata of videos, a JSON object a file; what is missing is empty, files that are no JSON or have no id give no row."""
+    names = ("id", "title", "description", "channel_id", "channel_url", "upload_date", "playlist_id")
+    raw = spark.read.schema(", ".join(f"{n} string" for n in names)).option("mode", "PERMISSIVE").json(path, multiLine=True)
+    return raw.where("id is not null").select("id", *[F.coalesce(n, F.lit("")).alias(n) for n in names[1:]])
+
+
+def video_source(videos: DataFrame) -> DataFrame:
+    """(source): the playlist that most videos are in, else the uploads of their most frequent channel; no row without either. Ties go by name."""
+    top = lambda c, link, rank: videos.where(F.col(c) != "").groupBy(F.col(c).alias("k")).agg(F.count("*").alias("n")).select(F.struct(F.lit(rank).alias("rank"), (-F.col("n")).alias("n"), "k").alias("o"), link.alias("source"))
+    lists = top("playlist_id", F.concat(F.lit("https://www.youtube.com/playlist?list="), F.col("k")), 0)
+    channels = top("channel_url", F.concat(F.regexp_replace("k", "/+$", ""), F.lit("/videos")), 1)
+    return lists.union(channels).agg(F.min_by("source", "o").alias("source")).where("source is not null")
+
+
+_LITERAL = re.compile(r"\s*(?:'((?:[^']|'')*)'|(\w[\w.+-]*|-?\d[\d.]*)|([(),;]))|--[^\n]*|\s+")
+
+
+def _seed_rows(text: str) -> Iterator[dict[str, str | None]]:
+    """Rows of the INSERT statements of an SQL text as dicts of texts; NULL is None, comments are passed over."""
+    for m in re.finditer(r"INSERT\s+INTO\s+\w+\s*\(([^)]*)\)\s*VALUES", text, re.I):
+        names, at, row = [c.strip() for c in m[1].split(",")], m.end(), None
+        while t := _LITERAL.match(text, at):
+            at = t.end()
+            if t[3] == "(":
+                row = []
+            elif t[3] == ")" and row is not None:
+                yield dict(zip(names, row, strict=False))
+                row = None
+            elif row is None and (t[2] or t[3] == ";"):
+                break
+            elif row is not None and (t[1] is not None or t[2]):
+                row.append(t[1].replace("''", "'") if t[1] is not None else None if t[2].upper() == "NULL" else t[2])
+
+
+def read_seeds(spark: SparkSession, path: str, *columns: str) -> DataFrame:
+    """The named columns, as texts, of the rows that SQL seed files insert; null for columns that a statement doesn't give."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame([[r.get(c) for c in columns] for text in b["value"] for r in _seed_rows(text)], columns=list(columns))
+
+    return _whole(spark, path).mapInPandas(run, ", ".join(f"{c} string" for c in columns))
+
+
+def importer_columns(df: DataFrame, fix_names: bool = False) -> DataFrame:
+    """Delivered rows as the importer reads them: only speakers and affiliation count, lists part at semicolons, no row is of the proceedings track.
+
+    ``fix_names`` takes ``speaker`` for speakers and ``affiliations`` for a missing affiliation, parts arXiv lists at commas too, and reads the track.
+    """
+    has = lambda c: F.nullif(F.trim(c), F.lit("")) if c in df.columns else F.lit(None).cast("string")
+    speakers, affiliation, ids = has("speakers"), has("affiliation"), has("arxiv_ids")
+    track = F.lit(False)
+    if fix_names:
+        speakers, affiliation = F.coalesce(speakers, has("speaker")), F.coalesce(affiliation, has("affiliations"))
+        ids, track = F.replace(ids, F.lit(","), F.lit(";")), F.coalesce(F.upper(has("is_proceedings_track")) == "TRUE", F.lit(False))
+    parts = F.filter(F.transform(F.split(ids, ";"), lambda x: F.trim(x)), lambda x: x != "")
+    return df.withColumns({"speakers": speakers, "affiliation": affiliation, "arxiv_ids": F.coalesce(parts, F.array().cast("array<string>")), "is_proceedings_track": track})
+
+
+def section(blocks: DataFrame, pattern: str) -> DataFrame:
+    """(file_name, pos, kind, text): of each page the blocks of the first section, not empty, whose heading matches ``pattern``.
+
+    A section ends at the next heading of its level or a higher one. The blocks of a page are few; pages don't meet.
+    """
+    level = F.regexp_extract("kind", "^h([1-6])$", 1).try_cast("int")
+    heads = blocks.withColumn("level", level).where("level is not null").select("file_name", F.col("pos").alias("at"), "level", F.col("text").alias("head"))
+    mine = heads.where(F.col("head").rlike(pattern))
+    later = heads.select("file_name", F.col("at").alias("next"), F.col("level").alias("next_level"))
+    ends = mine.join(later, "file_name").where((F.col("next") > F.col("at")) & (F.col("next_level") <= F.col("level"))).groupBy("file_name", "at").agg(F.min("next").alias("end"))
+    spans = mine.join(ends, ["file_name", "at"], "left").select("file_name", "at", F.coalesce("end", F.lit((1 << 31) - 1)).alias("end"))
+    inside = blocks.withColumn("level", level).where("level is null").join(spans, "file_name").where((F.col("pos") > F.col("at")) & (F.col("pos") < F.col("end")))
+    first = inside.groupBy("file_name").agg(F.min("at").alias("first_"))
+    return inside.join(first, "file_name").where("at = first_").select("file_name", "pos", "kind", "text")
+
+
+def rewrite_csv(df: DataFrame, path: str, columns: tuple[str, ...] = TALKS, commit: bool = False) -> bool:
+    """Replace the CSV files at ``path`` by ``df``; without ``commit`` nothing is written. The new files are whole before the old ones go."""
+    if commit:
+        write_csv(df, f"{path}.new", columns, overwrite=True)
+        spark = df.sparkSession
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()  # noqa: SLF001
+        old, new = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.new")
+        fs = old.getFileSystem(conf)
+        fs.delete(old, True)
+        fs.rename(new, old)
+    return commit
