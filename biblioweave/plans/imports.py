@@ -64,6 +64,20 @@ def workshop_quarantine(spark: SparkSession, base: str) -> DataFrame:
     return mutate.quarantine(w, checks)[1].select("record_id", "reason")
 
 
+@query(f"""WITH m AS (SELECT member_id, full_name, {sql_norm('full_name')} k FROM committees), o AS (SELECT k name_key, arg_min(full_name, member_id) first_name FROM m WHERE k <> '' GROUP BY k),
+a AS (SELECT {sql_norm('full_name')} k, author_id id, 0 r FROM authors UNION ALL SELECT lower(full_name || ' (qi)'), author_id, 1 FROM authors UNION ALL SELECT {sql_norm('full_name')}, 'v' || min(member_id), 1 FROM committees WHERE length(full_name) > 18 GROUP BY 1),
+b AS (SELECT k, arg_min(id, (r, id)) id FROM a GROUP BY 1) SELECT name_key, coalesce(id, md5(name_key)) author_id, id IS NULL is_new, first_name FROM o LEFT JOIN b ON b.k = name_key""")
+def get_or_create_variants(spark: SparkSession, base: str) -> DataFrame:
+    """Members found by an author's name, else by a kept variant of one, else created."""
+    c = table(spark, base, "committees", "member_id", "full_name")
+    a = table(spark, base, "authors", "author_id", "full_name")
+    # kept variants: each author's name with a remark, and longer members' names of an author of their own
+    kept = c.where(F.length("full_name") > 18).groupBy(N.normalize_name(F.col("full_name")).alias("variant")).agg(F.concat(F.lit("v"), F.min("member_id").cast("string")).alias("author_id"))
+    variants = kept.select("author_id", "variant").union(a.select("author_id", F.lower(F.concat("full_name", F.lit(" (qi)")))))
+    mentions = c.select(F.col("full_name").alias("name"), F.lit(None).cast("string").alias("affiliation"), F.col("member_id").alias("load_order"))
+    return linkage.get_or_create(mentions, a, variants).select("name_key", "author_id", "is_new", "first_name")
+
+
 # merges
 
 _PLAN = f""", k AS (SELECT author_id, full_name, {_importer('full_name')} name_key, list_filter(string_split({sql_collapse('full_name')}, ' '), lambda x: x <> '') w FROM s_authors),

@@ -278,10 +278,13 @@ def get_or_create_resolution(spark: SparkSession, base: str) -> DataFrame:
     return linkage.get_or_create(c, table(spark, base, "authors", "author_id", "full_name"))
 
 
-@query(None)
+@query(f"""WITH w AS (SELECT author_id, full_name, list_filter(string_split({sql_collapse('full_name')}, ' '), lambda x: x <> '') w FROM authors WHERE full_name IS NOT NULL),
+n AS (SELECT *, coalesce(list_max(list_filter(range(1, len(w)), lambda i: NOT list_contains({_PARTICLES}, lower(w[i])))), 0) h FROM w),
+v AS (SELECT author_id, {sql_norm('full_name')} a, {_loose('full_name')} b, CASE WHEN len(w) > 0 THEN {sql_norm("array_to_string(w[h + 1:], ' ')")} END c, CASE WHEN len(w) > 1 AND h > 0 THEN lower(array_to_string(list_transform(w[1:h], lambda x: upper(x[1])), '')) || ' ' || {sql_norm("array_to_string(w[h + 1:], ' ')")} END d FROM n)
+SELECT DISTINCT author_id, variant FROM (SELECT author_id, unnest([a, b, c, d]) variant FROM v) WHERE variant IS NOT NULL""")
 def variants_exploded(spark: SparkSession, base: str) -> DataFrame:
     a = table(spark, base, "authors", "author_id", "full_name").where("full_name is not null")
-    return a.select("author_id", F.posexplode(N.name_variants(F.col("full_name"))).alias("rank", "variant"))
+    return a.select("author_id", F.explode(N.name_variants(F.col("full_name"))).alias("variant"))
 
 
 # ingestion
@@ -440,7 +443,11 @@ def schedule_best_match(spark: SparkSession, base: str) -> DataFrame:
     return matching.best_schedule_match(t, s, ["venue", "year"]).withColumn("score", F.round("score", 6))
 
 
-@query(None)
+@query(f"""WITH t AS (SELECT talk_id, {_importer(sql_fold('speaker'))} nc, {sql_items('authors')} l FROM talks WHERE speaker IS NOT NULL), u AS (SELECT talk_id, nc, unnest(l) AS name, generate_subscripts(l, 1) p FROM t),
+k AS (SELECT *, {_importer(sql_fold('name'))} AS k FROM u), o AS (SELECT *, string_split(k, ' ') a, string_split(nc, ' ') b FROM k QUALIFY row_number() OVER (PARTITION BY talk_id, k ORDER BY p) = 1),
+f AS (SELECT *, k = nc exact, len(list_filter(b, lambda x: NOT list_contains(a, x))) = 0 OR len(list_filter(a, lambda x: NOT list_contains(b, x))) = 0 sub, k <> '' AND a[-1] = b[-1] fam FROM o),
+g AS (SELECT talk_id, count(*) FILTER (WHERE exact) e, count(*) FILTER (WHERE sub) s, count(*) FILTER (WHERE fam) f, arg_min(name, p) FILTER (WHERE exact) en, arg_min(name, p) FILTER (WHERE sub) sn, arg_min(name, p) FILTER (WHERE fam) fn FROM f GROUP BY 1)
+SELECT t.talk_id, CASE WHEN nc = '' THEN NULL WHEN e > 0 THEN en WHEN s = 1 THEN sn WHEN s > 1 THEN NULL WHEN f = 1 THEN fn END matched, CASE WHEN nc = '' THEN 'none' WHEN e > 0 THEN 'exact' WHEN s = 1 THEN 'family_only' WHEN s > 1 THEN 'ambiguous' WHEN f = 1 THEN 'family_only' WHEN f > 1 THEN 'ambiguous' ELSE 'none' END confidence FROM t LEFT JOIN g ON g.talk_id = t.talk_id""")
 def speaker_resolution(spark: SparkSession, base: str) -> DataFrame:
     t = table(spark, base, "talks", "talk_id", "speaker", "authors").where("speaker is not null")
     return t.select("talk_id", linkage.match_person(F.col("speaker"), F.coalesce(X.list_items(F.col("authors")), F.array().cast("array<string>"))).alias("m")).select("talk_id", "m.matched", "m.confidence")
