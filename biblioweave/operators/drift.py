@@ -72,13 +72,16 @@ def cells(rows: DataFrame) -> DataFrame:
 def marks(rows: DataFrame) -> DataFrame:
     """(file_id, idx, mark, n): how many values of each column bear each mark.
 
-    Marks are numbers: the tag, and hashes of the shape (letter cases, digits, signs of the first sixteen), of the number of words
+    Marks are numbers: the tag, and hashes of the shape of the beginning (words, capitals, digits, signs), of the number of words
     with the separators, and of the first word. Counts are combined before the shuffle, so that a file that
     holds most rows sends no more than any other.
     """
     v = F.col("value")
-    shape = F.substring(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(v, "\\p{Lu}\\p{Ll}+", "A"), "\\p{Ll}+", "a"), "\\p{Lu}", "U"), "\\d", "9"), 1, 16)
-    count = F.concat(F.least(F.size(F.split(v, " ")), F.lit(7)).cast("string"), *[F.when(v.contains(c), c).otherwise("") for c in ";,/@"])
+    letters, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    plain = F.translate(F.substring(v, 1, 48), letters.upper() + letters + digits, "U" * 26 + "a" * 26 + "9" * 10)
+    shape = F.substring(F.regexp_replace(plain, "U?a+", "a"), 1, 16)
+    blanks = F.length(v) - F.length(F.replace(v, F.lit(" ")))
+    count = F.concat(F.least(blanks, F.lit(6)).cast("string"), *[F.when(v.contains(c), c).otherwise("") for c in ";,/@"])
     hashed = lambda k, c: F.lit(k * _MARKS) + F.pmod(F.xxhash64(c), F.lit(_MARKS))
     number = F.array_position(F.array(*[F.lit(t) for t in (*TYPES, "text")]), tag(v))
     each = F.array(number, hashed(1, shape), hashed(2, count), hashed(3, F.substring_index(v, " ", 1)))
