@@ -50,4 +50,5 @@ def fold(parts: Column, delimiter: Column | str) -> Column:
 
 def csv_fields(record: Column) -> Column:
     """The fields of one CSV record (RFC 4180: commas, doubled quotes, quoted line breaks); null for null."""
-    return fold(pieces(F.regexp_replace(record, "[\\r\\n]+$", "")), ",")
+    bare = F.regexp_replace(record, "[\\r\\n]+$", "")
+    return F.when(bare.contains('"'), fold(pieces(bare), ",")).otherwise(F.split(bare, ",", -1))
