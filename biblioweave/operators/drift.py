@@ -54,7 +54,8 @@ TYPES = {"integer": "^\\d+$", "date": "^\\d{4}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\
 
 def tag(value: Column) -> Column:
     """The type of a stripped value: null if it is empty, else integer, date, time or text."""
-    out = F.when(value == "", F.lit(None).cast("string"))
+    # every type but text begins with a digit
+    out = F.when(value == "", F.lit(None).cast("string")).when(~F.substring(value, 1, 1).between("0", "9"), "text")
     for name, pattern in TYPES.items():
         out = out.when(value.rlike(pattern), F.lit(name))
     return out.otherwise(F.when(value.isNotNull(), F.lit("text")))
