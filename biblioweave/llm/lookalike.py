@@ -10,7 +10,6 @@ text, which is otherwise copied unchanged.
 from __future__ import annotations
 
 import re
-import sys
 import unicodedata
 from collections.abc import Iterator
 from functools import cache
@@ -64,7 +63,8 @@ def _tables() -> tuple[re.Pattern[str], dict[str, str]]:
     """The class of unstable characters, and what each of them becomes by itself (accents and look-alikes are left out)."""
     single: dict[str, str] = {}
     unstable: set[str] = set()
-    for n in range(0x20, sys.maxunicode + 1):
+    # no characters are assigned between these ranges
+    for n in (*range(0x20, 0x32400), *range(0xE0000, 0xE0200)):
         if 0xAC00 <= n < 0xD7A4 or 0x4E00 <= n < 0xA000 or 0x3400 <= n < 0x4DC0 or 0x20000 <= n < 0x2F800 or 0xD800 <= n < 0xF900:
             continue
         ch = chr(n)
