@@ -93,7 +93,7 @@ class Outcome(str):
 
 def insert_outcomes(table: DataFrame, rows: DataFrame, key: str, unique: list[list[str]], parents: dict[str, tuple[DataFrame, str]], ok: dict[str, object]) -> DataFrame:
     """(``key``, outcome, code) of each row to be inserted: ``invalid`` if a check fails or a parent is missing, ``conflict`` if a unique key is
-    held by the table or an earlier row, else ``created``; a null in a unique key holds nothing."""
+    held by the table or an earlier right row, whatever becomes of that, else ``created``; a null in a unique key holds nothing."""
     checked = rows.withColumn("bad_", ~reduce(lambda a, b: a & b, [F.coalesce(c, F.lit(False)) for c in ok.values()], F.lit(True)))
     for column, (parent, parent_key) in parents.items():
         known = parent.select(F.col(parent_key).alias(column)).distinct().withColumn("known_", F.lit(True))

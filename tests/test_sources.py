@@ -119,3 +119,35 @@ def test_greedy_in_rounds(spark) -> None:  # noqa: ANN001
     got = matching.greedy_assignment(df, ["venue"])
     assert {(r["venue"], r["left_id"], r["right_id"], r["score"]) for r in got.collect()} == want
     assert matching.greedy_assignment(df.limit(0), ["venue"]).count() == 0
+
+
+def test_a_repeated_batch_counts_once(spark, tmp_path) -> None:  # noqa: ANN001
+    from biblioweave.streaming.incremental import upsert_batch
+
+    apply = upsert_batch(str(tmp_path / "t"), ["venue"])
+    batch = spark.createDataFrame([("QIP",), ("QIP",), ("TQC",)], "venue string")
+    for number in (1, 1, 2):
+        apply(batch, number)
+    got = spark.read.parquet(str(tmp_path / "t")).groupBy("venue").agg(F.sum("n").alias("n")).collect()
+    assert {r["venue"]: r["n"] for r in got} == {"QIP": 4, "TQC": 2}
+
+
+def test_numbering_in_two_levels(spark, monkeypatch) -> None:  # noqa: ANN001
+    from biblioweave.operators import ranks
+
+    rows = [("ab"[k % 2] if k % 5 else None, (k * 7) % 31, None if k % 3 else f"v{k}") for k in range(60)]
+    df = spark.createDataFrame(rows, "g string, o int, v string").withColumn("id", F.monotonically_increasing_id())
+    order = [F.col("o"), F.col("id")]
+    run = lambda: (sorted(map(tuple, ranks.numbered(df, ["g"], order, "n").select("id", "n").collect())), sorted(map(str, ranks.carried(df, ["g"], order, F.col("v"), "c").select("id", "c").collect())))
+    one = run()
+    monkeypatch.setattr(ranks, "MOST_IN_TASK", 0)
+    assert run() == one
+
+
+def test_outcomes(spark) -> None:  # noqa: ANN001
+    schema = "id long, p string, a string, pos int"
+    old = spark.createDataFrame([(1, "p1", "a1", 1)], schema)
+    new = spark.createDataFrame([(2, "p1", "a1", 2), (3, "p1", "a2", 1), (4, "p1", "a2", 2), (5, "p1", "a2", 3), (6, "p9", "a1", 1), (7, "p2", None, 1), (8, "p2", None, 0)], schema)
+    parents = {"p": (spark.createDataFrame([("p1",), ("p2",)], "k string"), "k")}
+    got = {r["id"]: (r["outcome"], r["code"]) for r in mutate.insert_outcomes(old, new, "id", [["p", "a"], ["p", "pos"]], parents, {"pos": F.col("pos") >= 1}).collect()}
+    assert {k: v[0] for k, v in got.items()} == {2: "conflict", 3: "conflict", 4: "conflict", 5: "conflict", 6: "invalid", 7: "created", 8: "invalid"} and got[6][1] == 400
