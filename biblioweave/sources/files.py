@@ -273,7 +273,7 @@ def read_volume(spark: SparkSession, path: str) -> DataFrame:
                 parser = _Cards()
                 parser.feed(text)
                 for k, c in enumerate(parser.cards):
-                    names = ["; ".join(reversed([x.strip() for x in a.split(",", 1)])).replace("; ", " ") for a in c["authors"]]
+                    names = [" ".join(reversed([x.strip() for x in a.split(",", 1)])) for a in c["authors"]]
                     doi = str(c["doi"]).replace("DOI:", "").strip()
                     rows.append((n, k, c["title"], ";".join(names), doi, c["pdf"], f"DOI: {doi}" if doi else ""))
             yield pd.DataFrame(rows, columns=["file_name", "pos", "title", "authors", "doi", "presentation_url", "notes"])
