@@ -160,9 +160,7 @@ def _classes(text: str) -> str:
     return kinds
 
 
-@lru_cache(maxsize=100_000)
-def cost(text: str) -> float:
-    """How garbled ``text`` looks; 0 for plain ASCII, near 0 for proper text of any script."""
+def _cost(text: str) -> float:
     if text.isascii():
         return 2.0 * len(_ASCII_CONTROL.findall(text))
     kinds = _classes(text)
@@ -172,6 +170,14 @@ def cost(text: str) -> float:
     return total
 
 
+_short_cost = lru_cache(maxsize=40_000)(_cost)
+
+
+def cost(text: str) -> float:
+    """How garbled ``text`` looks; 0 for plain ASCII, near 0 for proper text of any script. Kept for short stretches, which come again."""
+    return _short_cost(text) if len(text) <= 400 else _cost(text)
+
+
 _ASCII_CONTROL = re.compile("[\x00-\x08\x0e-\x1f\x7f]")
 
 
