@@ -65,94 +65,143 @@ def _plain(header: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(header), "[^\\p{L}\\p{N}]+", "_"), "^_+|_+$", "")
 
 
-def cells(rows: DataFrame) -> DataFrame:
-    """(raw_id, file_id, idx, value): the stripped cells of every record; a null record has none."""
-    return rows.select("raw_id", "file_id", F.posexplode(csv_fields(F.col("record_line"))).alias("idx", "v")).select("raw_id", "file_id", "idx", strip(F.col("v")).alias("value"))
+def _fields(std: DataFrame) -> DataFrame:
+    """(sk, field, pos, code, types): the agreed fields of every kind, numbered over all kinds."""
+    each = std.groupBy(F.col("kind").alias("sk"), F.col("field_name").alias("field")).agg(F.min("pos").alias("pos"), F.collect_set("data_type").alias("types"))
+    return each.withColumn("code", F.row_number().over(Window.orderBy("sk", "field")) - 1)
 
 
-def marks(rows: DataFrame) -> DataFrame:
-    """(file_id, idx, mark, n): how many values of each column bear each mark.
+def _layout(files: DataFrame, agreed: DataFrame) -> DataFrame:
+    """(file_id, kind, heads_, fields_, slots_): a row for each file, from its header alone.
+
+    heads_ are the columns (header, plain); fields_ the agreed fields of the kind, each with the index ``idx`` of the leftmost column
+    of its own name or -1; slots_ has for each column the field's code where it is that column, -1 where it may stand for a
+    missing field, -2 where it stands for nothing. All three are bounded by the header and the kind, never by rows.
+    """
+    of_kind = agreed.groupBy("sk").agg(F.sort_array(F.collect_list(F.struct("code", "field", "pos", "types"))).alias("f_"))
+    none = F.array().cast(of_kind.schema["f_"].dataType)
+    header = csv_fields(F.regexp_replace("header_line", "^\\ufeff", ""))
+    out = files.select("file_id", "kind", F.coalesce(header, F.array().cast("array<string>")).alias("raw_")).join(F.broadcast(of_kind), F.col("kind") == F.col("sk"), "left")
+    out = out.withColumns({"f_": F.coalesce("f_", none), "raw_": F.transform("raw_", strip)})
+    out = out.withColumn("heads_", F.transform("raw_", lambda h: F.struct(h.alias("header"), _plain(h).alias("plain"))))
+    at = lambda f: F.coalesce(F.array_position(F.col("heads_.plain"), f["field"]), F.lit(0)).cast("int") - 1
+    out = out.withColumn("fields_", F.transform("f_", lambda f: F.struct(*[f[c].alias(c) for c in ("code", "field", "pos", "types")], at(f).alias("idx"))))
+    own = lambda i: F.get(F.col("fields_.code"), F.array_position(F.col("fields_.idx"), i).cast("int") - 1)
+    free = lambda h: F.when((h["header"] != "") & F.array_contains(F.col("fields_.idx"), -1), -1).otherwise(-2)
+    slots = F.transform("heads_", lambda h, i: F.coalesce(own(i), free(h)))
+    return out.select("file_id", "kind", "heads_", "fields_", slots.alias("slots_"))
+
+
+def marks(rows: DataFrame, layout: DataFrame) -> DataFrame:
+    """(file_, key_, mark, n): how many values bear each mark, of the columns that need it.
 
     Marks are numbers: the tag, and hashes of the shape of the beginning (words, capitals, digits, signs), of the number of words
-    with the separators, and of the first word. Counts are combined before the shuffle, so that a file that
-    holds most rows sends no more than any other.
+    with the separators, and of the first word. All marks of a field's own columns are counted over all files (file_ null, key_ the
+    field's code), those of open columns for each file (key_ the index); the tags of all other columns are too (key_ -1 - index).
+    Rows meet the layout of their file by merge, as no bytes that follow the files belong in the driver; a file that
+    holds most rows may be split by AQE, as counts are combined before their own shuffle.
     """
+    cells = rows.select("file_id", "record_line").join(layout.select("file_id", "slots_").hint("merge"), "file_id").select("file_id", "slots_", F.posexplode(csv_fields(F.col("record_line"))).alias("idx", "v"))
+    cells = cells.select("file_id", "idx", F.get("slots_", F.col("idx")).alias("slot"), strip(F.col("v")).alias("value")).where("value <> '' and slot is not null")
     v = F.col("value")
-    letters, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
-    plain = F.translate(F.substring(v, 1, 48), letters.upper() + letters + digits, "U" * 26 + "a" * 26 + "9" * 10)
-    shape = F.substring(F.regexp_replace(plain, "U?a+", "a"), 1, 16)
+    capitals, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    shape = F.substring(F.regexp_replace(F.substring(v, 1, 48), "[A-Z]?[a-z]+", "a"), 1, 16)
+    shape = F.translate(shape, capitals + digits, "U" * 26 + "9" * 10)
     blanks = F.length(v) - F.length(F.replace(v, F.lit(" ")))
     count = F.concat(F.least(blanks, F.lit(6)).cast("string"), *[F.when(v.contains(c), c).otherwise("") for c in ";,/@"])
     hashed = lambda k, c: F.lit(k * _MARKS) + F.pmod(F.xxhash64(c), F.lit(_MARKS))
     number = F.array_position(F.array(*[F.lit(t) for t in (*TYPES, "text")]), tag(v))
-    each = F.array(number, hashed(1, shape), hashed(2, count), hashed(3, F.substring_index(v, " ", 1)))
-    return cells(rows).where(v != "").select("file_id", "idx", F.explode(each).alias("mark")).groupBy("file_id", "idx", "mark").agg(F.count("*").alias("n"))
-
-
-def alternatives(marked: DataFrame) -> DataFrame:
-    """(file_id, idx, integer_n, date_n, time_n, text_n): how many values of a column carry each tag, from ``marks``."""
-    tags = marked.where(F.col("mark") <= len(TYPES) + 1)
-    return tags.groupBy("file_id", "idx").agg(*[F.coalesce(F.sum(F.when(F.col("mark") == k + 1, F.col("n"))), F.lit(0)).alias(f"{t}_n") for k, t in enumerate((*TYPES, "text"))])
+    # a negative mark is the tag once more, for the file
+    rest = F.when(F.col("slot") == -2, F.array().cast("array<bigint>")).otherwise(F.array(hashed(1, shape), hashed(2, count), hashed(3, F.substring_index(v, " ", 1))))
+    each = cells.select("file_id", "idx", "slot", number.alias("tag_"), rest.alias("rest_"))
+    each = each.select("file_id", "idx", "slot", F.explode(F.concat(F.array("tag_"), "rest_", F.when(F.col("slot") >= 0, F.array(-F.col("tag_"))).otherwise(F.array().cast("array<bigint>")))).alias("m"))
+    fused = (F.col("slot") >= 0) & (F.col("m") > 0)
+    key = F.when(fused, F.col("slot")).when(F.col("slot") == -1, F.col("idx")).otherwise(-1 - F.col("idx"))
+    return each.groupBy(F.when(~fused, F.col("file_id")).alias("file_"), key.alias("key_"), F.abs("m").alias("mark")).agg(F.count("*").alias("n"))
 
 
-def _likeness(heads: DataFrame, own: DataFrame, open_: DataFrame, marked: DataFrame) -> DataFrame:
-    """(file_id, idx, field, like): for each open pair the share of the field's marks that the column has in common with it.
+def _hits(layout: DataFrame, marked: DataFrame, fields: int) -> DataFrame:
+    """(file_h, hits_): for each file with any, the codes of missing fields with the index of the column that stands for each.
 
-    The field's marks are those of the columns of all files of the kind that bear its own name; of each sort only marks of a
-    hundredth of its values or more count, so that a field has at most a few hundred.
+    A column's likeness to a field is the share of the field's marks that it has in common with it. The field's marks are those of the
+    columns of all files of the kind that bear its own name; of each sort only marks of a hundredth of its values or more
+    count, so that a field has at most a few hundred.
     """
     sort = F.floor(F.col("mark") / _MARKS)
-    share = lambda by: F.col("n") / F.sum("n").over(Window.partitionBy(*by, "sort_"))
-    fused = marked.join(own.join(heads.select("file_id", "idx", "kind"), ["file_id", "idx"]), ["file_id", "idx"]).groupBy("kind", "field", "mark").agg(F.sum("n").alias("n"))
-    fused = fused.withColumn("sort_", sort).withColumn("p_", share(["kind", "field"])).where("p_ >= 0.01").select("kind", "field", "mark", "p_")
-    mine = marked.join(open_.select("file_id", "idx").distinct(), ["file_id", "idx"], "left_semi").withColumn("sort_", sort).withColumn("q_", share(["file_id", "idx"]))
+    share = lambda *by: F.col("n") / F.sum("n").over(Window.partitionBy(*by, "sort_"))
     # shapes tell most and count twice. Where a field's shapes or first words are few, those of the column must be among them
     sides = {"shape": F.col("sort_") == 1, "word": F.col("sort_") == 3}
     weight = F.when(sides["shape"], 2.0).otherwise(1.0)
     part = lambda k, c: F.coalesce(F.sum(F.when(sides[k], F.col(c))), F.lit(0.0))
-    mass = fused.withColumn("sort_", sort).groupBy("kind", "field").agg(F.sum(weight * F.col("p_")).alias("mass_"), *[part(k, "p_").alias(f"{k}_") for k in sides])
-    both = open_.select("file_id", "idx", "kind", "field").join(mine, ["file_id", "idx"]).join(fused, ["kind", "field", "mark"]).join(mass, ["kind", "field"]).withColumn("c_", F.least("p_", "q_"))
-    each = both.groupBy("file_id", "idx", "field").agg((F.sum(weight * F.col("c_")) / F.first("mass_")).alias("like"), *[(F.first(f"{k}_") - part(k, "c_")).alias(f"{k}_gap_") for k in sides])
+    fused = marked.where("file_ is null").withColumn("sort_", sort).withColumn("p_", share("key_")).where("p_ >= 0.01").select(F.col("key_").alias("code"), "mark", "sort_", "p_")
+    mass = fused.groupBy("code").agg(F.sum(weight * F.col("p_")).alias("mass_"), *[part(k, "p_").alias(f"{k}_") for k in sides])
+    # at most 100 marks of each of three sorts, and the tags, have a hundredth of a field's values
+    most = fields * (len(TYPES) + 1 + 3 * 100)
+    fused = broadcast_if_small(fused.select("code", "mark", "p_").join(broadcast_if_small(mass, fields, 4 * 48), "code"), most, 6 * 48)
+    mine = marked.where("file_ is not null and key_ >= 0").withColumn("sort_", sort).withColumn("q_", share("file_", "key_"))
+    pairs = _pairs(layout)
+    both = pairs.join(mine.select("file_", "key_", "mark", "sort_", "q_").hint("merge"), (F.col("file_id") == F.col("file_")) & (F.col("idx") == F.col("key_")), "left").join(fused, ["code", "mark"], "left").withColumn("c_", F.when(F.col("p_").isNotNull(), F.least("p_", "q_")))
+    each = both.groupBy("file_id", "idx", "code", "field", "votes_").agg((F.sum(weight * F.col("c_")) / F.max("mass_")).alias("like"), *[(F.max(f"{k}_") - part(k, "c_")).alias(f"{k}_gap_") for k in sides])
     gap = sum((0.5 * F.greatest(F.col(f"{k}_gap_") - 0.5, F.lit(0.0)) for k in sides), F.lit(0.0))
-    return each.select("file_id", "idx", "field", F.greatest(F.col("like") - gap, F.lit(0.0)).alias("like"))
+    hits = each.withColumn("votes", F.col("votes_") + F.coalesce(F.greatest(F.col("like") - gap, F.lit(0.0)), F.lit(0.0))).where(F.col("votes") >= ENOUGH)
+    # a field goes to its best column, and a column to its best field among those it won
+    hits = hits.groupBy("file_id", "idx").agg(F.min(F.struct((-F.col("votes")).alias("less"), "field", "code")).alias("h"))
+    hits = hits.groupBy(F.col("file_id").alias("file_h")).agg(F.sort_array(F.collect_list(F.struct("h.code", "h.less", "idx"))).alias("all_"))
+    first = F.filter("all_", lambda h, i: (i == 0) | (F.get(F.col("all_.code"), i - 1) != h["code"]))
+    return hits.select("file_h", F.transform(first, lambda h: F.struct(h["code"].alias("code"), h["idx"].alias("idx"))).alias("hits_"))
+
+
+def _pairs(layout: DataFrame) -> DataFrame:
+    """(file_id, idx, code, field, votes_): each open column of a file beside each missing field, with the votes that need no values."""
+    # outer, as the filter of empty arrays that Spark would infer is pushed to the header and computes all of the layout anew for each column
+    out = layout.withColumn("missing_", F.filter("fields_", lambda f: f["idx"] == -1)).select("file_id", "heads_", "fields_", "missing_", F.posexplode_outer("slots_").alias("idx", "slot")).where("slot = -1")
+    # the agreed fields on either side of the column, where the file keeps their order
+    side = lambda keeps: F.transform(F.filter("fields_", lambda f: (f["idx"] >= 0) & keeps(f["idx"])), lambda f: f["pos"])
+    lo = F.coalesce(F.array_max(side(lambda i: i < F.col("idx"))), F.lit(-1))
+    hi = F.coalesce(F.array_min(side(lambda i: i > F.col("idx"))), F.lit(1 << 30))
+    out = out.withColumns({"lo_": lo, "hi_": hi, "h": F.get("heads_", F.col("idx"))}).select("file_id", "idx", "h", "lo_", "hi_", F.explode_outer("missing_").alias("f"))
+    out = out.select("file_id", "idx", "lo_", "hi_", F.col("h.plain").alias("plain"), F.col("f.field").alias("field"), F.col("f.pos").alias("pos"), F.col("f.code").alias("code"))
+    known = [f"{a} {f}" for f, names in ALIASES.items() for a in names]
+    alias = F.when(F.concat_ws(" ", "plain", "field").isin(known), ALIAS).otherwise(0.0) if known else F.lit(0.0)
+    stem = lambda c: F.transform(F.split(c, "_"), lambda w: F.regexp_replace(w, "s$", ""))
+    words = WORD * F.size(F.array_intersect(stem(F.col("plain")), stem(F.col("field")))) / F.size(stem(F.col("field")))
+    place = F.when((F.col("lo_") < F.col("pos")) & (F.col("pos") < F.col("hi_")), PLACE).otherwise(0.0)
+    return out.select("file_id", "idx", "code", "field", (alias + words + place).alias("votes_"))
 
 
-def columns_of(files: DataFrame, std: DataFrame, marked: DataFrame) -> DataFrame:
-    """(file_id, kind, idx, header, name, field): each column of each file, with the agreed field it stands for or null.
+def told(files: DataFrame, rows: DataFrame, std: DataFrame) -> DataFrame:
+    """(file_id, kind, cols_, taken_): a row for each file; its columns, and the agreed fields of its kind with the column of each.
 
-    name is the header without blanks around it, or c0, c1, ... for blank headers counted from the left. A field is taken
-    by the leftmost header of its own name; else by the column with the most votes, ENOUGH at least, if it is also
+    cols_ (idx, header, name, field, filled, counts by tag): name is the header without blanks around it, or c0, c1, ... for
+    blank headers counted from the left; field is the agreed field the column stands for or null; counts say how many of its
+    values carry each tag. taken_ (field, types, idx): idx is -1 for a field without a column. A field is taken by
+    the leftmost header of its own name; else by the column with the most votes, ENOUGH at least, if it is also
     the field with the most votes for this column. Columns with a blank header stand for nothing.
     """
-    heads = files.select("file_id", "kind", F.posexplode(csv_fields(F.regexp_replace("header_line", "^\\ufeff", ""))).alias("idx", "raw"))
-    heads = heads.withColumn("header", strip(F.col("raw"))).withColumn("plain", _plain(F.col("header")))
-    left = Window.partitionBy("file_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
-    blanks = F.sum((F.col("header") == "").cast("int")).over(left) - 1
-    heads = heads.withColumn("name", F.when(F.col("header") == "", F.concat(F.lit("c"), blanks)).otherwise(F.col("header"))).drop("raw")
-    agreed = std.select(F.col("kind").alias("sk"), F.col("field_name").alias("field"), "pos").groupBy("sk", "field").agg(F.min("pos").alias("pos"))
-    own = heads.join(agreed, (F.col("kind") == F.col("sk")) & (F.col("plain") == F.col("field"))).groupBy("file_id", "field", "pos").agg(F.min("idx").alias("idx"))
-    # the agreed fields on either side of each column, where the file keeps their order
-    placed = heads.join(own.select("file_id", "idx", "pos"), ["file_id", "idx"], "left")
-    before = Window.partitionBy("file_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
-    after = Window.partitionBy("file_id").orderBy("idx").rowsBetween(1, Window.unboundedFollowing)
-    placed = placed.withColumns({"lo_": F.coalesce(F.max("pos").over(before), F.lit(-1)), "hi_": F.coalesce(F.min("pos").over(after), F.lit(1 << 30))})
-    rest = placed.where("pos is null and header <> ''").drop("pos")
-    missing = files.select("file_id", "kind").join(agreed, F.col("kind") == F.col("sk")).join(own.select("file_id", "field"), ["file_id", "field"], "left_anti").select("file_id", "field", "pos")
-    # a file's open columns and missing fields: both are bounded by its header, never by its rows
-    open_ = rest.join(missing, "file_id")
-    known = [(a, f) for f, names in ALIASES.items() for a in names]
-    alias = files.sparkSession.createDataFrame(known, "plain string, field string").withColumn("alias_", F.lit(ALIAS))
-    open_ = open_.join(broadcast_if_small(alias, len(known), 60), ["plain", "field"], "left")
-    open_ = open_.join(_likeness(heads, own.select("file_id", "idx", "field"), open_, marked), ["file_id", "idx", "field"], "left")
-    stem = lambda c: F.transform(F.split(c, "_"), lambda w: F.regexp_replace(w, "s$", ""))
-    votes = F.coalesce("alias_", F.lit(0.0)) + F.coalesce("like", F.lit(0.0)) + WORD * F.size(F.array_intersect(stem(F.col("plain")), stem(F.col("field")))) / F.size(stem(F.col("field")))
-    votes = votes + F.when((F.col("lo_") < F.col("pos")) & (F.col("pos") < F.col("hi_")), PLACE).otherwise(0.0)
-    hits = open_.withColumn("votes", votes).where(F.col("votes") >= ENOUGH)
-    # a field goes to its best column, and a column to its best field among those it won
-    hits = hits.withColumn("w", F.row_number().over(Window.partitionBy("file_id", "idx").orderBy(F.desc("votes"), "field"))).where("w = 1")
-    hits = hits.withColumn("w", F.row_number().over(Window.partitionBy("file_id", "field").orderBy(F.desc("votes"), "idx"))).where("w = 1").select("file_id", "idx", "field")
-    hits = hits.union(own.select("file_id", "idx", "field"))
-    return heads.join(hits, ["file_id", "idx"], "left").select("file_id", "kind", "idx", "header", "name", "field")
+    agreed = _fields(std)
+    layout = _layout(files, agreed)
+    marked = cut(marks(rows, layout))
+    index = F.when(F.col("key_") < 0, -1 - F.col("key_")).otherwise(F.col("key_")).alias("idx")
+    kinds = (*TYPES, "text")
+    counts = [F.coalesce(F.sum(F.when(F.col("mark") == k + 1, F.col("n"))), F.lit(0)).alias(f"{t}_n") for k, t in enumerate(kinds)]
+    seen = marked.where(F.col("file_").isNotNull() & (F.col("mark") <= len(kinds))).select(F.col("file_").alias("file_t"), index, "mark", "n").repartition("file_t")
+    seen = seen.groupBy("file_t", "idx").agg(*counts).groupBy("file_t").agg(F.collect_list(F.struct("idx", *[f"{t}_n" for t in kinds])).alias("seen_"))
+    out = layout.join(seen.hint("merge"), F.col("file_id") == F.col("file_t"), "left").join(_hits(layout, marked, agreed.count()).hint("merge"), F.col("file_id") == F.col("file_h"), "left")
+    hit = lambda f: F.get(F.col("hits_.idx"), F.array_position(F.col("hits_.code"), f["code"]).cast("int") - 1)
+    idx = lambda f: F.when(f["idx"] >= 0, f["idx"]).otherwise(F.coalesce(hit(f), F.lit(-1)))
+    out = out.withColumn("taken_", F.transform("fields_", lambda f: F.struct(f["field"].alias("field"), f["types"].alias("types"), idx(f).alias("idx"))))
+    blank = lambda i: F.size(F.filter(F.slice("heads_", 1, i + 1), lambda h: h["header"] == "")) - 1
+    name = lambda h, i: F.when(h["header"] == "", F.concat(F.lit("c"), blank(i).cast("string"))).otherwise(h["header"])
+    field = lambda i: F.get(F.col("taken_.field"), F.array_position(F.col("taken_.idx"), i).cast("int") - 1)
+    place = lambda i: F.array_position(F.col("seen_.idx"), i).cast("int") - 1
+    n = lambda t, i: F.coalesce(F.get(F.col(f"seen_.{t}_n"), place(i)), F.lit(0)).alias(f"{t}_n")
+    cols = F.transform("heads_", lambda h, i: F.struct(i.alias("idx"), h["header"].alias("header"), name(h, i).alias("name"), field(i).alias("field"), *[n(t, i) for t in kinds]))
+    return out.select("file_id", "kind", cols.alias("cols_"), "taken_")
+
+
+def columns_of(files: DataFrame, rows: DataFrame, std: DataFrame) -> DataFrame:
+    """(file_id, kind, idx, header, name, field, integer_n, date_n, time_n, text_n): each column of each file, as ``told`` has it."""
+    return told(files, rows, std).select("file_id", "kind", F.inline_outer("cols_")).where("idx is not null")
 
 
 def changes(files: DataFrame, rows: DataFrame, std: DataFrame) -> DataFrame:
@@ -164,26 +213,22 @@ def changes(files: DataFrame, rows: DataFrame, std: DataFrame) -> DataFrame:
     has no agreed fields has only added columns; a file with a null header has all its fields removed; a file without
     rows can have renamed and removed fields only.
     """
-    marked = cut(marks(rows))
-    cols = cut(columns_of(files, std, marked))
-    seen = alternatives(marked)
-    full = cols.join(seen, ["file_id", "idx"], "left")
-    agreed = std.select(F.col("kind").alias("sk"), F.col("field_name").alias("field"), "data_type").distinct()
-    renamed = cols.where(F.col("field").isNotNull() & (F.lower("header") != F.col("field"))).select("file_id", F.lit("renamed").alias("change_kind"), F.col("field").alias("field_name"))
-    filled = F.coalesce(F.col("integer_n") + F.col("date_n") + F.col("time_n") + F.col("text_n"), F.lit(0))
-    added = full.where(F.col("field").isNull() & (filled > 0)).select("file_id", F.lit("added"), "name")
-    wanted = files.select("file_id", "kind").join(agreed, F.col("kind") == F.col("sk")).select("file_id", "field")
-    removed = wanted.join(cols.where("field is not null").select("file_id", "field"), ["file_id", "field"], "left_anti").select("file_id", F.lit("removed"), "field")
-    typed = full.where("field is not null").join(agreed.where("data_type <> 'text'"), (F.col("kind") == F.col("sk")) & (full["field"] == agreed["field"]))
-    fits = F.coalesce(*[F.when(F.col("data_type") == k, F.col(f"{k}_n")) for k in TYPES], filled)
-    retyped = typed.where(filled > fits).select("file_id", F.lit("retyped"), full["field"])
-    return renamed.union(removed).union(added).union(retyped).distinct()
+    change = lambda k, f: F.struct(F.lit(k).alias("change_kind"), f.alias("field_name"))
+    filled = lambda c: sum((c[f"{t}_n"] for t in ("date", "time", "text")), c["integer_n"])
+    col = lambda f: F.get("cols_", f["idx"])
+    fits = lambda t, c: F.coalesce(*[F.when(t == k, c[f"{k}_n"]) for k in TYPES], filled(c))
+    renamed = F.filter("taken_", lambda f: (f["idx"] >= 0) & (F.lower(col(f)["header"]) != f["field"]))
+    removed = F.filter("taken_", lambda f: f["idx"] < 0)
+    added = F.filter("cols_", lambda c: c["field"].isNull() & (filled(c) > 0))
+    retyped = F.filter("taken_", lambda f: (f["idx"] >= 0) & F.exists(f["types"], lambda t: (t != "text") & (filled(col(f)) > fits(t, col(f)))))
+    of = lambda k, c, by: F.transform(c, lambda x: change(k, x[by]))
+    every = F.concat(of("renamed", renamed, "field"), of("removed", removed, "field"), of("added", added, "name"), of("retyped", retyped, "field"))
+    return told(files, rows, std).select("file_id", F.inline_outer(every)).where("change_kind is not null").distinct()
 
 
 def fused_schema(files: DataFrame, rows: DataFrame, std: DataFrame) -> DataFrame:
     """(kind, field_name, data_type, alternative, files, values, first_file): the tagged union of every agreed field."""
-    marked = cut(marks(rows))
-    full = columns_of(files, std, marked).where("field is not null").join(alternatives(marked), ["file_id", "idx"])
+    full = columns_of(files, rows, std).where("field is not null")
     each = full.select("kind", "field", "file_id", F.explode(F.array(*[F.struct(F.lit(k).alias("alternative"), F.col(f"{k}_n").alias("n")) for k in (*TYPES, "text")])).alias("a")).where("a.n > 0")
     out = each.groupBy("kind", "field", "a.alternative").agg(F.count_distinct("file_id").alias("files"), F.sum("a.n").alias("values"), F.min("file_id").alias("first_file"))
     types = std.select(F.col("kind"), F.col("field_name"), "data_type").distinct()
@@ -202,14 +247,14 @@ def consistent(files: DataFrame, rows: DataFrame, std: DataFrame, kind: str) ->
     order = {r["field_name"]: r["pos"] for r in std.where(F.col("kind") == kind).select("field_name", "pos").toLocalIterator()}
     fields.sort(key=lambda x: order[x[0]])
     of_kind = files.where(F.col("kind") == kind)
-    own = columns_of(of_kind, std, cut(marks(rows.join(of_kind.select("file_id"), "file_id", "left_semi"))))
+    own = columns_of(of_kind, rows, std)
     # an added header that a file repeats counts on from its second column: room, room#2
     again = F.row_number().over(Window.partitionBy("file_id", "name").orderBy("idx"))
     own = own.withColumn("again", again).withColumn("f", F.coalesce("field", F.concat(F.lit("+"), F.col("name"), F.when(F.col("again") > 1, F.concat(F.lit("#"), F.col("again").cast("string"))).otherwise(""))))
     names = own.groupBy("file_id").agg(F.sort_array(F.collect_list(F.struct("idx", "f"))).alias("m_"))
     parsed = rows.select("raw_id", "file_id", F.transform(csv_fields(F.col("record_line")), strip).alias("v_"))
     # the mapping of a file goes to its rows; AQE splits the partition of a file that holds most of them
-    wide = parsed.join(names, "file_id").withColumn("kv_", F.map_from_entries(F.transform("m_", lambda s: F.struct(s["f"], F.nullif(F.get("v_", s["idx"]), F.lit(""))))))
+    wide = parsed.join(names.hint("merge"), "file_id").withColumn("kv_", F.map_from_entries(F.transform("m_", lambda s: F.struct(s["f"], F.nullif(F.get("v_", s["idx"]), F.lit(""))))))
     out = wide.select("raw_id", "file_id", *[F.try_element_at("kv_", F.lit(f)).alias(f) for f, _ in fields], F.map_filter("kv_", lambda k, v: k.startswith("+") & v.isNotNull()).alias("extra"))
     out = out.withColumn("extra", F.transform_keys("extra", lambda k, _: F.substring(k, 2, 1000)))
     for f, t in fields:
